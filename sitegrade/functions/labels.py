@@ -1,7 +1,6 @@
 """Names and cell texts used by the report tables."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from sitegrade.functions.numeric import round2_by_value
 
@@ -25,23 +24,21 @@ SHORT_NAMES = {
 GLOSSARY_TERMS = ("HSTS", "XFO", "COOP", "COEP", "CORP", "CORS", "CSP")
 
 
-def lookup(names: dict[str, str], key: Column) -> Column:
+def lookup(names: dict[str, str], key: str) -> str:
     """Replace known keys, keep others."""
-    chain = None
-    for known, name in names.items():
-        chain = F.when(key == known, name) if chain is None else chain.when(key == known, name)
-    return chain.otherwise(key)
+    branches = " ".join(f"when '{known}' then '{name}'" for known, name in names.items())
+    return f"case {key} {branches} else {key} end"
 
 
-def country_name(code: Column) -> Column:
+def country_name(code: str) -> str:
     return lookup(COUNTRY_NAMES, code)
 
 
-def country_code(name: Column) -> Column:
+def country_code(name: str) -> str:
     return lookup({name: code for code, name in COUNTRY_NAMES.items()}, name)
 
 
-def protocol_name(protocol: Column) -> Column:
+def protocol_name(protocol: str) -> str:
     return lookup(PROTOCOL_NAMES, protocol)
 
 
@@ -54,35 +51,34 @@ def glossary_name(header: str) -> str:
     return rf"\gls{{{short.lower()}}}" if short in GLOSSARY_TERMS else short
 
 
-def accept_language(country: Column, languages: dict[str, str], default: str = "en") -> Column:
-    table = F.create_map(*[F.lit(part) for pair in languages.items() for part in pair])
-    return F.coalesce(F.try_element_at(table, country), F.lit(default))
+def accept_language(country: str, languages: dict[str, str], default: str = "en") -> str:
+    pairs = ", ".join(f"'{code}', '{value}'" for code, value in languages.items())
+    return f"coalesce(try_element_at(map({pairs}), {country}), '{default}')"
 
 
-def metric_label(metric: Column) -> Column:
+def metric_label(metric: str) -> str:
     """``a_b_between_platforms`` becomes ``A B``."""
-    title = F.initcap(F.replace(metric, F.lit("_"), F.lit(" ")))
-    return F.replace(title, F.lit(" Between Platforms"), F.lit(""))
+    return f"replace(initcap(replace({metric}, '_', ' ')), ' Between Platforms', '')"
 
 
-def column_label(metric: Column) -> Column:
+def column_label(metric: str) -> str:
     """Table heading of a metric: its label without "Inconsistency"."""
-    return F.replace(metric_label(metric), F.lit(" Inconsistency"), F.lit(""))
+    return f"replace({metric_label(metric)}, ' Inconsistency', '')"
 
 
-def two_decimals(x: Column) -> Column:
-    return F.format_string("%.2f", round2_by_value(x))
+def two_decimals(x: str) -> str:
+    return f"format_string('%.2f', {round2_by_value(x)})"
 
 
-def cell(x: Column) -> Column:
+def cell(x: str) -> str:
     """``-`` for null and zero, whole numbers without decimals, two decimals otherwise."""
     return (
-        F.when(F.coalesce(x, F.lit(0.0)) == 0, F.lit("-"))
-        .when(x == F.floor(x), x.cast("bigint").cast("string"))
-        .otherwise(two_decimals(x))
+        f"case when coalesce({x}, 0) = 0 then '-'"
+        f" when {x} = floor({x}) then cast(cast({x} as bigint) as string)"
+        f" else {two_decimals(x)} end"
     )
 
 
-def whole_cell(x: Column) -> Column:
+def whole_cell(x: str) -> str:
     """Heat-map text: ``-`` for zero, else no decimals."""
-    return F.when(x == 0, F.lit("-")).otherwise(F.rint(x).cast("bigint").cast("string"))
+    return f"if({x} = 0, '-', cast(cast(rint({x}) as bigint) as string))"

@@ -1,53 +1,52 @@
-"""Rounding and percentages. Every helper is a native Column expression."""
+"""Rounding and percentages."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def literal(value: float) -> str:
+    return f"{float(value)!r}D"
 
-def round2(x: Column) -> Column:
+
+def round2(x: str) -> str:
     """Two decimals, half to even after scaling."""
-    return F.rint(x * 100) / 100
+    return f"(rint(({x}) * 100) / 100)"
 
 
-def hundredths(x: Column) -> Column:
+def hundredths(x: str) -> str:
     """A two-decimal double as a whole number, so that sums do not depend on row order."""
-    return F.rint(x * 100).cast("bigint")
+    return f"cast(rint(({x}) * 100) as bigint)"
 
 
-def ratio_percent(part: Column, whole: Column) -> Column:
+def ratio_percent(part: str, whole: str) -> str:
     """``part / whole * 100``; null when there is nothing to divide by."""
-    return F.try_divide(part.cast("double"), whole.cast("double")) * 100
+    return f"(try_divide({part}, {whole}) * 100)"
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> str:
     """Rounded percentage, 0 where the whole is 0 or null."""
-    return round2(F.coalesce(ratio_percent(part, whole), F.lit(0.0)))
+    return round2(f"coalesce({ratio_percent(part, whole)}, 0D)")
 
 
-def order_free_mean(total: Column, total_hundredths: Column, n: Column) -> Column:
-    """Mean of two-decimal scores that is the same for every partitioning.
+def order_free_mean(score: str) -> str:
+    """Aggregate: mean of two-decimal scores that is the same for every partitioning.
 
     Adding one or two doubles gives the same sum in any order. From three on, the sum of
     hundredths (exact in a bigint) replaces the sum of doubles.
     """
-    return F.when(n <= 2, total / n).otherwise(total_hundredths.cast("double") / 100 / n)
+    exact = f"cast(sum({hundredths(score)}) as double) / 100"
+    return f"try_divide(if(count({score}) <= 2, sum({score}), {exact}), count({score}))"
 
 
-def round2_by_value(x: Column) -> Column:
+def round2_by_value(x: str) -> str:
     """Two decimals of the double's exact binary value, as printf's ``%.2f`` gives.
 
     ``x * 100`` may land on a tie although ``x`` is not one. The lost low part of the product
     (error-free transformation: split ``x`` into halves of 26 bits) tells which side it was on.
     """
-    product = x * 100
-    scaled = x * 134217729.0  # 2**27 + 1
-    high = scaled - (scaled - x)
-    low = x - high
-    lost = (high * 100 - product) + low * 100
-    tie = (product - F.floor(product)) == 0.5
-    nearest = (
-        F.when(tie & (lost > 0), F.ceil(product).cast("double"))
-        .when(tie & (lost < 0), F.floor(product).cast("double"))
-        .otherwise(F.rint(product))
+    product = f"(({x}) * 100)"
+    scaled = f"(({x}) * 134217729D)"  # 2**27 + 1
+    high = f"({scaled} - ({scaled} - ({x})))"
+    lost = f"(({high} * 100 - {product}) + (({x}) - {high}) * 100)"
+    return (
+        f"(case when {product} - floor({product}) <> 0.5D or {lost} = 0 then rint({product})"
+        f" when {lost} > 0 then cast(ceil({product}) as double)"
+        f" else cast(floor({product}) as double) end / 100)"
     )
-    return nearest / 100

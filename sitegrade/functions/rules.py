@@ -1,7 +1,9 @@
-"""Strong/weak rules per header. A rule maps the lower-cased value to "is strong"."""
+"""Strong/weak rules: SQL conditions over ``{v}``, the lower-cased header value.
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+A rule is text, so a policy is plain data. The fixed rules stand in ``policy.DEFAULT_RULES``.
+"""
+
+from __future__ import annotations
 
 ONE_YEAR = "31536000"
 
@@ -11,83 +13,60 @@ SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]
 MAX_DIGITS = 4300
 
 
-def contains_all(*needles: str):
-    def rule(value: Column) -> Column:
-        found = F.lit(True)
-        for needle in needles:
-            found = found & value.contains(needle)
-        return found
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_all(*needles: str) -> str:
+    return " and ".join(f"contains({{v}}, {quoted(n)})" for n in needles)
 
-    return rule
 
+def contains_none(*needles: str) -> str:
+    return " and ".join(f"not contains({{v}}, {quoted(n)})" for n in needles)
 
-def one_of(*values: str):
-    return lambda value: value.isin(*values)
 
+def one_of(*values: str) -> str:
+    return f"{{v}} in ({', '.join(quoted(v) for v in values)})"
 
-def cross_site_access(value: Column) -> Column:
-    return ~value.contains("*") & ~value.contains("null")
 
+def _trim(value: str) -> str:
+    return f"regexp_replace({value}, r'^{SPACE}+|{SPACE}+$', '')"
 
-def _trim(value: Column) -> Column:
-    return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
 
+def max_age(value: str) -> str:
+    """The text that should be a number: after the first ``max-age=``, up to ``;``, trimmed.
 
-def _max_age_text(value: Column) -> Column:
-    after = F.split_part(value, F.lit("max-age="), F.lit(2))
-    token = _trim(F.split_part(after, F.lit(";"), F.lit(1)))
-    return _trim(F.translate(token, "\u0093,", ""))
+    The control character U+0093 and commas are dropped from it.
+    """
+    token = _trim(f"split_part(split_part({value}, 'max-age=', 2), ';', 1)")
+    return _trim(f"translate({token}, '\\u0093,', '')")
 
 
-def _max_age_digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"[+_\-]", "")
+def _digits(number: str) -> str:
+    return f"regexp_replace({number}, '[+_-]', '')"
 
 
-def max_age_unreadable(value: Column) -> Column:
+def max_age_unreadable() -> str:
     """A ``max-age=`` that is not followed by a whole number."""
-    text = _max_age_text(value)
-    number = text.rlike(r"^[+-]?[0-9](_?[0-9])*$") & (F.length(_max_age_digits(text)) <= MAX_DIGITS)
-    return value.contains("max-age=") & ~number
+    number = max_age("{v}")
+    whole = (
+        f"{number} rlike '^[+-]?[0-9](_?[0-9])*$' and length({_digits(number)}) <= {MAX_DIGITS}"
+    )
+    return f"contains({{v}}, 'max-age=') and not ({whole})"
 
 
-def strict_transport(value: Column) -> Column:
+def strict_transport() -> str:
     """At least one year and sub-domains included.
 
     The age is compared as text (length first), so that no value is too long to compare.
     """
-    text = _max_age_text(value)
-    digits = F.regexp_replace(_max_age_digits(text), "^0+", "")
-    long_enough = (F.length(digits) > len(ONE_YEAR)) | (
-        (F.length(digits) == len(ONE_YEAR)) & (digits >= ONE_YEAR)
-    )
-    return (
-        value.contains("max-age=")
-        & value.contains("includesubdomains")
-        & ~text.startswith("-")
-        & long_enough
-    )
-
-
-def content_policy(value: Column) -> Column:
-    """All tests at once. The source list tests exclude the exact match, so none passes."""
-    inline = (
-        ~value.contains("unsafe-inline") | value.contains("nonce-") | value.contains("hash-")
+    number = max_age("{v}")
+    digits = f"regexp_replace({_digits(number)}, '^0+', '')"
+    long_enough = (
+        f"(length({digits}) > {len(ONE_YEAR)}"
+        f" or (length({digits}) = {len(ONE_YEAR)} and {digits} >= '{ONE_YEAR}'))"
     )
     return (
-        contains_all(
-            "default-src 'self'",
-            "form-action 'self'",
-            "object-src 'none'",
-            "upgrade-insecure-requests",
-            "block-all-mixed-content",
-        )(value)
-        & ~value.contains("unsafe-eval")
-        & inline
-        & value.isin("frame-ancestors 'self'", "frame-ancestors 'none'")
-        & ~value.contains("https://*")
+        f"{contains_all('max-age=', 'includesubdomains')}"
+        f" and not startswith({number}, '-') and {long_enough}"
     )
-
-
-def cookie(value: Column) -> Column:
-    same_site = value.contains("samesite=strict") | value.contains("samesite=lax")
-    return contains_all("secure", "httponly")(value) & same_site

@@ -1,45 +1,40 @@
 """URL helpers."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 HTTP = "http://"
 HTTPS = "https://"
 
 
-def host_of(url: Column) -> Column:
+def host_of(url: str) -> str:
     """Drop every ``http://`` and ``https://``, keep the text before the first ``/``, then ``:``."""
-    bare = F.replace(F.replace(url, F.lit(HTTP), F.lit("")), F.lit(HTTPS), F.lit(""))
-    return F.split_part(F.split_part(bare, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1))
+    bare = f"replace(replace({url}, '{HTTP}', ''), '{HTTPS}', '')"
+    return f"split_part(split_part({bare}, '/', 1), ':', 1)"
+
+
+def http_url(host: str) -> str:
+    return f"concat('{HTTP}', {host})"
 
 
-def probe_urls(host: Column) -> Column:
-    """The two addresses a scan tries, as struct(http_url, https_url)."""
-    return F.struct(
-        F.concat(F.lit(HTTP), host).alias("http_url"),
-        F.concat(F.lit(HTTPS), host).alias("https_url"),
-    )
+def https_url(host: str) -> str:
+    return f"concat('{HTTPS}', {host})"
 
 
-def domain_of(url: Column) -> Column:
+def domain_of(url: str) -> str:
     """Authority of a URL (its path when there is none), without ``www.`` and port.
 
     Letter case and user-info stay, unlike with ``parse_url(..., 'HOST')``.
     """
-    clean = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
-    rest = F.regexp_replace(clean, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", "")
-    authority = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
-    path = F.regexp_extract(F.regexp_replace(rest, r"^//[^/?#]*", ""), r"^([^?#]*)", 1)
-    path = F.regexp_replace(path, r";[^/]*$", "")
-    domain = F.when(authority != "", authority).otherwise(path)
-    return F.split_part(F.regexp_replace(domain, r"^www\.", ""), F.lit(":"), F.lit(1))
+    clean = rf"translate(regexp_replace({url}, r'^[\x00-\x20]+', ''), '\t\r\n', '')"
+    rest = rf"regexp_replace({clean}, r'^[a-zA-Z][a-zA-Z0-9+.\-]*:', '')"
+    authority = f"regexp_extract({rest}, r'^//([^/?#]*)', 1)"
+    path = f"regexp_extract(regexp_replace({rest}, r'^//[^/?#]*', ''), r'^([^?#]*)', 1)"
+    domain = f"coalesce(nullif({authority}, ''), regexp_replace({path}, r';[^/]*$', ''))"
+    return rf"split_part(regexp_replace({domain}, r'^www\.', ''), ':', 1)"
 
 
-def is_https(url: Column) -> Column:
-    return F.coalesce(F.startswith(url, F.lit(HTTPS)), F.lit(False))
+def is_https(url: str) -> str:
+    return f"coalesce(startswith({url}, '{HTTPS}'), false)"
 
 
-def stays_on_domain(host: Column, final_url: Column) -> Column:
+def stays_on_domain(host: str, final_url: str) -> str:
     """True when an https final URL has the domain the scan started from."""
-    same = F.coalesce(domain_of(host) == domain_of(final_url), F.lit(False))
-    return F.when(is_https(final_url), same).otherwise(F.lit(False))
+    return f"coalesce({is_https(final_url)} and {domain_of(host)} = {domain_of(final_url)}, false)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrade.operators.keyed import attach
@@ -15,73 +15,83 @@ MISSING, STRONG, WEAK = "Missing", "Strong", "Weak"
 
 
 def assess_values(
-    df: DataFrame, values: Mapping[str, Column], policy: Policy = DEFAULT_POLICY
+    df: DataFrame, values: Mapping[str, str], policy: Policy = DEFAULT_POLICY
 ) -> DataFrame:
-    """Add ``<h>_presence`` and ``<h>_config`` from one value column per header.
+    """Add ``<h>_presence`` and ``<h>_config`` from one value expression per header.
 
     A null or literal ``Missing`` value is absent. ``header_error`` names the first header whose
     value cannot be assessed.
     """
+    own = [f"`{c}`" for c in df.columns]
     lowered = {h: f"_value_{i}" for i, h in enumerate(policy.headers)}
-    prepared = df.select(
-        *df.columns,
-        *[
-            F.lower(F.nullif(values[h], F.lit(MISSING))).alias(lowered[h])
-            for h in policy.headers
-        ],
+    prepared = df.selectExpr(
+        *own,
+        *[f"lower(nullif({values[h]}, '{MISSING}')) as {lowered[h]}" for h in policy.headers],
     )
-    columns: list[Column] = []
-    for header in policy.headers:
-        value = F.col(lowered[header])
-        label = F.when(value.isNull(), MISSING).when(policy.rules[header](value), STRONG)
-        columns.append(value.isNotNull().alias(presence_col(header)))
-        columns.append(label.otherwise(WEAK).alias(config_col(header)))
+    columns = []
+    for header, value in lowered.items():
+        strong = policy.rules[header].format(v=value)
+        columns.append(f"{value} is not null as `{presence_col(header)}`")
+        columns.append(
+            f"case when {value} is null then '{MISSING}' when {strong} then '{STRONG}'"
+            f" else '{WEAK}' end as `{config_col(header)}`"
+        )
     problems = [
-        F.when(test(F.col(lowered[header])), F.lit(f"unreadable value of {header}"))
+        f"if({test.format(v=lowered[header])}, 'unreadable value of {header}', null)"
         for header, test in policy.unreadable.items()
     ]
-    error = F.coalesce(*problems) if problems else F.lit(None).cast("string")
-    return prepared.select(*df.columns, *columns, error.alias("header_error"))
+    error = f"coalesce({', '.join([*problems, 'cast(null as string)'])}) as header_error"
+    return prepared.selectExpr(*own, *columns, error)
 
 
 def assess_headers(
     df: DataFrame, headers: str = "headers", policy: Policy = DEFAULT_POLICY
 ) -> DataFrame:
     """Same from a name-to-value map: names in any case, the last of equal names wins."""
-    names, values = "_header_names", "_header_values"
-    listed = df.select(
-        *df.columns,
-        F.reverse(F.transform(F.map_keys(headers), F.lower)).alias(names),
-        F.reverse(F.map_values(headers)).alias(values),
+    listed = df.selectExpr(
+        "*",
+        f"reverse(transform(map_keys({headers}), name -> lower(name))) as _names",
+        f"reverse(map_values({headers})) as _values",
     )
     by_header = {
-        h: F.get(F.col(values), (F.array_position(F.col(names), h) - 1).cast("int"))
-        for h in policy.headers
+        h: f"get(_values, cast(array_position(_names, '{h}') - 1 as int))" for h in policy.headers
     }
-    return (
-        assess_values(listed, by_header, policy)
-        .withColumn("raw_headers", F.to_json(headers))
-        .drop(names, values)
-    )
+    assessed = assess_values(listed, by_header, policy)
+    return assessed.selectExpr("*", f"to_json({headers}) as raw_headers").drop("_names", "_values")
 
 
 def split_errors(
-    df: DataFrame, error: Column, policy: Policy = DEFAULT_POLICY, keys: tuple[str, ...] = (ID,)
+    df: DataFrame, error: str, policy: Policy = DEFAULT_POLICY, keys: tuple[str, ...] = (ID,)
 ) -> tuple[DataFrame, DataFrame]:
     """(results, errors). An institution's first failing platform is its error row.
 
     Platforms are scanned in policy order: those before the first failure are results, those
     after it were never scanned. Rows without a key stand for themselves.
     """
-    order = F.array_position(F.lit(list(policy.platforms)), F.col("platform"))
-    ranked = df.withColumn("error", error).withColumn("_order", order)
-    failures = ranked.filter(F.col("error").isNotNull())
-    for key in keys:
-        failures = failures.filter(F.col(key).isNotNull())
-    first = failures.groupBy(*keys).agg(F.min("_order").alias("_first"))
+    marked = mark_outcome(df, error, policy, keys)
+    results = marked.filter("outcome = 'result'").drop("outcome", "error")
+    return results, marked.filter("outcome = 'error'").drop("outcome")
+
+
+def mark_outcome(
+    df: DataFrame, error: str, policy: Policy = DEFAULT_POLICY, keys: tuple[str, ...] = (ID,)
+) -> DataFrame:
+    """Add ``error`` and ``outcome``: ``result``, ``error``, or null for rows never scanned."""
+    platforms = ", ".join(f"'{p}'" for p in policy.platforms)
+    ranked = df.withColumns(
+        {
+            "error": F.expr(error),
+            "_order": F.expr(f"array_position(array({platforms}), platform)"),
+        }
+    )
+    known = " and ".join(f"`{key}` is not null" for key in keys)
+    first = (
+        ranked.filter(f"error is not null and {known}")
+        .groupBy(*keys)
+        .agg(F.min("_order").alias("_first"))
+    )
+    outcome = """case when error is null and (_first is null or _order < _first) then 'result'
+                      when error is not null and (_first is null or _order = _first) then 'error'
+                 end"""
     marked = attach(ranked, first, list(keys))
-    before = F.col("_first").isNull() | (F.col("_order") < F.col("_first"))
-    at = F.col("_first").isNull() | (F.col("_order") == F.col("_first"))
-    results = marked.filter(F.col("error").isNull() & before).drop("error", "_order", "_first")
-    errors = marked.filter(F.col("error").isNotNull() & at).drop("_order", "_first")
-    return results, errors
+    return marked.withColumn("outcome", F.expr(outcome)).drop("_order", "_first")

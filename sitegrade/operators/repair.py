@@ -1,7 +1,8 @@
-"""Repair of result rows whose platform value was written ten columns too early."""
+"""Repair of result rows whose platform value was written too early in the line."""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
 
 from sitegrade.policy import DEFAULT_POLICY, Policy
 
@@ -13,16 +14,11 @@ def repair_shifted_rows(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
 
     Works on string columns by position; the column names stay.
     """
-    names = df.columns
-    shifted = F.col(f"`{names[FIRST]}`").isin(*policy.platforms)
-
-    def source_of(i: int) -> int:
-        return FIRST if i == LAST else i + 1
-
-    def fixed(i: int, name: str) -> Column:
-        own = F.col(f"`{name}`")
-        if not FIRST <= i <= LAST:
-            return own
-        return F.when(shifted, F.col(f"`{names[source_of(i)]}`")).otherwise(own).alias(name)
-
-    return df.select(*[fixed(i, name) for i, name in enumerate(names)])
+    names = [f"`{name}`" for name in df.columns]
+    platforms = ", ".join(f"'{p}'" for p in policy.platforms)
+    span = names[FIRST : LAST + 1]
+    rotated = [*span[1:], span[0]]
+    fixed = [
+        f"if({span[0]} in ({platforms}), {new}, {old}) as {old}" for old, new in zip(span, rotated)
+    ]
+    return df.selectExpr(*names[:FIRST], *fixed, *names[LAST + 1 :])

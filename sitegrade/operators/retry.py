@@ -1,5 +1,7 @@
 """Which institutions to scan again."""
 
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,13 @@ def retry_worklist(
     the number of error rows is the number of failed passes. Nothing is deleted or overwritten.
     """
     last = policy.platforms[-1]
-    outcomes = errors.select(ID, F.lit(1).alias("failed"), F.lit(False).alias("done")).unionByName(
-        results.select(ID, F.lit(0).alias("failed"), (F.col("platform") == last).alias("done"))
+    outcomes = errors.selectExpr(ID, "1L as failed", "false as done").unionByName(
+        results.selectExpr(ID, "0L as failed", f"platform <=> '{last}' as done")
     )
     pending = (
-        outcomes.filter(F.col(ID).isNotNull())
+        outcomes.filter(f"{ID} is not null")
         .groupBy(ID)
         .agg(F.sum("failed").alias("failures"), F.bool_or("done").alias("finished"))
-        .filter(
-            (F.col("failures") > 0)
-            & (F.col("failures") < policy.max_passes)
-            & ~F.coalesce("finished", F.lit(False))
-        )
+        .filter(f"failures > 0 and failures < {policy.max_passes} and not finished")
     )
     return keep_matching(source, pending, [ID])

@@ -1,6 +1,8 @@
 """Fold captured browser logs into one record per page load, then into one scan per platform."""
 
-from pyspark.sql import Column, DataFrame
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrade.functions.labels import accept_language
@@ -9,7 +11,8 @@ from sitegrade.operators.keyed import attach
 from sitegrade.policy import DEFAULT_POLICY, Policy
 from sitegrade.schemas import ID
 
-ATTEMPT_KEYS = (ID, "platform", "attempt")
+SCAN_KEYS = (ID, "platform")
+ATTEMPT_KEYS = (*SCAN_KEYS, "attempt")
 
 REQUEST_EVENT = "Network.requestWillBeSent"
 RESPONSE_EVENT = "Network.responseReceived"
@@ -29,57 +32,43 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
     One shuffle; each task first combines its own events, so a page load that holds a large part
     of all events still moves one row per task.
     """
-    parsed = logs.select(
-        *keys, "seq", "final_url", F.from_json("message", MESSAGE_SCHEMA)["message"].alias("event")
+    parsed = logs.selectExpr(
+        *keys, "seq", "final_url", f"from_json(message, '{MESSAGE_SCHEMA}').message as event"
+    )
+    redirected = (
+        f"coalesce(contains(event.method, '{REQUEST_EVENT}')"
+        " and event.params.redirectResponse.status between 300 and 399, false)"
+    )
+    landed = (
+        f"coalesce(contains(event.method, '{RESPONSE_EVENT}')"
+        " and event.params.response.url = final_url, false)"
     )
-    method = F.col("event.method")
-    redirect_status = F.col("event.params.redirectResponse.status")
-    response = F.col("event.params.response")
-    redirected = method.contains(REQUEST_EVENT) & redirect_status.between(300, 399)
-    landed = method.contains(RESPONSE_EVENT) & (response["url"] == F.col("final_url"))
-    facts = parsed.select(
+    facts = parsed.selectExpr(
         *keys,
         "seq",
         "final_url",
-        method.isNull().alias("unreadable"),
-        F.coalesce(redirected, F.lit(False)).alias("redirected"),
-        F.when(redirected, redirect_status).when(landed, response["status"]).alias("status"),
-        F.when(landed, response).alias("page"),
+        "event.method is null as unreadable",
+        f"{redirected} as redirected",
+        f"case when {redirected} then event.params.redirectResponse.status"
+        f" when {landed} then event.params.response.status end as status",
+        f"if({landed}, event.params.response, null) as page",
     )
-    return (
-        facts.groupBy(*keys)
-        .agg(
-            F.min_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias(
-                "initial_status"
-            ),
-            F.count_if("redirected").cast("int").alias("redirect_count"),
-            F.max_by("page", F.when(F.col("page").isNotNull(), F.col("seq"))).alias("page"),
-            F.max("final_url").alias("final_url"),
-            F.count_if("unreadable").alias("unreadable_events"),
-        )
-        .select(
-            *keys,
-            "initial_status",
-            F.col("page.status").alias("final_status"),
-            "redirect_count",
-            F.coalesce("page.headers", F.expr("cast(map() as map<string, string>)")).alias(
-                "headers"
-            ),
-            F.coalesce(F.nullif(F.col("page.protocol"), F.lit("")), F.lit(UNKNOWN_PROTOCOL)).alias(
-                "protocol"
-            ),
-            "final_url",
-            "unreadable_events",
-        )
+    folded = facts.groupBy(*keys).agg(
+        F.expr("min_by(status, if(status is not null, seq, null))").alias("initial_status"),
+        F.expr("cast(count_if(redirected) as int)").alias("redirect_count"),
+        F.expr("max_by(page, if(page is not null, seq, null))").alias("page"),
+        F.expr("max(final_url)").alias("final_url"),
+        F.expr("count_if(unreadable)").alias("unreadable_events"),
     )
-
-
-def _scan_error(http: Column, https: Column, used: Column) -> Column:
-    unreadable = (http["unreadable_events"] > 0) | (used["unreadable_events"] > 0)
-    return (
-        F.when(http.isNull(), "no page load over http")
-        .when(~is_https(http["final_url"]) & https.isNull(), "no page load over https")
-        .when(unreadable, "unreadable log event")
+    return folded.selectExpr(
+        *keys,
+        "initial_status",
+        "page.status as final_status",
+        "redirect_count",
+        "coalesce(page.headers, cast(map() as map<string, string>)) as headers",
+        f"coalesce(nullif(page.protocol, ''), '{UNKNOWN_PROTOCOL}') as protocol",
+        "final_url",
+        "unreadable_events",
     )
 
 
@@ -89,27 +78,26 @@ def combine_attempts(folded: DataFrame) -> DataFrame:
     The https load only counts when the http load did not end in https. ``error`` is null unless
     a needed load is absent or its log unreadable.
     """
-    keys = list(ATTEMPT_KEYS[:2])
-    record = F.struct(*[name for name in folded.columns if name not in ATTEMPT_KEYS])
-    pair = folded.groupBy(*keys).agg(
-        F.any_value(F.when(F.col("attempt") == 1, record), ignoreNulls=True).alias("http"),
-        F.any_value(F.when(F.col("attempt") == 2, record), ignoreNulls=True).alias("https"),
+    record = f"struct({', '.join(c for c in folded.columns if c not in ATTEMPT_KEYS)})"
+    pairs = folded.groupBy(*SCAN_KEYS).agg(
+        F.expr(f"any_value(if(attempt = 1, {record}, null), true)").alias("http"),
+        F.expr(f"any_value(if(attempt = 2, {record}, null), true)").alias("https"),
     )
-    http, https = F.col("http"), F.col("https")
-    to_https = is_https(http["final_url"])
-    pair = pair.withColumn("used", F.when(to_https, http).otherwise(https))
-    used = F.col("used")
-    return pair.select(
-        *keys,
-        http["initial_status"].alias("http_status_code"),
-        used["final_status"].alias("https_status_code"),
-        to_https.alias("redirected_to_https"),
-        http["final_url"].alias("http_final_url"),
-        used["final_url"].alias("final_url"),
-        used["protocol"].alias("protocol_http"),
-        used["redirect_count"].alias("redirect_count"),
-        used["headers"].alias("headers"),
-        _scan_error(http, https, used).alias("error"),
+    to_https = is_https("http.final_url")
+    return pairs.selectExpr("*", f"if({to_https}, http, https) as used").selectExpr(
+        *SCAN_KEYS,
+        "http.initial_status as http_status_code",
+        "used.final_status as https_status_code",
+        f"{to_https} as redirected_to_https",
+        "http.final_url as http_final_url",
+        "used.final_url as final_url",
+        "used.protocol as protocol_http",
+        "used.redirect_count as redirect_count",
+        "used.headers as headers",
+        f"""case when http is null then 'no page load over http'
+                 when not {to_https} and https is null then 'no page load over https'
+                 when http.unreadable_events > 0 or used.unreadable_events > 0
+                 then 'unreadable log event' end as error""",
     )
 
 
@@ -118,12 +106,13 @@ def join_source(scans: DataFrame, source: DataFrame, policy: Policy = DEFAULT_PO
 
     ``source`` holds ``country`` and ``Url`` besides the key; one row per institution.
     """
+    same_domain = stays_on_domain(host_of("Url"), "http_final_url")
     return (
         attach(scans, source, [ID])
-        .withColumn("idioma", accept_language(F.col("country"), dict(policy.languages)))
-        .withColumn(
-            "redirected_https_to_same_domain",
-            stays_on_domain(host_of(F.col("Url")), F.col("http_final_url")),
+        .selectExpr(
+            "*",
+            f"{accept_language('country', dict(policy.languages))} as idioma",
+            f"{same_domain} as redirected_https_to_same_domain",
         )
         .drop("http_final_url")
     )

@@ -9,13 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrade.functions.numeric import hundredths, order_free_mean, round2
+from sitegrade.functions.numeric import literal, order_free_mean, round2
 from sitegrade.functions.urls import HTTP, HTTPS, is_https
 from sitegrade.operators.keyed import attach
 from sitegrade.policy import DEFAULT_POLICY, Policy
@@ -28,14 +26,15 @@ HTTP_FLAG = "http_inconsistency_between_platforms"
 HEADER_WEIGHT, REDIRECT_WEIGHT = 0.6, 0.4
 CRITICAL_FACTOR, HEADER_FACTOR, REDIRECT_FACTOR, HTTP_FACTOR = 0.85, 0.90, 0.9, 0.1
 H3_FACTOR, H2_FACTOR = 1.3, 1.1
-SAME_DOMAIN_POINTS, OTHER_DOMAIN_POINTS = 100, 70
+FACTORS = (1.0, H2_FACTOR, H3_FACTOR)
+SAME_DOMAIN_POINTS, OTHER_DOMAIN_POINTS = 100.0, 70.0
 GRADES = ((0, 20, "F"), (20, 35, "E"), (35, 50, "D"), (50, 65, "C"), (65, 80, "B"), (80, 101, "A"))
 
-# Bits of one header in a "seen" mask.
-_SEEN_PRESENT, _SEEN_ABSENT = 1, 2
-_SEEN_LABELS = {"Missing": 4, "Weak": 8, "Strong": 16}
-_SEEN_OTHER = 32
-_BITS, _PER_MASK = 6, 10
+# What a "seen" mask records of one header: presence true and false, and its labels.
+SEEN_LABELS = ("Missing", "Weak", "Strong")
+_PRESENCE_BITS = 2
+_BITS = _PRESENCE_BITS + len(SEEN_LABELS) + 1
+_PER_MASK = 63 // _BITS
 
 
 def platform_count(df: DataFrame) -> DataFrame:
@@ -46,121 +45,108 @@ def platform_count(df: DataFrame) -> DataFrame:
 # ---- score of one row -------------------------------------------------------------------------
 
 
-def header_points(header: str, policy: Policy = DEFAULT_POLICY) -> Column:
+def header_points(header: str, policy: Policy = DEFAULT_POLICY) -> str:
     """Points of one header. The domain is finite, so the values are literals of the plan."""
-    label = F.lower(F.col(f"`{config_col(header)}`"))
-    points = (
-        F.when(label == "strong", policy.header_points(header, "strong"))
-        .when(label == "weak", policy.header_points(header, "weak"))
-        .otherwise(policy.header_points(header, None))
+    points = {label: literal(policy.header_points(header, label)) for label in ("strong", "weak", None)}
+    return (
+        f"case when not coalesce(`{presence_col(header)}`, false) then 0D"
+        f" else case lower(`{config_col(header)}`) when 'strong' then {points['strong']}"
+        f" when 'weak' then {points['weak']} else {points[None]} end end"
     )
-    return F.when(F.col(f"`{presence_col(header)}`"), points).otherwise(0.0)
 
 
-def header_row_score(policy: Policy = DEFAULT_POLICY) -> Column:
-    return round2(reduce(lambda total, h: total + header_points(h, policy), policy.headers, F.lit(0.0)))
+def header_row_score(policy: Policy = DEFAULT_POLICY) -> str:
+    return round2(" + ".join(header_points(h, policy) for h in policy.headers))
 
 
-def redirect_row_score() -> Column:
-    same = F.coalesce(F.col("redirected_https_to_same_domain"), F.lit(False))
-    return F.when(
-        F.col("redirected_to_https"),
-        F.when(same, float(SAME_DOMAIN_POINTS)).otherwise(float(OTHER_DOMAIN_POINTS)),
-    ).otherwise(0.0)
+def redirect_row_score() -> str:
+    return (
+        "case when not coalesce(redirected_to_https, false) then 0D"
+        f" when redirected_https_to_same_domain then {literal(SAME_DOMAIN_POINTS)}"
+        f" else {literal(OTHER_DOMAIN_POINTS)} end"
+    )
 
 
-def http_row_score() -> Column:
-    https = round(100 / H3_FACTOR, 2), round(100 / H3_FACTOR * H2_FACTOR, 2), 100.0
-    plain, h2, h3 = https
-    protocol = F.lower("protocol_http")
-    return F.when(
-        F.startswith(F.lower("final_url"), F.lit(HTTPS)),
-        F.when(protocol == "h2", h2).when(protocol == "h3", h3).otherwise(plain),
-    ).otherwise(1.0)
+def http_row_score() -> str:
+    plain, h2, h3 = (literal(round(100 / H3_FACTOR * factor, 2)) for factor in FACTORS)
+    return (
+        f"case when not coalesce(startswith(lower(final_url), '{HTTPS}'), false) then 1D"
+        f" else case lower(protocol_http) when 'h2' then {h2} when 'h3' then {h3}"
+        f" else {plain} end end"
+    )
 
 
-def protocol_factor() -> Column:
-    protocol = F.lower("protocol_http")
-    return F.when(protocol == "h3", H3_FACTOR).when(protocol == "h2", H2_FACTOR).otherwise(1.0)
+def protocol_factor() -> str:
+    return (
+        f"case lower(protocol_http) when 'h3' then {literal(H3_FACTOR)}"
+        f" when 'h2' then {literal(H2_FACTOR)} else 1D end"
+    )
 
 
-def unknown_scheme() -> Column:
-    url = F.lower("final_url")
-    known = F.startswith(url, F.lit(HTTPS)) | F.startswith(url, F.lit(HTTP))
-    return ~F.coalesce(known, F.lit(False))
+def unknown_scheme() -> str:
+    url = "lower(final_url)"
+    return f"not coalesce(startswith({url}, '{HTTPS}') or startswith({url}, '{HTTP}'), false)"
 
 
-def unknown_protocol() -> Column:
-    known = F.lower("protocol_http").isin("h2", "h3", "http/1.1", "http/1.0")
-    return ~F.coalesce(known, F.lit(False))
+def unknown_protocol() -> str:
+    known = "lower(protocol_http) in ('h2', 'h3', 'http/1.1', 'http/1.0')"
+    return f"not coalesce({known}, false)"
 
 
 # ---- what an institution's rows have shown ----------------------------------------------------
 
 
-def _masks(policy: Policy) -> list[list[str]]:
-    headers = list(policy.headers)
+def _masks(policy: Policy) -> list[tuple[str, ...]]:
+    headers = policy.headers
     return [headers[i : i + _PER_MASK] for i in range(0, len(headers), _PER_MASK)]
 
 
-def _seen(headers: list[str]) -> Column:
+def seen_mask(headers: tuple[str, ...]) -> str:
     """All presence and label values of one row as bits of a bigint.
 
     ``bit_or`` over an institution then tells which values occurred. Two bigints replace a
     minimum and maximum of every presence and label column in the shuffle. Labels outside
     Missing/Weak/Strong share one bit.
     """
-
-    def bits(i: int, header: str) -> list[Column]:
-        shift = _BITS * i
-        present, label = F.col(f"`{presence_col(header)}`"), F.col(f"`{config_col(header)}`")
-        presence = F.when(present, _SEEN_PRESENT << shift).when(~present, _SEEN_ABSENT << shift)
-        config = F.when(label == "Missing", _SEEN_LABELS["Missing"] << shift)
-        config = config.when(label == "Weak", _SEEN_LABELS["Weak"] << shift)
-        config = config.when(label == "Strong", _SEEN_LABELS["Strong"] << shift)
-        config = config.when(label.isNotNull(), _SEEN_OTHER << shift)
-        return [part.otherwise(0).cast("bigint") for part in (presence, config)]
-
-    parts = [part for i, header in enumerate(headers) for part in bits(i, header)]
-    return reduce(lambda total, part: total.bitwiseOR(part), parts)
+    labels = ", ".join(f"'{label}'" for label in SEEN_LABELS)
+    parts = []
+    for i, header in enumerate(headers):
+        low = _BITS * i
+        # Bit 0 of the labels: any other label (position 0 in the list).
+        position = f"cast(array_position(array({labels}), `{config_col(header)}`) as int)"
+        parts.append(f"coalesce(if(`{presence_col(header)}`, {1 << low}L, {2 << low}L), 0L)")
+        parts.append(f"coalesce(shiftleft({4 << low}L, {position}), 0L)")
+    return " | ".join(parts)
+
+
+def _varied(policy: Policy, names: tuple[str, ...]) -> str:
+    """Some presence or label column of ``names`` has more than one value."""
+    presence = (1 << _PRESENCE_BITS) - 1
+    labels = ((1 << _BITS) - 1) ^ presence
+    tests = [
+        f"bit_count(_seen_{m} & {group << _BITS * i}L) > 1"
+        for m, headers in enumerate(_masks(policy))
+        for i, header in enumerate(headers)
+        if header in names
+        for group in (presence, labels)
+    ]
+    return " or ".join(tests) if tests else "false"
 
 
-def _varied(policy: Policy, names: tuple[str, ...]) -> Column:
-    """Some presence or label column of ``names`` has more than one value."""
-    presence = _SEEN_PRESENT | _SEEN_ABSENT
-    labels = sum(_SEEN_LABELS.values()) | _SEEN_OTHER
-    tests = []
-    for m, headers in enumerate(_masks(policy)):
-        for i, header in enumerate(headers):
-            if header in names:
-                for group in (presence, labels):
-                    seen = F.col(f"_seen_{m}").bitwiseAND(F.lit(group << _BITS * i).cast("bigint"))
-                    tests.append(F.bit_count(seen) > 1)
-    return reduce(or_, tests, F.lit(False))
-
-
-def _differs(column: Column) -> list[Column]:
-    return F.coalesce(F.min(column) != F.max(column), F.lit(False))
-
-
-def _mean(score: str) -> Column:
-    return round2(
-        order_free_mean(
-            F.sum(F.col(score)), F.sum(hundredths(F.col(score))), F.count(F.col(score))
-        )
-    )
+def _differs(value: str) -> str:
+    return f"coalesce(min({value}) <> max({value}), false)"
 
 
-def _number(flag: str) -> Column:
-    return F.coalesce(F.col(flag).cast("double"), F.lit(0.0))
+def _mean(score: str) -> str:
+    return round2(order_free_mean(score))
 
 
-def _distance(n: Column) -> Column:
-    return F.lit(1.0) - n.cast("double") / 100
+def _penalty(flag: str, factor: float, distance: str) -> str:
+    return f"if({flag}, 1D, 0D) * {literal(factor)} * {distance}"
 
 
-def _positive_or_one(penalty: Column) -> Column:
-    return F.when(penalty > 0, penalty).otherwise(1.0)
+DISTANCE = "(1D - _n / 100D)"
+NEARNESS = "(_n / 100D)"
 
 
 # ---- components -------------------------------------------------------------------------------
@@ -168,63 +154,59 @@ def _positive_or_one(penalty: Column) -> Column:
 
 @dataclass(frozen=True)
 class Component:
-    """How one part of the score is computed."""
-
-    rows: Callable[[Policy], dict[str, Column]]
-    values: Callable[[Policy], dict[str, Column]]
-    derived: Callable[[Policy], dict[str, Column]]
-    result: Callable[[Column], dict[str, Column]]
-
-
-def _header_result(n: Column) -> dict[str, Column]:
-    penalty = _positive_or_one(
-        _number(CRITICAL_FLAG) * CRITICAL_FACTOR * _distance(n)
-        + _number(HEADER_FLAG) * HEADER_FACTOR * _distance(n)
-    )
-    score = (F.col("header_avg_score_btw_platforms") * protocol_factor()) * penalty
-    capped = F.when(score > 100, 100.0).otherwise(score)
-    return {"header_component_score": round2(capped)}
-
-
-def _redirect_result(n: Column) -> dict[str, Column]:
-    penalty = _positive_or_one(_number(REDIRECT_FLAG) * REDIRECT_FACTOR * _distance(n))
-    score = F.col("redirect_avg_score_btw_platforms") * penalty
-    capped = F.when(score > 100, 100.0).otherwise(score)
-    return {"redirect_component_score": round2(capped)}
-
-
-def _http_result(n: Column) -> dict[str, Column]:
-    penalty = _positive_or_one(_number(HTTP_FLAG) * HTTP_FACTOR * (n.cast("double") / 100))
-    score = F.col("http_avg_score_btw_platforms") * penalty
-    capped = F.when(score > 100, 100.0).otherwise(score)
-    return {"http_component_score": round2(capped)}
+    """How one part of the score is computed; all expressions are SQL text."""
+
+    name: str
+    rows: Callable[[Policy], dict[str, str]]
+    values: Callable[[Policy], dict[str, str]]
+    derived: Callable[[Policy], dict[str, str]]
+    penalty: str
+    uses_protocol: bool = False
+
+    def add_result(self, df: DataFrame, factor: str, suffix: str = "") -> DataFrame:
+        """Add the component score; needs the institution values and ``_n`` in ``df``."""
+        penalty, raw = f"_{self.name}_penalty{suffix}", f"_{self.name}_raw{suffix}"
+        mean = f"{self.name}_avg_score_btw_platforms"
+        if self.uses_protocol:
+            mean = f"({mean} * {factor})"
+        df = df.withColumn(penalty, F.expr(self.penalty))
+        df = df.withColumn(raw, F.expr(f"{mean} * if({penalty} > 0, {penalty}, 1D)"))
+        score = round2(f"if({raw} > 100, 100D, {raw})")
+        return df.withColumn(f"{self.name}_component_score{suffix}", F.expr(score)).drop(penalty, raw)
 
 
 HEADERS = Component(
+    name="header",
     rows=lambda policy: {"header_score_by_platform": header_row_score(policy)},
     values=lambda policy: {
         "header_avg_score_btw_platforms": _mean("header_score_by_platform"),
-        **{f"_seen_{m}": F.bit_or(_seen(names)) for m, names in enumerate(_masks(policy))},
+        **{f"_seen_{m}": f"bit_or({seen_mask(names)})" for m, names in enumerate(_masks(policy))},
     },
     derived=lambda policy: {
         CRITICAL_FLAG: _varied(policy, policy.critical),
         HEADER_FLAG: _varied(policy, policy.headers),
     },
-    result=_header_result,
+    penalty=_penalty(CRITICAL_FLAG, CRITICAL_FACTOR, DISTANCE)
+    + " + "
+    + _penalty(HEADER_FLAG, HEADER_FACTOR, DISTANCE),
+    uses_protocol=True,
 )
 
 REDIRECT = Component(
+    name="redirect",
     rows=lambda policy: {"redirect_score_by_platform": redirect_row_score()},
     values=lambda policy: {
         "redirect_avg_score_btw_platforms": _mean("redirect_score_by_platform"),
-        REDIRECT_FLAG: _differs(F.col("redirected_to_https"))
-        | _differs(F.col("redirected_https_to_same_domain")),
+        REDIRECT_FLAG: _differs("redirected_to_https")
+        + " or "
+        + _differs("redirected_https_to_same_domain"),
     },
     derived=lambda policy: {},
-    result=_redirect_result,
+    penalty=_penalty(REDIRECT_FLAG, REDIRECT_FACTOR, DISTANCE),
 )
 
 HTTP_VERSION = Component(
+    name="http",
     rows=lambda policy: {
         "http_score_by_platform": http_row_score(),
         "unknown_scheme": unknown_scheme(),
@@ -232,23 +214,41 @@ HTTP_VERSION = Component(
     },
     values=lambda policy: {
         "http_avg_score_btw_platforms": _mean("http_score_by_platform"),
-        HTTP_FLAG: _differs(is_https(F.col("final_url"))),
+        HTTP_FLAG: _differs(is_https("final_url")),
     },
     derived=lambda policy: {},
-    result=_http_result,
+    penalty=_penalty(HTTP_FLAG, HTTP_FACTOR, NEARNESS),
 )
 
+FINAL_PARTS = (HEADERS, REDIRECT)
+
 
-def _institutions(rows: DataFrame, components: tuple[Component, ...], policy: Policy) -> DataFrame:
-    values = {name: c for part in components for name, c in part.values(policy).items()}
-    derived = {name: c for part in components for name, c in part.derived(policy).items()}
+def _row_scores(df: DataFrame, components: tuple[Component, ...], policy: Policy) -> DataFrame:
+    scores = {name: sql for part in components for name, sql in part.rows(policy).items()}
+    return df.selectExpr("*", *[f"{sql} as {name}" for name, sql in scores.items()])
+
+
+def _institutions(
+    rows: DataFrame,
+    components: tuple[Component, ...],
+    policy: Policy,
+    more: dict[str, str] | None = None,
+) -> DataFrame:
+    """One row per institution: means, flags, and the ``more`` aggregates asked for."""
+    values = {name: sql for part in components for name, sql in part.values(policy).items()}
+    derived = {name: sql for part in components for name, sql in part.derived(policy).items()}
+    values |= more or {}
     grouped = (
-        rows.filter(F.col(ID).isNotNull())
+        rows.filter(f"{ID} is not null")
         .groupBy(ID)
-        .agg(*[column.alias(name) for name, column in values.items()])
+        .agg(*[F.expr(sql).alias(name) for name, sql in values.items()])
     )
     public = [name for name in values if not name.startswith("_seen_")]
-    return grouped.select(ID, *public, *[c.alias(name) for name, c in derived.items()])
+    return grouped.selectExpr(ID, *public, *[f"{sql} as {name}" for name, sql in derived.items()])
+
+
+def _platforms(df: DataFrame, n_platforms: int | None) -> Column:
+    return F.lit(n_platforms) if n_platforms is not None else platform_count(df).scalar()
 
 
 def _score(
@@ -257,12 +257,12 @@ def _score(
     policy: Policy,
     n_platforms: int | None,
 ) -> DataFrame:
-    row_columns = {name: c for part in components for name, c in part.rows(policy).items()}
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in row_columns.items()])
-    known = F.lit(n_platforms) if n_platforms is not None else platform_count(df).scalar()
-    joined = attach(rows, _institutions(rows, components, policy), [ID]).withColumn("_n", known)
-    results = {name: c for part in components for name, c in part.result(F.col("_n")).items()}
-    return joined.withColumns(results).drop("_n")
+    rows = _row_scores(df, components, policy)
+    joined = attach(rows, _institutions(rows, components, policy), [ID])
+    joined = joined.withColumn("_n", _platforms(df, n_platforms))
+    for part in components:
+        joined = part.add_result(joined, protocol_factor())
+    return joined.drop("_n")
 
 
 def header_scores(
@@ -284,12 +284,16 @@ def http_scores(
     return _score(df, (HTTP_VERSION,), policy, n_platforms)
 
 
-def grade(score: Column) -> Column:
-    chain = None
-    for low, high, name in GRADES:
-        inside = (score >= low) & (score < high)
-        chain = F.when(inside, name) if chain is None else chain.when(inside, name)
-    return chain
+def _final_score(header: str, redirect: str) -> str:
+    weighted = f"{header} * {literal(HEADER_WEIGHT)} + {redirect} * {literal(REDIRECT_WEIGHT)}"
+    return round2(weighted)
+
+
+def grade(score: str) -> str:
+    branches = " ".join(
+        f"when {score} >= {low} and {score} < {high} then '{name}'" for low, high, name in GRADES
+    )
+    return f"case {branches} end"
 
 
 def final_scores(
@@ -299,31 +303,85 @@ def final_scores(
 
     ``n_platforms`` is counted in the table when not given.
     """
-    scored = _score(df, (HEADERS, REDIRECT), policy, n_platforms)
-    total = round2(
-        F.col("header_component_score") * HEADER_WEIGHT
-        + F.col("redirect_component_score") * REDIRECT_WEIGHT
+    scored = _score(df, FINAL_PARTS, policy, n_platforms)
+    total = _final_score("header_component_score", "redirect_component_score")
+    return scored.selectExpr("*", f"{total} as final_score").selectExpr(
+        "*", f"{grade('final_score')} as grade"
     )
-    return scored.withColumn("final_score", total).withColumn("grade", grade(F.col("final_score")))
 
 
 def stamp_analysis(df: DataFrame) -> DataFrame:
     return df.withColumn("analysis_datetime", F.current_timestamp())
 
 
+def _record(columns: list[str], prefix: str = "") -> str:
+    return ", ".join(f"{prefix}`{name}`" for name in columns)
+
+
+def _hashable(df: DataFrame, columns: list[str]) -> list[str]:
+    kinds = dict(df.dtypes)
+    return [name for name in columns if not kinds[name].startswith("map<")]
+
+
 def worst_observation(scored: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Each institution's row with the lowest final score; ties go to the first platform name.
 
     ``min_by`` combines on the map side, so a hot institution sends one row per task. Name the
-    ``columns`` needed later: everything else stays out of the shuffle.
+    ``columns`` needed later: everything else stays out of the shuffle. Rows that also agree in
+    the platform are ordered by a hash of their content.
     """
     kept = columns or scored.columns
-    fields = [F.col(f"`{name}`") for name in kept]
-    flat = [c for c, name in zip(fields, kept) if "map<" not in dict(scored.dtypes)[name]]
-    order = F.struct(F.col("final_score"), F.col("platform"), F.xxhash64(*flat))
+    order = f"struct(final_score, platform, xxhash64({_record(_hashable(scored, kept))}))"
     return (
-        scored.filter(F.col(ID).isNotNull() & F.col("final_score").isNotNull())
+        scored.filter(f"{ID} is not null and final_score is not null")
         .groupBy(F.col(ID).alias("_id"))
-        .agg(F.min_by(F.struct(*fields), order).alias("row"))
+        .agg(F.expr(f"min_by(struct({_record(kept)}), {order})").alias("row"))
         .select("row.*")
     )
+
+
+def worst_scores(
+    df: DataFrame,
+    columns: list[str],
+    policy: Policy = DEFAULT_POLICY,
+    n_platforms: int | None = None,
+) -> DataFrame:
+    """``worst_observation(final_scores(df))`` in one aggregation: no join back to the rows.
+
+    Within an institution the final score depends on the row only through the protocol factor,
+    which has three values. So the first row per factor is kept next to the institution's values,
+    each is scored, and the lowest of at most three is the answer. ``columns`` are row columns of
+    ``df``; the score columns are added.
+    """
+    rows = _row_scores(df, FINAL_PARTS, policy)
+    kept = list(dict.fromkeys([ID, "platform", *columns]))
+    content = f"xxhash64({_record(_hashable(rows, kept))})"
+    rows = rows.selectExpr("*", f"{protocol_factor()} as _factor", f"{content} as _content")
+    firsts = {
+        f"_row_{i}": f"min_by(struct({_record(kept)}, _content), "
+        f"if(_factor = {literal(factor)}, struct(platform, _content), null))"
+        for i, factor in enumerate(FACTORS)
+    }
+    values = _institutions(rows, FINAL_PARTS, policy, firsts)
+    values = values.withColumn("_n", _platforms(df, n_platforms))
+    values = REDIRECT.add_result(values, "1D")
+    candidates = []
+    for i, factor in enumerate(FACTORS):
+        values = HEADERS.add_result(values, literal(factor), f"_{i}")
+        final = _final_score(f"header_component_score_{i}", "redirect_component_score")
+        candidates.append(
+            f"if(_row_{i} is null, null, struct({final} as final_score, _row_{i}.platform,"
+            f" _row_{i}._content, {i} as i, header_component_score_{i} as header))"
+        )
+    best = values.selectExpr("*", f"array_min(array({', '.join(candidates)})) as _best")
+    best = best.selectExpr("*", "case _best.i when 0 then _row_0 when 1 then _row_1 else _row_2 end as _row")
+    means = [f"{part.name}_avg_score_btw_platforms" for part in FINAL_PARTS]
+    return best.selectExpr(
+        *[f"_row.`{name}` as `{name}`" for name in kept],
+        *means,
+        *INCONSISTENCY_COLUMNS,
+        "_best.header as header_component_score",
+        "redirect_component_score",
+        "_best.final_score as final_score",
+        f"{grade('_best.final_score')} as grade",
+    )

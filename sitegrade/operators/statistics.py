@@ -1,5 +1,7 @@
 """Adoption, inconsistency, HTTP-version and region statistics, all from the summary table."""
 
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,50 +12,60 @@ from sitegrade.policy import DEFAULT_POLICY, Policy
 from sitegrade.schemas import INCONSISTENCY_COLUMNS
 
 
-def _q(name: str):
-    return F.col(f"`{name}`")
-
-
 def adoption_stats(summary: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """Header adoption at six grouping levels: counts and percentages per header."""
     counts = [f"{h}_{part}" for part in ("present", "strong", "weak") for h in policy.headers]
     stats = roll_up(summary, tuple(LEVELS), ["total_schools", *counts])
     shares = []
     for h in policy.headers:
-        present = _q(f"{h}_present")
-        shares.append(percent(present, F.col("total_schools")).alias(f"{h}_present_percent"))
-        shares.append(percent(_q(f"{h}_strong"), present).alias(f"{h}_strong_percent"))
-        shares.append(percent(_q(f"{h}_weak"), present).alias(f"{h}_weak_percent"))
-    return stats.select(*[_q(name) for name in stats.columns], *shares)
+        present = f"`{h}_present`"
+        for part, whole in (("present", "total_schools"), ("strong", present), ("weak", present)):
+            shares.append(f"{percent(f'`{h}_{part}`', whole)} as `{h}_{part}_percent`")
+    return stats.selectExpr("*", *shares)
+
+
+def _totals(summary: DataFrame, keys: list[str], counts: list[str], over: dict[str, list[str]]):
+    """Counts per ``keys`` with the totals of wider groupings beside them, in one pass.
+
+    The windows run over the grouped table, whose size depends on geography only.
+    """
+    grouped = summary.groupBy(*keys).agg(
+        *[F.expr(f"sum(`{name}`)").alias(name) for name in counts]
+    )
+    return grouped.selectExpr(
+        "*",
+        *[
+            f"sum(`{name}`) over (partition by {', '.join(group)}) as `{name}_{level}`"
+            for level, group in over.items()
+            for name in counts
+        ],
+    )
 
 
 def inconsistency_stats(summary: DataFrame) -> DataFrame:
     """One row per region and category, with the region's and the country's numbers beside it.
 
-    The three levels come from one roll-up of the summary; all joins are between tables of
-    geography size.
+    A region without any known category keeps one row with an empty category.
     """
-    flags = [f"{flag}_schools" for flag in INCONSISTENCY_COLUMNS]
-    counts = ["total_schools", *flags]
-    levels = roll_up(summary, ("nuts", "nuts_category", "country"), counts)
-
-    def at(level: str, keys: list[str]) -> DataFrame:
-        renamed = [F.col(name).alias(f"{name}_{level}") for name in counts]
-        return levels.filter(F.col("level") == level).select(*keys, *renamed)
-
-    joined = (
-        at("nuts", ["country", "nuts"])
-        .join(at("country", ["country"]), "country", "left")
-        .join(at("nuts_category", ["country", "nuts", "Category"]), ["country", "nuts"], "left")
+    counts = ["total_schools", *[f"{flag}_schools" for flag in INCONSISTENCY_COLUMNS]]
+    levels = {"nuts": ["country", "nuts"], "country": ["country"]}
+    lines = _totals(summary, ["country", "nuts", "Category"], counts, levels)
+    lines = lines.selectExpr(
+        "*", "count(Category) over (partition by country, nuts) as _categories"
+    ).filter("country is not null and nuts is not null and (Category is not null or _categories = 0)")
+    lines = lines.selectExpr(
+        "country",
+        "nuts",
+        "Category",
+        *[f"{name}_{level}" for level in levels for name in counts],
+        *[f"if(Category is null, null, {name}) as {name}_nuts_category" for name in counts],
     )
-    shares = [
-        round2(
-            ratio_percent(F.col(f"{flag}_schools_{level}"), F.col(f"total_schools_{level}"))
-        ).alias(f"{flag}_percent_{level}")
-        for flag in INCONSISTENCY_COLUMNS
-        for level in ("nuts", "country", "nuts_category")
-    ]
-    return joined.select("*", *shares)
+    shares = []
+    for flag in INCONSISTENCY_COLUMNS:
+        for level in (*levels, "nuts_category"):
+            share = ratio_percent(f"{flag}_schools_{level}", f"total_schools_{level}")
+            shares.append(f"{round2(share)} as {flag}_percent_{level}")
+    return lines.selectExpr("*", *shares)
 
 
 def http_version_stats(summary: DataFrame) -> DataFrame:
@@ -61,27 +73,28 @@ def http_version_stats(summary: DataFrame) -> DataFrame:
 
     Protocols outside the four versions are not part of the totals.
     """
-    levels = roll_up(summary, ("nuts", "country"), [*HTTP_VERSIONS, "protocol_rows"])
-    levels = levels.filter(F.col("protocol_rows") > 0)
-    total = sum((_q(v) for v in HTTP_VERSIONS[1:]), _q(HTTP_VERSIONS[0]))
+    counts = [*HTTP_VERSIONS, "protocol_rows"]
+    lines = _totals(summary, ["country", "nuts"], counts, {"country": ["country"]})
+    lines = lines.filter("country is not null and nuts is not null and protocol_rows > 0")
+    lines = lines.withColumnsRenamed({v: f"{v}_nuts" for v in HTTP_VERSIONS})
 
-    def at(level: str, keys: list[str]) -> DataFrame:
-        return levels.filter(F.col("level") == level).select(
-            *keys,
-            *[_q(v).alias(f"{v}_{level}") for v in HTTP_VERSIONS],
-            total.alias(f"total_schools_{level}"),
-            *[ratio_percent(_q(v), total).alias(f"{v}_percent_{level}") for v in HTTP_VERSIONS],
-        )
+    def numbers(level: str) -> list[str]:
+        versions = [f"`{v}_{level}`" for v in HTTP_VERSIONS]
+        total = f"({' + '.join(versions)})"
+        shares = [
+            f"{ratio_percent(count, total)} as `{v}_percent_{level}`"
+            for v, count in zip(HTTP_VERSIONS, versions)
+        ]
+        return [*versions, f"{total} as total_schools_{level}", *shares]
 
-    return at("nuts", ["country", "nuts"]).join(at("country", ["country"]), "country", "left")
+    return lines.selectExpr("country", "nuts", *numbers("nuts"), *numbers("country"))
 
 
 def region_scores(summary: DataFrame) -> DataFrame:
     """Mean final score per region, unrounded. The sum is exact, so the order of rows is free."""
     sums = roll_up(summary, ("nuts",), ["score_hundredths", "score_rows"])
-    mean = F.col("score_hundredths").cast("double") / 100 / F.col("score_rows")
-    return sums.filter(F.col("score_rows") > 0).select(
-        "country", "nuts", mean.alias("final_score")
+    return sums.filter("score_rows > 0").selectExpr(
+        "country", "nuts", "cast(score_hundredths as double) / 100 / score_rows as final_score"
     )
 
 

@@ -5,7 +5,9 @@ on geography, not on the number of institutions, and every count in it can be ad
 inconsistency, HTTP-version and region statistics all read this table instead of the rows.
 """
 
-from pyspark.sql import Column, DataFrame
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrade.functions.labels import HTTP_VERSIONS, protocol_name
@@ -26,46 +28,45 @@ LEVELS = {
 }
 
 
-def header_counts(policy: Policy) -> dict[str, Column]:
-    counts = {}
-    for h in policy.headers:
-        counts[f"{h}_present"] = F.count_if(F.col(f"`{presence_col(h)}`"))
-    for label in ("Strong", "Weak"):
-        for h in policy.headers:
-            counts[f"{h}_{label.lower()}"] = F.count_if(F.col(f"`{config_col(h)}`") == label)
-    return counts
+def header_counts(policy: Policy = DEFAULT_POLICY) -> dict[str, str]:
+    present = {f"{h}_present": f"count_if(`{presence_col(h)}`)" for h in policy.headers}
+    labels = {
+        f"{h}_{label.lower()}": f"count_if(`{config_col(h)}` = '{label}')"
+        for label in ("Strong", "Weak")
+        for h in policy.headers
+    }
+    return present | labels
 
 
-def flag_counts() -> dict[str, Column]:
-    return {f"{flag}_schools": F.count_if(F.col(flag)) for flag in INCONSISTENCY_COLUMNS}
+def flag_counts() -> dict[str, str]:
+    return {f"{flag}_schools": f"count_if({flag})" for flag in INCONSISTENCY_COLUMNS}
 
 
-def version_counts() -> dict[str, Column]:
-    protocol = protocol_name(F.col("protocol_http"))
-    known = {version: F.count_if(protocol == version) for version in HTTP_VERSIONS}
-    return {**known, "protocol_rows": F.count("protocol_http")}
+def version_counts() -> dict[str, str]:
+    protocol = protocol_name("protocol_http")
+    known = {version: f"count_if({protocol} = '{version}')" for version in HTTP_VERSIONS}
+    return {**known, "protocol_rows": "count(protocol_http)"}
 
 
-def score_sums() -> dict[str, Column]:
+def score_sums() -> dict[str, str]:
     return {
-        "score_hundredths": F.sum(hundredths(F.col("final_score"))),
-        "score_rows": F.count("final_score"),
+        "score_hundredths": f"sum({hundredths('final_score')})",
+        "score_rows": "count(final_score)",
     }
 
 
-def columns_needed(policy: Policy = DEFAULT_POLICY) -> list[str]:
-    """What the summary reads of a scored table."""
-    headers = [col(h) for h in policy.headers for col in (presence_col, config_col)]
-    keys = [ID, "country", NUTS, "Category", "platform"]
-    return [*keys, *headers, *INCONSISTENCY_COLUMNS, "protocol_http", "final_score"]
+def summary_columns(*, headers: bool = True, policy: Policy = DEFAULT_POLICY) -> list[str]:
+    """Row columns the summary reads, besides flags and final score."""
+    pairs = [col(h) for h in policy.headers for col in (presence_col, config_col)]
+    return ["country", NUTS, "Category", "protocol_http", *(pairs if headers else [])]
 
 
-def summarize(rows: DataFrame, *parts: dict[str, Column]) -> DataFrame:
+def summarize(rows: DataFrame, *parts: dict[str, str]) -> DataFrame:
     """Counts at the finest key. ``parts`` limits it to what a report needs."""
-    counts = {name: column for part in parts for name, column in part.items()}
+    counts = {name: sql for part in parts for name, sql in part.items()}
     return rows.groupBy("country", F.col(NUTS).alias("nuts"), "Category", "platform").agg(
         F.count(ID).alias("total_schools"),
-        *[column.alias(name) for name, column in counts.items()],
+        *[F.expr(sql).alias(name) for name, sql in counts.items()],
     )
 
 
@@ -82,18 +83,17 @@ def roll_up(summary: DataFrame, levels: tuple[str, ...], counts: list[str]) -> D
     keys = [k for k in FINEST if any(k in LEVELS[level] for level in levels)]
     grouped = summary.groupingSets([list(LEVELS[level]) for level in levels], *keys).agg(
         F.grouping_id(*keys).alias("_gid"),
-        *[F.sum(F.col(f"`{name}`")).alias(name) for name in counts],
+        *[F.expr(f"sum(`{name}`)").alias(name) for name in counts],
     )
-    chain, kept = None, F.lit(False)
+    names, complete = [], []
     for level in levels:
         bits = "".join("0" if k in LEVELS[level] else "1" for k in keys)
-        here = F.col("_gid") == int(bits, 2)
-        chain = F.when(here, level) if chain is None else chain.when(here, level)
-        complete = here
-        for key in LEVELS[level]:
-            complete = complete & F.col(key).isNotNull()
-        kept = kept | complete
-    unused = [F.lit(None).cast("string").alias(k) for k in FINEST if k not in keys]
-    return grouped.filter(kept).select(
-        *keys, *unused, chain.alias("level"), *[F.col(f"`{name}`") for name in counts]
+        here = f"_gid = {int(bits, 2)}"
+        names.append(f"when {here} then '{level}'")
+        complete.append(" and ".join([here, *[f"{key} is not null" for key in LEVELS[level]]]))
+    return grouped.filter(" or ".join(f"({test})" for test in complete)).selectExpr(
+        *keys,
+        *[f"cast(null as string) as {k}" for k in FINEST if k not in keys],
+        f"case {' '.join(names)} end as level",
+        *[f"`{name}`" for name in counts],
     )

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sitegrade.functions.labels import (
     HTTP_VERSIONS,
@@ -14,24 +13,22 @@ from sitegrade.functions.labels import (
     short_name,
     whole_cell,
 )
-from sitegrade.functions.numeric import hundredths
-from sitegrade.plans.tables import CATEGORIES, TABLE
+from sitegrade.functions.numeric import hundredths, literal
+from sitegrade.plans.tables import (
+    CATEGORIES,
+    NO_REGION,
+    TABLE,
+    TABLE_COUNTRY,
+    number_rows,
+    sql_text,
+    stacked,
+    structs,
+    version_lines,
+)
 from sitegrade.policy import DEFAULT_POLICY, Policy
 from sitegrade.schemas import INCONSISTENCY_COLUMNS
 
-
-def _q(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
-def _with_scope(df: DataFrame) -> DataFrame:
-    return df.withColumn("table_country", F.when(F.col("scope") != "country", F.col("country")))
-
-
-def _entity() -> Column:
-    return F.when(F.col("scope") == "country", country_name(F.col("country"))).otherwise(
-        F.col("nuts")
-    )
+ENTITY = f"if(scope = 'country', {country_name('country')}, nuts) as entity"
 
 
 def heatmap_data(stats: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -39,41 +36,36 @@ def heatmap_data(stats: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame
 
     Both values are taken by header name.
     """
-    lines = stats.filter(F.col("level").isin("nuts", "country")).withColumn(
-        "scope", F.when(F.col("level") == "nuts", "region").otherwise("country")
-    )
-    lines = _with_scope(lines).withColumn(
-        "row_no",
-        F.row_number().over(Window.partitionBy(*TABLE).orderBy(F.col("nuts"), F.col("country"))),
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("header_no"),
-                F.lit(h).alias("header"),
-                F.lit(short_name(h)).alias("short_name"),
-                _q(f"{h}_present_percent").alias("adoption"),
-                _q(f"{h}_weak_percent").alias("weak"),
-            )
-            for i, h in enumerate(policy.headers, start=1)
-        ]
-    )
-    points = lines.select(*TABLE, "country", "nuts", "row_no", F.inline(cells))
-    used = F.sum("adoption").over(Window.partitionBy(*TABLE, "header")) > 0
-    points = points.withColumn("_used", used).filter("_used")
-    column = F.dense_rank().over(Window.partitionBy(*TABLE).orderBy("header_no"))
-    return points.select(
+    lines = stats.filter("level in ('nuts', 'country')").selectExpr(
+        "*", "if(level = 'nuts', 'region', 'country') as scope"
+    )
+    lines = number_rows(lines.selectExpr("*", TABLE_COUNTRY), ["nuts", "country"])
+    cells = [
+        {
+            "header_no": str(i),
+            "header": sql_text(h),
+            "short_name": sql_text(short_name(h)),
+            "adoption": f"`{h}_present_percent`",
+            "weak": f"`{h}_weak_percent`",
+        }
+        for i, h in enumerate(policy.headers, start=1)
+    ]
+    points = lines.selectExpr("scope", "table_country", "country", "nuts", "row_no", structs(cells))
+    points = points.selectExpr(
+        "*", f"sum(adoption) over (partition by {TABLE}, header) as _used"
+    ).filter("_used > 0")
+    return points.selectExpr(
         "scope",
         "country",
-        _entity().alias("entity"),
+        ENTITY,
         "row_no",
-        column.alias("col_no"),
+        f"dense_rank() over (partition by {TABLE} order by header_no) as col_no",
         "header",
         "short_name",
         "adoption",
         "weak",
-        whole_cell(F.col("adoption")).alias("adoption_text"),
-        whole_cell(F.col("weak")).alias("weak_text"),
+        f"{whole_cell('adoption')} as adoption_text",
+        f"{whole_cell('weak')} as weak_text",
     )
 
 
@@ -83,70 +75,41 @@ def dot_chart_data(stats: DataFrame) -> DataFrame:
     A region's sum runs over its category lines, as many as the statistics hold for it.
     """
 
-    def melt(lines: DataFrame, level: str) -> DataFrame:
-        named = lines.select(
-            "scope",
-            "country",
-            "nuts",
-            *[F.col(f"{flag}_percent_{level}").alias(flag) for flag in INCONSISTENCY_COLUMNS],
-        )
-        return named.unpivot(
-            ["scope", "country", "nuts"], list(INCONSISTENCY_COLUMNS), "type", "percent"
-        )
-
-    regions = stats.withColumn("scope", F.lit("region"))
-    countries = (
-        stats.dropDuplicates(["country"])
-        .withColumn("scope", F.lit("country"))
-        .withColumn("nuts", F.lit(None).cast("string"))
-    )
-    melted = melt(regions, "nuts").unionByName(melt(countries, "country"))
-    points = melted.groupBy("scope", "country", "nuts", "type").agg(
-        F.max("percent").alias("percent"),
-        F.sum(hundredths(F.col("percent"))).alias("_hundredths"),
-    )
-    whole = F.sum("_hundredths").over(Window.partitionBy("scope", "country", "nuts"))
-    points = _with_scope(points.withColumn("_total", whole))
-    rank = F.dense_rank().over(
-        Window.partitionBy(*TABLE).orderBy(F.col("_total").desc(), F.col("nuts"), F.col("country"))
-    )
-    return points.select(
+    def values(level: str, lines: str) -> dict[str, str]:
+        percents = {flag: f"{flag}_percent_{level}" for flag in INCONSISTENCY_COLUMNS}
+        return {**percents, "_lines": lines}
+
+    counted = stats.selectExpr("*", "count(*) over (partition by country, nuts) as _category_lines")
+    lines = stacked(
+        counted,
+        [
+            {"scope": "'region'", "nuts": "nuts", **values("nuts", "_category_lines")},
+            {"scope": "'country'", "nuts": NO_REGION, **values("country", "1L")},
+        ],
+    )
+    total = " + ".join(hundredths(flag) for flag in INCONSISTENCY_COLUMNS)
+    lines = lines.selectExpr("*", f"({total}) * _lines as _total")
+    lines = number_rows(lines, ["_total desc", "nuts", "country"], "entity_no")
+    points = [{"type": sql_text(flag), "percent": flag} for flag in INCONSISTENCY_COLUMNS]
+    return lines.selectExpr(
         "scope",
         "country",
-        _entity().alias("entity"),
-        rank.alias("entity_no"),
-        (F.col("_total").cast("double") / 100).alias("entity_total"),
-        "type",
-        metric_label(F.col("type")).alias("label"),
-        "percent",
-    )
+        ENTITY,
+        "entity_no",
+        "cast(_total as double) / 100 as entity_total",
+        structs(points),
+    ).selectExpr("*", f"{metric_label('type')} as label")
 
 
 def bar_chart_data(stats: DataFrame) -> DataFrame:
     """Stacked version shares per entity, entities in ascending order."""
-    regions = stats.select(
-        F.lit("region").alias("scope"),
-        "country",
-        "nuts",
-        *[_q(f"{v}_percent_nuts").alias(v) for v in HTTP_VERSIONS],
-    )
-    countries = stats.select(
-        F.lit("country").alias("scope"),
-        "country",
-        F.lit(None).cast("string").alias("nuts"),
-        *[_q(f"{v}_percent_country").alias(v) for v in HTTP_VERSIONS],
-    ).dropDuplicates(["country"])
-    lines = _with_scope(regions.unionByName(countries))
-    order = [_q(v).asc_nulls_last() for v in HTTP_VERSIONS]
-    window = Window.partitionBy(*TABLE).orderBy(*order, F.col("nuts"), F.col("country"))
-    lines = lines.withColumn("row_no", F.row_number().over(window))
-    bars = F.array(
-        *[
-            F.struct(F.lit(i).alias("part_no"), F.lit(v).alias("version"), _q(v).alias("percent"))
-            for i, v in enumerate(HTTP_VERSIONS, start=1)
-        ]
-    )
-    return lines.select("scope", "country", _entity().alias("entity"), "row_no", F.inline(bars))
+    order = [f"`{v}` asc nulls last" for v in HTTP_VERSIONS] + ["nuts", "country"]
+    bars = [
+        {"part_no": str(i), "version": sql_text(v), "percent": f"`{v}`"}
+        for i, v in enumerate(HTTP_VERSIONS, start=1)
+    ]
+    lines = number_rows(version_lines(stats), order)
+    return lines.selectExpr("scope", "country", ENTITY, "row_no", structs(bars))
 
 
 def radar_data(stats: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -155,35 +118,27 @@ def radar_data(stats: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     ``stats`` comes from all scored rows, not from the worst row per institution. The first point
     closes the ring at position n. Charts without both platforms are left out.
     """
-    by_category = (F.col("level") == "country_category_platform") & F.col("Category").isin(
-        *CATEGORIES
-    )
-    rings = stats.filter(by_category | (F.col("level") == "country_platform")).filter(
-        F.col("platform").isin(*policy.platforms)
-    )
-    chart = Window.partitionBy("level", "country", "Category")
-    rings = rings.withColumn("_rings", F.count("*").over(chart)).filter(
-        F.col("_rings") == len(policy.platforms)
-    )
+    categories = ", ".join(f"'{c}'" for c in CATEGORIES)
+    platforms = ", ".join(f"'{p}'" for p in policy.platforms)
+    rings = stats.filter(
+        f"(level = 'country_category_platform' and Category in ({categories})"
+        f" or level = 'country_platform') and platform in ({platforms})"
+    )
+    rings = rings.selectExpr(
+        "*", "count(*) over (partition by level, country, Category) as _rings"
+    ).filter(f"_rings = {len(policy.platforms)}")
     headers = list(policy.headers)
     step = 2 * math.pi / len(headers)
     ring = [(i, h, i * step) for i, h in enumerate(headers)] + [(len(headers), headers[0], 0.0)]
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(h).alias("header"),
-                F.lit(policy.role(h)).alias("role"),
-                F.lit(angle).alias("angle"),
-                _q(f"{h}_present_percent").alias("adoption"),
-            )
-            for i, h, angle in ring
-        ]
-    )
-    return rings.select(
-        "country",
-        country_name(F.col("country")).alias("country_name"),
-        "Category",
-        "platform",
-        F.inline(points),
-    )
+    points = [
+        {
+            "position": str(i),
+            "header": sql_text(h),
+            "role": sql_text(policy.role(h)),
+            "angle": literal(angle),
+            "adoption": f"`{h}_present_percent`",
+        }
+        for i, h, angle in ring
+    ]
+    name = f"{country_name('country')} as country_name"
+    return rings.selectExpr("country", name, "Category", "platform", structs(points))

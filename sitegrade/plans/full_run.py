@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegrade.operators import statistics as S
-from sitegrade.operators.scoring import final_scores, stamp_analysis
-from sitegrade.operators.summary import columns_needed, header_counts, summarize, summarize_all
+from sitegrade.operators.scoring import final_scores, platform_count, stamp_analysis
+from sitegrade.operators.summary import header_counts, summarize, summarize_all
 from sitegrade.plans import charts, tables
 from sitegrade.policy import DEFAULT_POLICY, Policy
 from sitegrade.sources.readers import read_scores
@@ -48,7 +48,9 @@ def run_reports(
     once and a lost executor never repeats more than one step.
     """
     scores, worst = f"{out}/scores", f"{out}/worst_scores"
-    write_scores(stamp_analysis(final_scores(observations, policy)), scores, policy)
+    n_platforms = platform_count(observations).first().n_platforms
+    scored = final_scores(observations, policy, n_platforms)
+    write_scores(stamp_analysis(scored), scores, policy)
     write_worst(read_scores(spark, scores, policy), worst, policy)
 
     summaries = {}
@@ -57,10 +59,7 @@ def run_reports(
         ("all", scores, lambda df: summarize(df, header_counts(policy))),
     ):
         target = f"{out}/summary_{name}"
-        needed = [f"`{c}`" for c in columns_needed(policy)]
-        summary(read_scores(spark, path, policy).select(*needed)).write.mode("overwrite").parquet(
-            target
-        )
+        summary(read_scores(spark, path, policy)).write.mode("overwrite").parquet(target)
         summaries[name] = spark.read.parquet(target)
 
     written = {"scores": scores, "worst_scores": worst}

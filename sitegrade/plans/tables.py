@@ -7,7 +7,7 @@ sort a few hundred rows. :func:`widen` turns one table into its printed shape.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrade.functions.labels import (
@@ -24,51 +24,46 @@ from sitegrade.schemas import INCONSISTENCY_COLUMNS
 
 CATEGORIES = ("public", "private")
 CSP, HSTS = "content-security-policy", "strict-transport-security"
-TABLE = ("scope", "table_country")
+TABLE = "scope, table_country"
+TABLE_COUNTRY = "if(scope = 'country', null, country) as table_country"
+NO_REGION = "cast(null as string)"
 
 
-def _q(name: str) -> Column:
-    return F.col(f"`{name}`")
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _number_rows(df: DataFrame, order: list[Column]) -> DataFrame:
-    window = Window.partitionBy(*TABLE).orderBy(*order)
-    return df.withColumn("row_no", F.row_number().over(window))
+def structs(rows: list[dict[str, str]]) -> str:
+    """``inline`` of literal-shaped structs: one output row per entry."""
+    items = [
+        "struct(" + ", ".join(f"{sql} as `{name}`" for name, sql in row.items()) + ")"
+        for row in rows
+    ]
+    return f"inline(array({', '.join(items)}))"
 
 
-def _scoped(stats: DataFrame) -> DataFrame:
-    """Keep the levels that become tables and name their scope."""
-    level, category = F.col("level"), F.col("Category")
-    scope = F.when(level == "nuts", "region").when(level == "country", "country")
-    for name in CATEGORIES:
-        scope = scope.when((level == "nuts_category") & (category == name), f"region_{name}")
-    return (
-        stats.withColumn("scope", scope)
-        .filter(F.col("scope").isNotNull())
-        .withColumn("table_country", F.when(F.col("scope") != "country", F.col("country")))
-    )
+def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    ranked = f"row_number() over (partition by {TABLE} order by {', '.join(order)}) as {name}"
+    return df.selectExpr("*", ranked)
 
 
-def _drop_zero_columns(table: DataFrame, column: str, keep: Column | None = None) -> DataFrame:
+def _drop_zero_columns(table: DataFrame, column: str, keep: str = "false") -> DataFrame:
     """Remove metric columns that are zero in every line of their table."""
-    total = F.sum(F.coalesce(F.col("percent"), F.lit(0.0))).over(
-        Window.partitionBy(*TABLE, column)
-    )
-    shown = total > 0 if keep is None else (total > 0) | keep
-    return table.withColumn("_shown", shown).filter("_shown").drop("_shown")
+    total = f"sum(coalesce(percent, 0D)) over (partition by {TABLE}, {column})"
+    return table.selectExpr("*", f"{total} as _total").filter(f"_total > 0 or {keep}")
 
 
 def _finish(table: DataFrame, *labels: str) -> DataFrame:
-    return table.select(
+    return table.selectExpr(
         "scope",
         "country",
-        country_name(F.col("country")).alias("country_name"),
-        F.col("nuts").alias("region"),
+        f"{country_name('country')} as country_name",
+        "nuts as region",
         "row_no",
         "col_no",
         *labels,
         "percent",
-        cell(F.col("percent")).alias("cell"),
+        f"{cell('percent')} as cell",
     )
 
 
@@ -76,114 +71,116 @@ def adoption_table(
     stats: DataFrame, weak: bool = False, policy: Policy = DEFAULT_POLICY
 ) -> DataFrame:
     """Header adoption, or weak configurations, per region, region and category, and country."""
-    presence_order = [
-        _q(f"{CSP}_present_percent").desc(),
-        _q(f"{HSTS}_present_percent").desc(),
-        F.col("nuts").asc(),
-        F.col("country").asc(),
-    ]
-    weak_order = [_q(f"{CSP}_weak_percent").asc(), _q(f"{HSTS}_weak_percent").asc()]
-    lines = _number_rows(_scoped(stats), weak_order + presence_order if weak else presence_order)
+    categories = " ".join(
+        f"when level = 'nuts_category' and Category = '{c}' then 'region_{c}'" for c in CATEGORIES
+    )
+    scope = f"case when level = 'nuts' then 'region' when level = 'country' then 'country' {categories} end"
+    lines = stats.selectExpr("*", f"{scope} as scope").filter("scope is not null")
+    lines = lines.selectExpr("*", TABLE_COUNTRY)
+    order = [f"`{h}_present_percent` desc" for h in (CSP, HSTS)] + ["nuts", "country"]
+    if weak:
+        order = [f"`{h}_weak_percent` asc" for h in (CSP, HSTS)] + order
     kind = "weak" if weak else "present"
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("col_no"),
-                F.lit(h).alias("header"),
-                F.lit(short_name(h)).alias("short_name"),
-                F.lit(glossary_name(h)).alias("glossary_name"),
-                _q(f"{h}_{kind}_percent").alias("percent"),
-            )
-            for i, h in enumerate(policy.headers, start=1)
-        ]
+    cells = [
+        {
+            "col_no": str(i),
+            "header": sql_text(h),
+            "short_name": sql_text(short_name(h)),
+            "glossary_name": sql_text(glossary_name(h)),
+            "percent": f"`{h}_{kind}_percent`",
+        }
+        for i, h in enumerate(policy.headers, start=1)
+    ]
+    table = number_rows(lines, order).selectExpr(
+        "scope", "table_country", "country", "nuts", "row_no", structs(cells)
     )
-    table = lines.select(*TABLE, "country", "nuts", "row_no", F.inline(cells))
     return _finish(_drop_zero_columns(table, "header"), "header", "short_name", "glossary_name")
 
 
+def stacked(stats: DataFrame, blocks: list[dict[str, str]]) -> DataFrame:
+    """Several report scopes out of one pass over statistics rows.
+
+    Each block gives scope, nuts and values; a null scope yields no line. Values that repeat on
+    several statistics rows give one line.
+    """
+    return (
+        stats.selectExpr("country", structs(blocks))
+        .filter("scope is not null")
+        .dropDuplicates(["scope", "country", "nuts"])
+        .selectExpr("*", TABLE_COUNTRY)
+    )
+
+
+def inconsistency_lines(stats: DataFrame) -> DataFrame:
+    def values(level: str) -> dict[str, str]:
+        return {flag: f"{flag}_percent_{level}" for flag in INCONSISTENCY_COLUMNS}
+
+    names = ", ".join(f"'{c}'" for c in CATEGORIES)
+    by_category = f"if(Category in ({names}), concat('region_', Category), null)"
+    return stacked(
+        stats,
+        [
+            {"scope": "'region'", "nuts": "nuts", **values("nuts")},
+            {"scope": by_category, "nuts": "nuts", **values("nuts_category")},
+            {"scope": "'country'", "nuts": NO_REGION, **values("country")},
+        ],
+    )
+
+
+def version_lines(stats: DataFrame) -> DataFrame:
+    def values(level: str) -> dict[str, str]:
+        return {v: f"`{v}_percent_{level}`" for v in HTTP_VERSIONS}
+
+    return stacked(
+        stats,
+        [
+            {"scope": "'region'", "nuts": "nuts", **values("nuts")},
+            {"scope": "'country'", "nuts": NO_REGION, **values("country")},
+        ],
+    )
+
+
 def inconsistency_table(stats: DataFrame) -> DataFrame:
     """Share of institutions with inconsistent platforms, per region, category and country."""
-    percents = {
-        level: [F.col(f"{flag}_percent_{level}").alias(flag) for flag in INCONSISTENCY_COLUMNS]
-        for level in ("nuts", "country", "nuts_category")
-    }
-    nothing = F.lit(None).cast("string")
-    # Region and country values repeat on every category line, so one line of each is kept.
-    regions = stats.select(
-        F.lit("region").alias("scope"), "country", "nuts", *percents["nuts"]
-    ).dropDuplicates(["country", "nuts"])
-    countries = stats.select(
-        F.lit("country").alias("scope"), "country", nothing.alias("nuts"), *percents["country"]
-    ).dropDuplicates(["country"])
-    by_category = stats.filter(F.col("Category").isin(*CATEGORIES)).select(
-        F.concat(F.lit("region_"), "Category").alias("scope"),
-        "country",
-        "nuts",
-        *percents["nuts_category"],
-    )
-    lines = regions.unionByName(by_category).unionByName(countries)
-    lines = lines.withColumn("table_country", F.when(F.col("scope") != "country", F.col("country")))
-    order = [F.col(flag).desc() for flag in INCONSISTENCY_COLUMNS]
-    lines = _number_rows(lines, [*order, F.col("nuts").asc(), F.col("country").asc()])
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("col_no"),
-                F.lit(flag).alias("metric"),
-                F.col(flag).alias("percent"),
-            )
-            for i, flag in enumerate(INCONSISTENCY_COLUMNS, start=1)
-        ]
+    order = [f"{flag} desc" for flag in INCONSISTENCY_COLUMNS] + ["nuts", "country"]
+    cells = [
+        {"col_no": str(i), "metric": sql_text(flag), "percent": flag}
+        for i, flag in enumerate(INCONSISTENCY_COLUMNS, start=1)
+    ]
+    table = number_rows(inconsistency_lines(stats), order).selectExpr(
+        "scope", "country", "nuts", "row_no", structs(cells)
     )
-    table = lines.select(*TABLE, "country", "nuts", "row_no", F.inline(cells))
-    table = table.withColumn("label", column_label(F.col("metric")))
-    return _finish(table, "metric", "label")
+    return _finish(table, "metric", f"{column_label('metric')} as label")
 
 
 def http_version_table(stats: DataFrame) -> DataFrame:
     """HTTP-version shares per region and per country; zero columns go in region tables only."""
-    regions = stats.select(
-        F.lit("region").alias("scope"),
-        "country",
-        "nuts",
-        *[_q(f"{v}_percent_nuts").alias(v) for v in HTTP_VERSIONS],
-    )
-    countries = stats.select(
-        F.lit("country").alias("scope"),
-        "country",
-        F.lit(None).cast("string").alias("nuts"),
-        *[_q(f"{v}_percent_country").alias(v) for v in HTTP_VERSIONS],
-    ).dropDuplicates(["country"])
-    lines = regions.unionByName(countries)
-    lines = lines.withColumn("table_country", F.when(F.col("scope") != "country", F.col("country")))
-    order = [_q(v).desc() for v in HTTP_VERSIONS]
-    lines = _number_rows(lines, [*order, F.col("nuts").asc(), F.col("country").asc()])
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("col_no"),
-                F.lit(v).alias("version"),
-                F.lit(v.upper().replace("/", "-")).alias("label"),
-                _q(v).alias("percent"),
-            )
-            for i, v in enumerate(HTTP_VERSIONS, start=1)
-        ]
+    order = [f"`{v}` desc" for v in HTTP_VERSIONS] + ["nuts", "country"]
+    cells = [
+        {
+            "col_no": str(i),
+            "version": sql_text(v),
+            "label": sql_text(v.upper().replace("/", "-")),
+            "percent": f"`{v}`",
+        }
+        for i, v in enumerate(HTTP_VERSIONS, start=1)
+    ]
+    table = number_rows(version_lines(stats), order).selectExpr(
+        "scope", "table_country", "country", "nuts", "row_no", structs(cells)
     )
-    table = lines.select(*TABLE, "country", "nuts", "row_no", F.inline(cells))
-    table = _drop_zero_columns(table, "version", keep=F.col("scope") == "country")
+    table = _drop_zero_columns(table, "version", keep="scope = 'country'")
     return _finish(table, "version", "label")
 
 
 def region_score_table(scores: DataFrame) -> DataFrame:
     """Regions of each country by mean score, best first."""
-    window = Window.partitionBy("country").orderBy(F.col("final_score").desc(), F.col("nuts").asc())
-    return scores.select(
+    return scores.selectExpr(
         "country",
-        country_name(F.col("country")).alias("country_name"),
-        F.col("nuts").alias("region"),
-        F.row_number().over(window).alias("row_no"),
+        f"{country_name('country')} as country_name",
+        "nuts as region",
+        "row_number() over (partition by country order by final_score desc, nuts) as row_no",
         "final_score",
-        two_decimals(F.col("final_score")).alias("cell"),
+        f"{two_decimals('final_score')} as cell",
     )
 
 
@@ -193,10 +190,9 @@ def widen(table: DataFrame, labels: list[str], label: str = "short_name") -> Dat
     return lines.pivot(label, labels).agg(F.first("cell"))
 
 
-def preview(table: DataFrame, n: int, from_end: bool = False) -> DataFrame:
-    """First or last ``n`` lines of every table, by line number."""
-    if not from_end:
-        return table.filter(F.col("row_no") <= n)
-    table_country = F.when(F.col("scope") != "country", F.col("country"))
-    last = F.max("row_no").over(Window.partitionBy("scope", table_country))
-    return table.withColumn("_last", last).filter(F.col("row_no") > F.col("_last") - n).drop("_last")
+def preview(table: DataFrame, head: int = 0, tail: int = 0) -> DataFrame:
+    """First and last lines of every table, by line number; ``part`` says which."""
+    last = "max(row_no) over (partition by scope, if(scope = 'country', null, country))"
+    parts = f"array(if(row_no <= {head}, 'head', null), if(row_no > _last - {tail}, 'tail', null))"
+    numbered = table.selectExpr("*", f"{last} as _last")
+    return numbered.selectExpr("*", f"explode(array_compact({parts})) as part").drop("_last")

@@ -1,42 +1,53 @@
 """The assessment policy: which headers count, what makes them strong, how they weigh.
 
-A policy is plain data plus one Column expression per header, so a user adds a header by adding
-an entry to ``rules``; no Python code runs per row.
+A policy is plain data. A user adds a header by adding its condition to ``rules``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-
 from sitegrade.functions import rules as R
 
-Rule = Callable[[Column], Column]
-
 # Expected headers in report order, and what makes each of them strong.
-DEFAULT_RULES: dict[str, Rule] = {
+# All content-security-policy conditions hold at once only for a value that equals its
+# frame-ancestors part and contains the others, so none is ever strong.
+DEFAULT_RULES = {
     "x-xss-protection": R.contains_all("1; mode=block"),
     "x-frame-options": R.one_of("deny", "sameorigin"),
     "x-content-type-options": R.one_of("nosniff"),
     "referrer-policy": R.one_of("no-referrer", "same-origin", "strict-origin-when-cross-origin"),
-    "access-control-allow-origin": R.cross_site_access,
-    "strict-transport-security": R.strict_transport,
-    "content-security-policy": R.content_policy,
+    "access-control-allow-origin": R.contains_none("*", "null"),
+    "strict-transport-security": R.strict_transport(),
+    "content-security-policy": " and ".join(
+        [
+            R.contains_all("default-src 'self'", "form-action 'self'", "object-src 'none'"),
+            R.contains_all("upgrade-insecure-requests", "block-all-mixed-content"),
+            R.contains_none("unsafe-eval", "https://*"),
+            f"({R.contains_none('unsafe-inline')}"
+            f" or {R.contains_all('nonce-')} or {R.contains_all('hash-')})",
+            R.one_of("frame-ancestors 'self'", "frame-ancestors 'none'"),
+        ]
+    ),
     "cross-origin-resource-policy": R.one_of("same-origin", "same-site"),
     "cross-origin-embedder-policy": R.one_of("require-corp", "credentialless"),
     "cross-origin-opener-policy": R.one_of("same-origin", "same-origin-allow-popups"),
-    "set-cookie": R.cookie,
+    "set-cookie": " and ".join(
+        [
+            R.contains_all("secure", "httponly"),
+            f"({R.contains_all('samesite=strict')} or {R.contains_all('samesite=lax')})",
+        ]
+    ),
 }
 
 
 @dataclass(frozen=True)
 class Policy:
-    rules: Mapping[str, Rule] = field(default_factory=lambda: dict(DEFAULT_RULES))
+    rules: Mapping[str, str] = field(default_factory=lambda: dict(DEFAULT_RULES))
     # Values that cannot be assessed at all and turn the observation into an error.
-    unreadable: Mapping[str, Rule] = field(
-        default_factory=lambda: {"strict-transport-security": R.max_age_unreadable}
+    unreadable: Mapping[str, str] = field(
+        default_factory=lambda: {"strict-transport-security": R.max_age_unreadable()}
     )
     deprecated: tuple[str, ...] = ("x-xss-protection", "x-frame-options")
     critical: tuple[str, ...] = ("strict-transport-security", "content-security-policy")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,21 +67,23 @@ def read_text_columns(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _value(name: str, kind: T.DataType) -> Column:
-    text = F.col(f"`{name}`")
-    text = F.when(~text.isin(*NULL_TEXTS), text)
+def _value(name: str, kind: T.DataType) -> str:
+    nulls = ", ".join(f"'{text}'" for text in NULL_TEXTS)
+    text = f"if(`{name}` in ({nulls}), null, `{name}`)"
+    if isinstance(kind, T.StringType):
+        return text
     if isinstance(kind, T.IntegerType):
-        return text.try_cast("double").try_cast("int")
-    return text if isinstance(kind, T.StringType) else text.try_cast(kind)
+        text = f"try_cast({text} as double)"
+    return f"try_cast({text} as {kind.simpleString()})"
 
 
 def typed(text: DataFrame, schema: T.StructType, extra: tuple[str, ...] = ()) -> DataFrame:
     """Cast text columns to a schema by name. Absent columns are null, unknown ones are dropped."""
     present = set(text.columns)
     columns = [
-        (
-            _value(f.name, f.dataType) if f.name in present else F.lit(None).cast(f.dataType)
-        ).alias(f.name)
+        f"{_value(f.name, f.dataType)} as `{f.name}`"
+        if f.name in present
+        else f"cast(null as {f.dataType.simpleString()}) as `{f.name}`"
         for f in schema
     ]
-    return text.select(*columns, *extra)
+    return text.selectExpr(*columns, *extra)

@@ -37,10 +37,10 @@ def read_source_lists(spark: SparkSession, directory: str, multi_line: bool = Tr
     return rows.withColumn("country", F.substring(FILE_NAME, 1, 2)).drop(FILE_NAME)
 
 
-def file_keys(file_name):
-    """``country`` and ``platform`` columns from the name of a result file."""
-    parts = F.split(F.replace(file_name, F.lit(".csv"), F.lit("")), "_")
-    return parts[0], parts[1]
+def file_keys(file_name: str) -> tuple[str, str]:
+    """SQL for ``country`` and ``platform`` from the name of a result file."""
+    parts = f"split(replace({file_name}, '.csv', ''), '_')"
+    return f"{parts}[0]", f"{parts}[1]"
 
 
 def read_results(
@@ -58,9 +58,10 @@ def read_results(
     text = read_text_columns(spark, list_files(spark, directory, RESULT_FILE), multi_line)
     if text is None:
         return spark.createDataFrame([], schema.add("country", T.StringType()))
-    country, platform = file_keys(F.col(FILE_NAME))
+    country, platform = file_keys(FILE_NAME)
     rows = typed(text, schema, (FILE_NAME,))
-    return rows.withColumns({"country": country, "platform": platform}).drop(FILE_NAME)
+    keys = {"country": F.expr(country), "platform": F.expr(platform)}
+    return rows.withColumns(keys).drop(FILE_NAME)
 
 
 def read_observations(spark: SparkSession, path: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegrade.operators.scoring import worst_observation
 from sitegrade.policy import DEFAULT_POLICY, Policy
@@ -19,11 +20,15 @@ def _append(df: DataFrame, path: str, keys: list[str], file_format: str) -> None
     writer.partitionBy(*keys).format(file_format).save(path)
 
 
-def _by_name(df: DataFrame, names: list[str]) -> DataFrame:
-    """The fixed column order, whatever the order of ``df``; absent columns become null."""
+def _by_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fixed column order and types, whatever the order of ``df``; absent columns are null."""
     have = set(df.columns)
-    return df.select(
-        *[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names]
+    return df.selectExpr(
+        *[
+            f"cast({f'`{f.name}`' if f.name in have else 'null'} as {f.dataType.simpleString()})"
+            f" as `{f.name}`"
+            for f in schema
+        ]
     )
 
 
@@ -32,43 +37,25 @@ def append_results(
 ) -> None:
     """Append observations per country and platform. An empty table adds no folder."""
     schema = observation_schema(policy.headers).add("country", "string")
-    have = set(results.columns)
-    typed = results.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema
-        ]
-    )
-    _append(typed, path, ["country", "platform"], file_format)
+    _append(_by_schema(results, schema), path, ["country", "platform"], file_format)
 
 
 def append_errors(errors: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Append error rows (source columns and the error text) per country."""
-    names = [*error_schema().names, "country"]
-    _append(_by_name(errors, names), path, ["country"], file_format)
+    schema = error_schema().add("country", "string")
+    _append(_by_schema(errors, schema), path, ["country"], file_format)
 
 
-def write_scores(
-    scored: DataFrame, path: str, policy: Policy = DEFAULT_POLICY
-) -> None:
+def write_scores(scored: DataFrame, path: str, policy: Policy = DEFAULT_POLICY) -> None:
     """Replace the table of all scored rows."""
-    _score_columns(scored, policy).write.mode("overwrite").parquet(path)
+    schema = scored_schema(policy.headers)
+    _by_schema(scored, schema).write.mode("overwrite").parquet(path)
 
 
 def write_worst(scored: DataFrame, path: str, policy: Policy = DEFAULT_POLICY) -> None:
     """Replace the table of the worst row per institution."""
-    columns = _score_columns(scored, policy)
-    worst_observation(columns).write.mode("overwrite").parquet(path)
-
-
-def _score_columns(scored: DataFrame, policy: Policy) -> DataFrame:
-    have = set(scored.columns)
-    return scored.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in scored_schema(policy.headers)
-        ]
-    )
+    schema = scored_schema(policy.headers)
+    worst_observation(_by_schema(scored, schema)).write.mode("overwrite").parquet(path)
 
 
 def write_region_scores(scores: DataFrame, path: str) -> None:

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sitegrade.functions import labels, urls
 from sitegrade.operators import scoring, statistics
-from sitegrade.operators.assess import assess_headers, split_errors
+from sitegrade.operators.assess import assess_headers, mark_outcome, split_errors
 from sitegrade.operators.repair import repair_shifted_rows
-from sitegrade.operators.retry import retry_worklist
+from sitegrade.operators.retry import retry_worklist as pending_institutions
 from sitegrade.operators.scanlog import combine_attempts, fold_scan_log, join_source
 from sitegrade.operators.summary import (
-    columns_needed,
     flag_counts,
     header_counts,
     score_sums,
     summarize,
+    summary_columns,
     version_counts,
 )
 from sitegrade.plans import charts, tables
@@ -29,86 +28,85 @@ from sitegrade.testbed import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-LABELS = [f"`{col(h)}`" for h in POLICY.headers for col in (presence_col, config_col)]
+QUERIES: dict[str, Query] = {}
+
+
+def query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
 
 
 # ---- URLs, names ------------------------------------------------------------------------------
 
 
+@query
 def url_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = urls.host_of(F.col("url"))
-    return views.table(spark, sf_dir, "pages").select(
-        "page_id", host.alias("host"), urls.probe_urls(host).alias("probe")
-    ).select("page_id", "host", "probe.http_url", "probe.https_url")
+    pages = views.table(spark, sf_dir, "pages").selectExpr("page_id", f"{urls.host_of('url')} as host")
+    return pages.selectExpr(
+        "*", f"{urls.http_url('host')} as http_url", f"{urls.https_url('host')} as https_url"
+    )
 
 
+@query
 def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "pages").select(
-        "page_id", urls.domain_of(F.col("url")).alias("domain")
-    )
+    pages = views.table(spark, sf_dir, "pages")
+    return pages.selectExpr("page_id", f"{urls.domain_of('url')} as domain")
 
 
+@query
 def redirect_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's URL against the URL a redirect may have led to."""
-    url, n = F.col("url"), F.col("page_id")
-    final_url = (
-        F.when(n % 3 == 0, F.replace(url, F.lit("http://"), F.lit("https://")))
-        .when(n % 3 == 1, F.concat(F.lit("https://www."), urls.host_of(url), F.lit(":443/")))
-        .otherwise(url)
+    final_url = f"""case page_id % 3 when 0 then replace(url, 'http://', 'https://')
+        when 1 then concat('https://www.', {urls.host_of("url")}, ':443/') else url end"""
+    pages = views.table(spark, sf_dir, "pages").selectExpr(
+        "page_id", f"{urls.host_of('url')} as host", f"{final_url} as final_url"
     )
-    return (
-        views.table(spark, sf_dir, "pages")
-        .select("page_id", urls.host_of(url).alias("host"), final_url.alias("final_url"))
-        .select(
-            "page_id",
-            "final_url",
-            urls.is_https(F.col("final_url")).alias("redirected_to_https"),
-            urls.stays_on_domain(F.col("host"), F.col("final_url")).alias(
-                "redirected_https_to_same_domain"
-            ),
-        )
+    return pages.selectExpr(
+        "page_id",
+        "final_url",
+        f"{urls.is_https('final_url')} as redirected_to_https",
+        f"{urls.stays_on_domain('host', 'final_url')} as redirected_https_to_same_domain",
     )
 
 
+@query
 def result_file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country and platform of a result file named after each document's language and source."""
-    name = F.concat(F.col("lang"), F.lit("_"), F.col("source"), F.lit(".csv"))
-    country, platform = file_keys(F.col("file_name"))
-    return (
-        views.table(spark, sf_dir, "documents")
-        .select("doc_id", name.alias("file_name"))
-        .select("doc_id", "file_name", country.alias("country"), platform.alias("platform"))
+    country, platform = file_keys("file_name")
+    names = views.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "concat(lang, '_', source, '.csv') as file_name"
     )
+    return names.selectExpr("*", f"{country} as country", f"{platform} as platform")
 
 
+@query
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country name and code, language, and cell texts for every order."""
-    n, price = F.col("o_orderkey"), F.col("o_totalprice")
-    code = views.pick(n % 5, {0: "de", 1: "fr", 2: "it", 3: "es", 4: "Germany"})
-    share = F.when(n % 9 == 0, F.lit(0.0)).when(n % 10 == 0, F.lit(50.0)).otherwise(price / 800)
-    return (
-        views.table(spark, sf_dir, "orders")
-        .select(n.alias("k"), code.alias("code"), F.nullif(share, F.lit(0.0)).alias("share"))
-        .select(
-            "k",
-            labels.country_name(F.col("code")).alias("country_name"),
-            labels.country_code(F.col("code")).alias("country_code"),
-            labels.accept_language(F.col("code"), dict(POLICY.languages)).alias("idioma"),
-            "share",
-            labels.cell(F.col("share")).alias("cell"),
-        )
+    rows = views.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as k",
+        "elt(cast(o_orderkey % 5 as int) + 1, 'de', 'fr', 'it', 'es', 'Germany') as code",
+        "case when o_orderkey % 9 = 0 then null when o_orderkey % 10 = 0 then 50D"
+        " else o_totalprice / 800 end as share",
+    )
+    return rows.selectExpr(
+        "k",
+        f"{labels.country_name('code')} as country_name",
+        f"{labels.country_code('code')} as country_code",
+        f"{labels.accept_language('code', dict(POLICY.languages))} as idioma",
+        "share",
+        f"{labels.cell('share')} as cell",
     )
 
 
 # ---- scan logs --------------------------------------------------------------------------------
 
 
+@query
 def scan_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = fold_scan_log(views.scan_logs(spark, sf_dir))
-    return folded.select(
+    return fold_scan_log(views.scan_logs(spark, sf_dir)).selectExpr(
         ID, "platform", "attempt", "initial_status", "final_status", "redirect_count",
-        F.try_element_at("headers", F.lit("x-frame-options")).alias("frame_options"),
-        F.map_contains_key("headers", "Server").alias("has_server"),
+        "try_element_at(headers, 'x-frame-options') as frame_options",
+        "map_contains_key(headers, 'Server') as has_server",
         "protocol", "final_url",
     )
 
@@ -118,6 +116,7 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_source(pairs, views.scanned_sites(spark, sf_dir))
 
 
+@query
 def scan_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scans(spark, sf_dir).select(
         ID, "platform", "http_status_code", "https_status_code", "redirected_to_https",
@@ -126,34 +125,38 @@ def scan_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def scan_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs to observations: header names in mixed case, last of equal names, error split."""
-    assessed = assess_headers(_scans(spark, sf_dir))
-    results, _ = split_errors(assessed, F.coalesce("error", "header_error"))
+    results, _ = split_errors(assess_headers(_scans(spark, sf_dir)), "coalesce(error, header_error)")
     return results.select(
         ID, "platform", "https_status_code", "protocol_http",
-        F.col("`x-frame-options_presence`"), F.col("`x-frame-options_config`"),
-        F.col("`strict-transport-security_config`"), F.col("`set-cookie_presence`"),
+        "`x-frame-options_presence`", "`x-frame-options_config`",
+        "`strict-transport-security_config`", "`set-cookie_presence`",
     )
 
 
+@query
 def header_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.assessed(spark, sf_dir).select(ID, "platform", *LABELS, "header_error")
+    columns = [f"`{col(h)}`" for h in POLICY.headers for col in (presence_col, config_col)]
+    return views.assessed(spark, sf_dir).select(ID, "platform", *columns, "header_error")
 
 
+@query
 def result_error_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results, errors = views.results_and_errors(spark, sf_dir)
-    kept = results.select(ID, "platform", F.lit("result").alias("kind"), F.lit(None).cast("string").alias("error"))
-    return kept.unionByName(errors.select(ID, "platform", F.lit("error").alias("kind"), "error"))
+    marked = mark_outcome(views.assessed(spark, sf_dir), "header_error")
+    return marked.filter("outcome is not null").select(ID, "platform", "outcome", "error")
 
 
 # ---- scores -----------------------------------------------------------------------------------
 
 
+@query
 def platform_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.platform_count(views.observations(spark, sf_dir))
 
 
+@query
 def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.header_scores(views.observations(spark, sf_dir)).select(
         ID, "platform", "header_score_by_platform", "header_avg_score_btw_platforms",
@@ -161,11 +164,17 @@ def header_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.final_scores(views.observations(spark, sf_dir))
+
+
+@query
 def inconsistency_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    return scored.select(ID, "platform", scoring.CRITICAL_FLAG, scoring.HEADER_FLAG, scoring.REDIRECT_FLAG)
+    flags = (scoring.CRITICAL_FLAG, scoring.HEADER_FLAG, scoring.REDIRECT_FLAG)
+    return _scored(spark, sf_dir).select(ID, "platform", *flags)
 
 
+@query
 def redirect_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.redirect_scores(views.observations(spark, sf_dir)).select(
         ID, "platform", "redirect_score_by_platform", "redirect_avg_score_btw_platforms",
@@ -173,6 +182,7 @@ def redirect_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
 def http_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.http_scores(views.observations(spark, sf_dir)).select(
         ID, "platform", "http_score_by_platform", "http_avg_score_btw_platforms",
@@ -180,107 +190,113 @@ def http_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.final_scores(views.observations(spark, sf_dir))
-
-
-def _worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.worst_observation(_scored(spark, sf_dir), columns_needed(POLICY))
-
-
+@query
 def final_score_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select(
         ID, "platform", "header_component_score", "redirect_component_score", "final_score", "grade"
     )
 
 
+@query
 def worst_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [ID, "country", NUTS, "Category", "platform", "protocol_http", "final_score", "grade"]
     return scoring.worst_observation(_scored(spark, sf_dir), columns)
 
 
-# ---- statistics and tables --------------------------------------------------------------------
+def _worst(spark: SparkSession, sf_dir: str, headers: bool = False) -> DataFrame:
+    rows = views.observations(spark, sf_dir)
+    return scoring.worst_scores(
+        rows, summary_columns(headers=headers), n_platforms=len(POLICY.platforms)
+    )
 
 
-def _adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = summarize(_worst(spark, sf_dir), header_counts(POLICY))
-    return statistics.adoption_stats(summary)
+@query
+def worst_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _worst(spark, sf_dir).select(
+        ID, "country", NUTS, "Category", "platform", "protocol_http", "header_component_score",
+        "redirect_component_score", "final_score", "grade", scoring.HEADER_FLAG,
+    )
 
 
-def _inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.inconsistency_stats(summarize(_worst(spark, sf_dir), flag_counts()))
+# ---- statistics and tables --------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.http_version_stats(summarize(_worst(spark, sf_dir), version_counts()))
+@query
+def country_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.country_overview(views.observations(spark, sf_dir))
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.region_scores(summarize(_worst(spark, sf_dir), score_sums()))
+@query
+def adoption_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = summarize(_worst(spark, sf_dir, headers=True), header_counts(POLICY))
+    return statistics.adoption_stats(summary)
 
 
-def country_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.country_overview(views.observations(spark, sf_dir))
+@query
+def inconsistency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.inconsistency_stats(summarize(_worst(spark, sf_dir), flag_counts()))
 
 
-def adoption_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adoption(spark, sf_dir)
+@query
+def http_version_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.http_version_stats(summarize(_worst(spark, sf_dir), version_counts()))
 
 
+@query
 def adoption_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.adoption_table(_adoption(spark, sf_dir))
+    return tables.adoption_table(adoption_stats(spark, sf_dir))
 
 
+@query
 def weak_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.adoption_table(_adoption(spark, sf_dir), weak=True)
+    return tables.adoption_table(adoption_stats(spark, sf_dir), weak=True)
 
 
+@query
 def adoption_table_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [labels.short_name(h) for h in POLICY.headers]
-    return tables.widen(tables.adoption_table(_adoption(spark, sf_dir)), names)
-
-
-def inconsistency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inconsistency(spark, sf_dir)
+    return tables.widen(adoption_table(spark, sf_dir), names)
 
 
+@query
 def inconsistency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.inconsistency_table(_inconsistency(spark, sf_dir))
-
-
-def http_version_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir)
+    return tables.inconsistency_table(inconsistency_stats(spark, sf_dir))
 
 
+@query
 def http_version_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.http_version_table(_versions(spark, sf_dir))
+    return tables.http_version_table(http_version_stats(spark, sf_dir))
 
 
+@query
 def region_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.region_score_table(_regions(spark, sf_dir))
+    scores = statistics.region_scores(summarize(_worst(spark, sf_dir), score_sums()))
+    return tables.region_score_table(scores)
 
 
+@query
 def table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = tables.inconsistency_table(_inconsistency(spark, sf_dir))
-    first = tables.preview(table, 2).withColumn("part", F.lit("head"))
-    last = tables.preview(table, 2, from_end=True).withColumn("part", F.lit("tail"))
-    return first.unionByName(last).select(
+    return tables.preview(inconsistency_table(spark, sf_dir), head=2, tail=2).select(
         "part", "scope", "country", "region", "row_no", "col_no", "cell"
     )
 
 
+@query
 def heatmap_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.heatmap_data(_adoption(spark, sf_dir))
+    return charts.heatmap_data(adoption_stats(spark, sf_dir))
 
 
+@query
 def dot_chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.dot_chart_data(_inconsistency(spark, sf_dir))
+    return charts.dot_chart_data(inconsistency_stats(spark, sf_dir))
 
 
+@query
 def bar_chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.bar_chart_data(_versions(spark, sf_dir))
+    return charts.bar_chart_data(http_version_stats(spark, sf_dir))
 
 
+@query
 def radar_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header counts need no scores: the summary reads the observations directly."""
     summary = summarize(views.observations(spark, sf_dir), header_counts(POLICY))
@@ -290,55 +306,35 @@ def radar_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- files and passes -------------------------------------------------------------------------
 
 
-def _text_row(columns: list[Column]) -> list[Column]:
-    names = [*SOURCE_COLUMNS, *SCAN_COLUMNS]
-    return [c.cast("string").alias(name) for c, name in zip(columns, names, strict=True)]
-
-
+@query
 def row_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows as text; every seventh was written with the platform at position 12."""
-    k = F.col(ID)
-    source = [k, F.concat(F.lit("Site "), k), F.col("Category"), *[F.lit("x")] * 4, F.col(NUTS), *[F.lit("y")] * 4]
-    scan = [F.lit("2025-01-05 10:00:00"), F.lit(301), F.lit(200), F.col("redirected_to_https"),
-            F.col("redirected_https_to_same_domain"), F.col("final_url"), F.col("country"),
-            F.col("platform")]
-    tail = [F.col("protocol_http"), F.lit(1)]
+    source = [ID, f"concat('Site ', {ID})", "Category", *["'x'"] * 4, NUTS, *["'y'"] * 4]
+    scan = ["'2025-01-05 10:00:00'", "301", "200", "redirected_to_https",
+            "redirected_https_to_same_domain", "final_url", "country", "platform"]
     shifted = [scan[-1], *scan[:-1]]
     damaged = [
-        F.when(k % 7 == 0, wrong.cast("string")).otherwise(right.cast("string"))
+        f"if({ID} % 7 = 0, cast({wrong} as string), cast({right} as string))"
         for wrong, right in zip(shifted, scan)
     ]
-    rows = views.raw_observations(spark, sf_dir).select(*_text_row([*source, *damaged, *tail]))
+    columns = zip([*source, *damaged, "protocol_http", "1"], [*SOURCE_COLUMNS, *SCAN_COLUMNS])
+    rows = views.raw_observations(spark, sf_dir).selectExpr(
+        *[f"cast({sql} as string) as {name}" for sql, name in columns]
+    )
     return repair_shifted_rows(rows).select(ID, *SCAN_COLUMNS)
 
 
-def retry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query
+def retry_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Institutions left after several passes: orders are the source, line items the outcomes.
 
     Every line item of an order is one pass; returned items failed, the others succeeded when
     they are the last platform's.
     """
     items = views.table(spark, sf_dir, "lineitem")
-    failed = F.col("l_returnflag") == "R"
-    errors = items.filter(failed).select(F.col("l_orderkey").alias(ID))
-    results = items.filter(~failed).select(
-        F.col("l_orderkey").alias(ID),
-        F.when(F.col("l_linestatus") == "O", "mobile").otherwise("desktop").alias("platform"),
+    errors = items.filter("l_returnflag = 'R'").selectExpr(f"l_orderkey as {ID}")
+    results = items.filter("l_returnflag <> 'R'").selectExpr(
+        f"l_orderkey as {ID}", "if(l_linestatus = 'O', 'mobile', 'desktop') as platform"
     )
     source = views.institutions(spark, sf_dir).select(ID, "country", "Category")
-    return retry_worklist(source, results, errors)
-
-
-QUERIES: dict[str, Query] = {
-    query.__name__: query
-    for query in (
-        url_sanitize, url_domain, redirect_flags, result_file_keys, display_names,
-        scan_fold, scan_combine, scan_assess, header_classify, result_error_split,
-        platform_count, header_score, inconsistency_flags, redirect_score, http_score,
-        final_score_grade, worst_observation, country_overview, adoption_stats, adoption_table,
-        weak_table, adoption_table_wide, inconsistency_stats, inconsistency_table,
-        http_version_stats, http_version_table, region_score, table_preview, heatmap_data,
-        dot_chart_data, bar_chart_data, radar_data, row_repair,
-    )
-}
-QUERIES["retry_worklist"] = retry_list
+    return pending_institutions(source, results, errors)

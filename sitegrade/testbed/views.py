@@ -7,217 +7,150 @@ kind of inconsistency occurs. No table is cut: the inputs grow with the given da
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from sitegrade.operators.assess import assess_values, split_errors
+from sitegrade.operators.assess import assess_values
 from sitegrade.schemas import ID, NUTS
 
+# The value of every header, from the institution number k and the platform number p; d and s are
+# the platform number for some institutions and 0 for the others.
+HEADER_VALUES = {
+    "x-xss-protection": "case (k * 3 + d) % 5 when 0 then '1; mode=block' when 1 then '0'"
+    " when 2 then '1; MODE=block' end",
+    "x-frame-options": "case (k * 5 + d) % 6 when 0 then 'DENY' when 1 then 'SAMEORIGIN'"
+    " when 2 then 'ALLOWALL' when 3 then 'sameorigin' end",
+    "x-content-type-options": "case (k * 7 + d) % 4 when 0 then 'nosniff'"
+    " when 1 then 'nosniff, nosniff' when 2 then 'NoSniff' end",
+    "referrer-policy": "case (k * 11) % 7 when 0 then 'no-referrer' when 1 then 'unsafe-url'"
+    " when 2 then 'same-origin' when 3 then 'origin' end",
+    "access-control-allow-origin": "case (k * 13) % 9 when 0 then '*' when 1 then 'null'"
+    " when 2 then 'https://a.example' end",
+    "strict-transport-security": "case (k * 17 + s) % 8"
+    " when 0 then 'max-age=31536000; includeSubDomains' when 1 then 'max-age=31536000'"
+    " when 2 then 'max-age=600; includeSubDomains'"
+    " when 3 then 'max-age=63072000, ; includeSubDomains; preload'"
+    " when 4 then 'includeSubDomains'"
+    " when 5 then if(k % 31 = 0, 'max-age=\"31536000\"', null) end",
+    "content-security-policy": "case (k * 19) % 5 when 0 then \"default-src 'self'\""
+    " when 1 then \"frame-ancestors 'none'\" end",
+    "cross-origin-resource-policy": "case (k * 23) % 10 when 0 then 'same-origin'"
+    " when 1 then 'cross-origin' end",
+    "cross-origin-embedder-policy": "case (k * 29) % 11 when 0 then 'require-corp'"
+    " when 1 then 'unsafe-none' end",
+    "cross-origin-opener-policy": "case (k * 31) % 12 when 0 then 'same-origin'"
+    " when 1 then 'unsafe-none' end",
+    "set-cookie": "case k % 13 when 0 then 'a=1; Secure; HttpOnly; SameSite=Lax'"
+    " when 1 then 'a=1; Secure' end",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(selector: Column, values: dict[int, str]) -> Column:
-    chain = None
-    for when, value in values.items():
-        chain = F.when(selector == when, value) if chain is None else chain.when(selector == when, value)
-    return chain
-
-
 def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, ETER_ID, NUTS2_Label_2016, country, Category. Joins carry no hint: Spark checks sizes."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey",
-        F.col("n_name").alias(NUTS),
-        F.lower(F.substring("r_name", 1, 2)).alias("country"),
-    )
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer")
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .join(places, customer.c_nationkey == places.n_nationkey)
-        .select(
-            "k",
-            F.col("k").alias(ID),
-            NUTS,
-            "country",
-            F.when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), "private")
-            .otherwise("public")
-            .alias("Category"),
+        .selectExpr(
+            "o_orderkey as k",
+            f"o_orderkey as {ID}",
+            f"n_name as {NUTS}",
+            "lower(substr(r_name, 1, 2)) as country",
+            "if(c_mktsegment in ('BUILDING', 'HOUSEHOLD'), 'private', 'public') as Category",
         )
     )
 
 
-def _header_values(d: Column, p: Column) -> dict[str, Column]:
-    k = F.col("k")
-    hsts_shift = F.when(k % 300 == 0, p).otherwise(0)
-    age_in_quotes = F.when(k % 31 == 0, 'max-age="31536000"')
-    hsts = (k * 17 + hsts_shift) % 8
-    return {
-        "x-xss-protection": pick(
-            (k * 3 + d) % 5, {0: "1; mode=block", 1: "0", 2: "1; MODE=block"}
-        ),
-        "x-frame-options": pick(
-            (k * 5 + d) % 6, {0: "DENY", 1: "SAMEORIGIN", 2: "ALLOWALL", 3: "sameorigin"}
-        ),
-        "x-content-type-options": pick(
-            (k * 7 + d) % 4, {0: "nosniff", 1: "nosniff, nosniff", 2: "NoSniff"}
-        ),
-        "referrer-policy": pick(
-            (k * 11) % 7, {0: "no-referrer", 1: "unsafe-url", 2: "same-origin", 3: "origin"}
-        ),
-        "access-control-allow-origin": pick(
-            (k * 13) % 9, {0: "*", 1: "null", 2: "https://a.example"}
-        ),
-        "strict-transport-security": F.when(hsts == 5, age_in_quotes).otherwise(
-            pick(
-                hsts,
-                {
-                    0: "max-age=31536000; includeSubDomains",
-                    1: "max-age=31536000",
-                    2: "max-age=600; includeSubDomains",
-                    3: "max-age=63072000, ; includeSubDomains; preload",
-                    4: "includeSubDomains",
-                },
-            )
-        ),
-        "content-security-policy": pick(
-            (k * 19) % 5, {0: "default-src 'self'", 1: "frame-ancestors 'none'"}
-        ),
-        "cross-origin-resource-policy": pick((k * 23) % 10, {0: "same-origin", 1: "cross-origin"}),
-        "cross-origin-embedder-policy": pick((k * 29) % 11, {0: "require-corp", 1: "unsafe-none"}),
-        "cross-origin-opener-policy": pick((k * 31) % 12, {0: "same-origin", 1: "unsafe-none"}),
-        "set-cookie": pick(
-            k % 13, {0: "a=1; Secure; HttpOnly; SameSite=Lax", 1: "a=1; Secure"}
-        ),
-    }
-
-
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per institution and platform with one value column per header (``h_0`` ...)."""
-    both = F.array(F.struct(F.lit(0).alias("p"), F.lit("desktop").alias("platform")),
-                   F.struct(F.lit(1).alias("p"), F.lit("mobile").alias("platform")))
-    rows = institutions(spark, sf_dir).select("*", F.inline(both))
-    rows = rows.filter(~((F.col("k") % 101 == 0) & (F.col("p") == 1)))
-    p, k = F.col("p"), F.col("k")
-    d = F.when(k % 50 == 0, p).otherwise(0)
-    e = F.when(k % 61 == 0, p).otherwise(0)
-    g = F.when(k % 37 == 0, p).otherwise(0)
-    to_https = (k + e) % 10 < 7
-    protocols = ["h3", "h2", "H2", "http/1.1", "h2", "http/1.0", "spdy/3"]
-    return rows.select(
+    rows = institutions(spark, sf_dir).selectExpr(
+        "*", "inline(array(struct(0 as p, 'desktop' as platform), struct(1 as p, 'mobile' as platform)))"
+    )
+    rows = rows.filter("not (k % 101 = 0 and p = 1)").selectExpr(
+        "*",
+        "if(k % 50 = 0, p, 0) as d",
+        "if(k % 61 = 0, p, 0) as e",
+        "if(k % 37 = 0, p, 0) as g",
+        "if(k % 300 = 0, p, 0) as s",
+    )
+    return rows.selectExpr(
         ID,
         NUTS,
         "country",
         "Category",
         "platform",
-        to_https.alias("redirected_to_https"),
-        (to_https & ((k + e) % 4 != 0)).alias("redirected_https_to_same_domain"),
-        pick((k + g) % 7, dict(enumerate(protocols))).alias("protocol_http"),
-        F.when((k + e) % 11 == 0, "http://site").otherwise("https://site").alias("final_url"),
-        *[v.alias(f"h_{i}") for i, v in enumerate(_header_values(d, p).values())],
+        "(k + e) % 10 < 7 as redirected_to_https",
+        "(k + e) % 10 < 7 and (k + e) % 4 <> 0 as redirected_https_to_same_domain",
+        "elt(cast((k + g) % 7 as int) + 1, 'h3', 'h2', 'H2', 'http/1.1', 'h2', 'http/1.0', 'spdy/3')"
+        " as protocol_http",
+        "if((k + e) % 11 = 0, 'http://site', 'https://site') as final_url",
+        *[f"{value} as h_{i}" for i, value in enumerate(HEADER_VALUES.values())],
     )
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with presence and label columns and ``header_error``."""
-    raw = raw_observations(spark, sf_dir)
-    headers = list(_header_values(F.lit(0), F.lit(0)))
-    values = {h: F.col(f"h_{i}") for i, h in enumerate(headers)}
-    return assess_values(raw, values).drop(*[f"h_{i}" for i in range(len(headers))])
-
-
-def results_and_errors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = assessed(spark, sf_dir)
-    results, errors = split_errors(rows, F.col("header_error"))
-    return results.drop("header_error"), errors.drop("header_error")
+    values = {h: f"h_{i}" for i, h in enumerate(HEADER_VALUES)}
+    return assess_values(raw_observations(spark, sf_dir), values).drop(*values.values())
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results_and_errors(spark, sf_dir)[0]
+    """Every readable observation."""
+    return assessed(spark, sf_dir).filter("header_error is null").drop("header_error")
 
 
 def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser log messages: one per event, of one page load per user, platform and attempt."""
-    n = F.col("event_id")
-    user = F.col("user_id").cast("string")
-    attempt = (n % 2 + 1).cast("int")
-    platform = F.when(F.floor(n / 2) % 2 == 0, "desktop").otherwise("mobile")
-    secure = F.when(
-        F.col("user_id") % 5 == 1, F.concat(F.lit("https://other.example/u"), user)
-    ).otherwise(F.concat(F.lit("https://www.u"), user, F.lit(".example/")))
-    plain = F.concat(F.lit("http://u"), user, F.lit(".example/"))
-    final_url = F.when((attempt == 2) | (F.col("user_id") % 3 != 0), secure).otherwise(plain)
-    kind = F.col("event_type")
-    method = pick_text(
-        kind,
-        {
-            "click": "Network.requestWillBeSent",
-            "signup": "Network.requestWillBeSent",
-            "view": "Network.responseReceived",
-            "purchase": "Network.responseReceivedExtraInfo",
-        },
-        "Network.loadingFailed",
+    loads = table(spark, sf_dir, "events").selectExpr(
+        "*",
+        "cast(event_id % 2 + 1 as int) as attempt",
+        "if(floor(event_id / 2) % 2 = 0, 'desktop', 'mobile') as platform",
     )
-    redirect = F.when(
-        kind == "click", F.struct((n % 8 + 301).cast("int").alias("status"))
-    ).when(kind == "signup", F.struct(F.lit(200).alias("status")))
-    headers = F.map_from_arrays(
-        F.array(
-            F.lit("Server"),
-            F.lit("X-Frame-Options"),
-            F.lit("x-frame-options"),
-            F.lit("Strict-Transport-Security"),
-        ),
-        F.array(
-            kind,
-            F.lit("ALLOWALL"),
-            F.when(n % 2 == 0, "DENY").otherwise("none"),
-            F.when(n % 40 == 7, "max-age=soon").otherwise(
-                "max-age=63072000; includeSubDomains"
-            ),
-        ),
+    secure = (
+        "if(user_id % 5 = 1, concat('https://other.example/u', user_id),"
+        " concat('https://www.u', user_id, '.example/'))"
     )
-    response = F.when(
-        kind.isin("view", "purchase"),
-        F.struct(
-            F.when(kind == "view", final_url).otherwise("https://cdn.example/a.js").alias("url"),
-            pick(n % 3, {0: "200", 1: "404", 2: "500"}).cast("int").alias("status"),
-            pick(n % 4, {0: "h2", 1: "h3"}).alias("protocol"),
-            headers.alias("headers"),
-        ),
+    plain = "concat('http://u', user_id, '.example/')"
+    loads = loads.selectExpr(
+        "*", f"if(attempt = 2 or user_id % 3 <> 0, {secure}, {plain}) as final_url"
     )
-    params = F.struct(redirect.alias("redirectResponse"), response.alias("response"))
-    message = F.struct(F.struct(method.alias("method"), params.alias("params")).alias("message"))
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias(ID),
-        platform.alias("platform"),
-        attempt.alias("attempt"),
-        n.alias("seq"),
-        final_url.alias("final_url"),
-        F.to_json(message).alias("message"),
+    method = """case event_type when 'click' then 'Network.requestWillBeSent'
+        when 'signup' then 'Network.requestWillBeSent' when 'view' then 'Network.responseReceived'
+        when 'purchase' then 'Network.responseReceivedExtraInfo' else 'Network.loadingFailed' end"""
+    redirect = """case event_type when 'click' then named_struct('status', int(event_id % 8 + 301))
+        when 'signup' then named_struct('status', 200) end"""
+    headers = """map('Server', event_type, 'X-Frame-Options', 'ALLOWALL',
+        'x-frame-options', if(event_id % 2 = 0, 'DENY', 'none'), 'Strict-Transport-Security',
+        if(event_id % 40 = 7, 'max-age=soon', 'max-age=63072000; includeSubDomains'))"""
+    response = f"""if(event_type in ('view', 'purchase'), named_struct(
+        'url', if(event_type = 'view', final_url, 'https://cdn.example/a.js'),
+        'status', case event_id % 3 when 0 then 200 when 1 then 404 else 500 end,
+        'protocol', case event_id % 4 when 0 then 'h2' when 1 then 'h3' end,
+        'headers', {headers}), null)"""
+    message = f"""named_struct('message', named_struct('method', {method},
+        'params', named_struct('redirectResponse', {redirect}, 'response', {response})))"""
+    return loads.selectExpr(
+        f"user_id as {ID}",
+        "platform",
+        "attempt",
+        "event_id as seq",
+        "final_url",
+        f"to_json({message}) as message",
     )
 
 
-def pick_text(selector: Column, values: dict[str, str], default: str) -> Column:
-    chain = None
-    for when, value in values.items():
-        chain = F.when(selector == when, value) if chain is None else chain.when(selector == when, value)
-    return chain.otherwise(default)
-
-
 def scanned_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source list of the log view: one row per user."""
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias(ID)).distinct()
-    return users.select(
-        ID,
-        pick_text((F.col(ID) % 4).cast("string"), {"0": "de", "1": "fr", "2": "it"}, "es").alias(
-            "country"
-        ),
-        F.concat(F.lit("http://u"), F.col(ID).cast("string"), F.lit(".example:80/start")).alias(
-            "Url"
-        ),
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.selectExpr(
+        f"user_id as {ID}",
+        "elt(cast(user_id % 4 as int) + 1, 'de', 'fr', 'it', 'es') as country",
+        "concat('http://u', user_id, '.example:80/start') as Url",
     )
