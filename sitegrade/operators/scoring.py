@@ -351,7 +351,7 @@ def worst_scores(
     Within an institution the final score depends on the row only through the protocol factor,
     which has three values. So the first row per factor is kept next to the institution's values,
     each is scored, and the lowest of at most three is the answer. ``columns`` are row columns of
-    ``df``; the score columns are added.
+    ``df`` (no maps); the score columns are added.
     """
     rows = _row_scores(df, FINAL_PARTS, policy)
     kept = list(dict.fromkeys([ID, "platform", *columns]))
@@ -369,19 +369,26 @@ def worst_scores(
     for i, factor in enumerate(FACTORS):
         values = HEADERS.add_result(values, literal(factor), f"_{i}")
         final = _final_score(f"header_component_score_{i}", "redirect_component_score")
+        fields = ", ".join(f"_row_{i}.`{name}` as `{name}`" for name in kept)
         candidates.append(
-            f"if(_row_{i} is null, null, struct({final} as final_score, _row_{i}.platform,"
-            f" _row_{i}._content, {i} as i, header_component_score_{i} as header))"
+            f"if(_row_{i} is null, null, struct({final} as final_score, _row_{i}.platform as _first,"
+            f" _row_{i}._content as _next, header_component_score_{i} as header_component_score,"
+            f" {fields}))"
         )
-    best = values.selectExpr("*", f"array_min(array({', '.join(candidates)})) as _best")
-    best = best.selectExpr("*", "case _best.i when 0 then _row_0 when 1 then _row_1 else _row_2 end as _row")
     means = [f"{part.name}_avg_score_btw_platforms" for part in FINAL_PARTS]
-    return best.selectExpr(
-        *[f"_row.`{name}` as `{name}`" for name in kept],
+    # The generator keeps later filters on row columns from being copied into the expressions above.
+    lowest = values.selectExpr(
         *means,
         *INCONSISTENCY_COLUMNS,
-        "_best.header as header_component_score",
         "redirect_component_score",
-        "_best.final_score as final_score",
-        f"{grade('_best.final_score')} as grade",
+        f"inline(array(array_min(array({', '.join(candidates)}))))",
+    )
+    return lowest.selectExpr(
+        *[f"`{name}`" for name in kept],
+        *means,
+        *INCONSISTENCY_COLUMNS,
+        "header_component_score",
+        "redirect_component_score",
+        "final_score",
+        f"{grade('final_score')} as grade",
     )
