@@ -7,9 +7,12 @@ from __future__ import annotations
 
 ONE_YEAR = "31536000"
 
-# What counts as white space around a number (Unicode white space and the
-# four information separators), and the longest digit string accepted as a number.
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The characters that count as white space around a number (Unicode white space and
+# the four information separators), and the longest digit string accepted as a number.
+SPACE = (
+    r" \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
+    r"\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 MAX_DIGITS = 4300
 
 
@@ -29,30 +32,29 @@ def one_of(*values: str) -> str:
     return f"{{v}} in ({', '.join(quoted(v) for v in values)})"
 
 
-def _trim(value: str) -> str:
-    return f"regexp_replace({value}, r'^{SPACE}+|{SPACE}+$', '')"
-
-
 def max_age(value: str) -> str:
     """The text that should be a number: after the first ``max-age=``, up to ``;``, trimmed.
 
     The control character U+0093 and commas are dropped from it.
     """
-    token = _trim(f"split_part(split_part({value}, 'max-age=', 2), ';', 1)")
-    return _trim(f"translate({token}, '\\u0093,', '')")
+    token = f"split_part(split_part({value}, 'max-age=', 2), ';', 1)"
+    return f"btrim(translate(btrim({token}, '{SPACE}'), '\\u0093,', ''), '{SPACE}')"
 
 
 def _digits(number: str) -> str:
-    return f"regexp_replace({number}, '[+_-]', '')"
+    return f"translate({number}, '+-_', '')"
+
+
+# Helper columns a header's rules may use as ``{name}``, computed once per row.
+MAX_AGE = {"age": f"if(contains({{v}}, 'max-age='), {max_age('{v}')}, null)"}
 
 
 def max_age_unreadable() -> str:
     """A ``max-age=`` that is not followed by a whole number."""
-    number = max_age("{v}")
-    whole = (
-        f"{number} rlike '^[+-]?[0-9](_?[0-9])*$' and length({_digits(number)}) <= {MAX_DIGITS}"
+    return (
+        "{age} is not null and not (regexp({age}, '^[+-]?[0-9](_?[0-9])*$')"
+        f" and length({_digits('{age}')}) <= {MAX_DIGITS})"
     )
-    return f"contains({{v}}, 'max-age=') and not ({whole})"
 
 
 def strict_transport() -> str:
@@ -60,13 +62,9 @@ def strict_transport() -> str:
 
     The age is compared as text (length first), so that no value is too long to compare.
     """
-    number = max_age("{v}")
-    digits = f"regexp_replace({_digits(number)}, '^0+', '')"
-    long_enough = (
-        f"(length({digits}) > {len(ONE_YEAR)}"
-        f" or (length({digits}) = {len(ONE_YEAR)} and {digits} >= '{ONE_YEAR}'))"
-    )
+    digits = f"ltrim('0', {_digits('{age}')})"
     return (
-        f"{contains_all('max-age=', 'includesubdomains')}"
-        f" and not startswith({number}, '-') and {long_enough}"
+        f"{{age}} is not null and {contains_all('includesubdomains')}"
+        f" and not startswith({{age}}, '-') and (length({digits}) > {len(ONE_YEAR)}"
+        f" or (length({digits}) = {len(ONE_YEAR)} and {digits} >= '{ONE_YEAR}'))"
     )

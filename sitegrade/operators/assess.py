@@ -23,21 +23,29 @@ def assess_values(
     value cannot be assessed.
     """
     own = [f"`{c}`" for c in df.columns]
-    lowered = {h: f"_value_{i}" for i, h in enumerate(policy.headers)}
+    names = {h: {"v": f"_value_{i}"} for i, h in enumerate(policy.headers)}
     prepared = df.selectExpr(
         *own,
-        *[f"lower(nullif({values[h]}, '{MISSING}')) as {lowered[h]}" for h in policy.headers],
+        *[f"lower(nullif({values[h]}, '{MISSING}')) as {names[h]['v']}" for h in policy.headers],
     )
+    helpers = []
+    for header, expressions in policy.helpers.items():
+        for name, sql in expressions.items():
+            helper = f"{names[header]['v']}_{name}"
+            helpers.append(f"{sql.format(v=names[header]['v'])} as {helper}")
+            names[header][name] = helper
+    prepared = prepared.selectExpr("*", *helpers)
     columns = []
-    for header, value in lowered.items():
-        strong = policy.rules[header].format(v=value)
+    for header in policy.headers:
+        value = names[header]["v"]
+        strong = policy.rules[header].format(**names[header])
         columns.append(f"{value} is not null as `{presence_col(header)}`")
         columns.append(
             f"case when {value} is null then '{MISSING}' when {strong} then '{STRONG}'"
             f" else '{WEAK}' end as `{config_col(header)}`"
         )
     problems = [
-        f"if({test.format(v=lowered[header])}, 'unreadable value of {header}', null)"
+        f"if({test.format(**names[header])}, 'unreadable value of {header}', null)"
         for header, test in policy.unreadable.items()
     ]
     error = f"coalesce({', '.join([*problems, 'cast(null as string)'])}) as header_error"

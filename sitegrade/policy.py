@@ -45,6 +45,10 @@ DEFAULT_RULES = {
 @dataclass(frozen=True)
 class Policy:
     rules: Mapping[str, str] = field(default_factory=lambda: dict(DEFAULT_RULES))
+    # Helper columns of a header's rules: name -> expression over ``{v}``.
+    helpers: Mapping[str, Mapping[str, str]] = field(
+        default_factory=lambda: {"strict-transport-security": R.MAX_AGE}
+    )
     # Values that cannot be assessed at all and turn the observation into an error.
     unreadable: Mapping[str, str] = field(
         default_factory=lambda: {"strict-transport-security": R.max_age_unreadable()}

@@ -23,6 +23,7 @@ from sitegrade.operators.summary import (
 from sitegrade.plans import charts, tables
 from sitegrade.policy import DEFAULT_POLICY as POLICY
 from sitegrade.schemas import ID, NUTS, SCAN_COLUMNS, SOURCE_COLUMNS, config_col, presence_col
+from sitegrade.session import configure
 from sitegrade.sources.readers import file_keys
 from sitegrade.testbed import views
 
@@ -32,7 +33,10 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(configure(spark), sf_dir)
+
+    QUERIES[function.__name__] = run
     return function
 
 
