@@ -357,9 +357,13 @@ def worst_scores(
     kept = list(dict.fromkeys([ID, "platform", *columns]))
     content = f"xxhash64({_record(_hashable(rows, kept))})"
     rows = rows.selectExpr("*", f"{protocol_factor()} as _factor", f"{content} as _content")
+    rows = rows.selectExpr(
+        "*",
+        f"struct({_record(kept)}, _content) as _record",
+        "struct(platform, _content) as _order",
+    )
     firsts = {
-        f"_row_{i}": f"min_by(struct({_record(kept)}, _content), "
-        f"if(_factor = {literal(factor)}, struct(platform, _content), null))"
+        f"_row_{i}": f"min_by(_record, _order) filter (where _factor = {literal(factor)})"
         for i, factor in enumerate(FACTORS)
     }
     values = _institutions(rows, FINAL_PARTS, policy, firsts)
