@@ -7,10 +7,10 @@ import pytest
 from helpers import observations
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from sitegrade.operators import scoring
 from sitegrade.operators.keyed import attach
 from sitegrade.operators.summary import summary_columns
+from sitegrade.testbed.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,9 +20,9 @@ def physical(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_no_cross_join(spark, name):
-    plan = physical(entry.queries()[name](spark, SF_DIR))
+    plan = physical(QUERIES[name](spark, SF_DIR))
     for word in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
 

@@ -5,7 +5,8 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
+from sitegrade.testbed.oracle import ORACLES
+from sitegrade.testbed.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -28,13 +29,13 @@ def table(columns, rows):
 
 
 def test_every_query_has_an_expected_result():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, database, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    cursor = database.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    cursor = database.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert table(df.columns, df.collect()) == table(columns, cursor.fetchall())
