@@ -15,5 +15,19 @@ with plain as (
     window w as (partition by norm order by length(text) desc, doc_id nulls last)
 )
 select doc_id, keep_id, group_size, kept, text_sha256 from ranked
+""",
+    "op1_warc": r"""
+with payloads as (
+    select page_id, encode(coalesce(html, '')) as payload from pages
+), typed as (
+    select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest,
+           case when octet_length(payload) >= 100
+                then min(page_id) over (partition by payload) end as keeper
+    from payloads
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id <> keeper then 'revisit' else 'response' end as record_type,
+       case when page_id <> keeper then keeper end as refers_to
+from typed
 """,
 }
