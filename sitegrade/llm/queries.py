@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegrade.llm import decontaminate, exact_dedup, packing, simhash, warc
+from sitegrade.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    packing,
+    pii,
+    simhash,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,3 +63,25 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, carry=["doc_id"])
+    return found.selectExpr("doc_id", *pii.digest_columns())
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+@query
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"), carry=["page_id"])
