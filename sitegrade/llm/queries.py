@@ -10,6 +10,7 @@ from sitegrade.llm import (
     decontaminate,
     exact_dedup,
     language,
+    markov,
     packing,
     pii,
     simhash,
@@ -85,3 +86,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_pages(table(spark, sf_dir, "pages"), carry=["page_id"])
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return markov.score_texts(docs, "crc32(cast(doc_id as string)) % 7 = 2", carry=["doc_id"])
