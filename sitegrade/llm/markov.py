@@ -208,7 +208,7 @@ def _blocks(docs: DataFrame, text: str, record: str, held_out: str, block_tokens
     schema = T.StructType(
         [
             T.StructField("block", T.StringType()),
-            docs.schema[record],
+            T.StructField(record, docs.schema[record].dataType),
             T.StructField("held_out", T.BooleanType()),
             T.StructField("ids", T.BinaryType()),
             T.StructField("classes", T.BinaryType()),
@@ -343,7 +343,7 @@ def score_texts(
     model = train(learned, class_uses, t)
 
     looked_up = attach(dictionary.select("block", "id", "word"), words.drop("class"), ["word"])
-    counts = looked_up.select("block", "id", "uses")
+    counts = looked_up.selectExpr("block as home", "id", "uses")
     log_class = np.log10(class_uses + t.smoothing * (class_words + 1))
     sent = docs.sparkSession.sparkContext.broadcast((model, log_class))
     schema = T.StructType(
@@ -386,9 +386,9 @@ def score_texts(
         return pa.Table.from_arrays(arrays, names=schema.names)
 
     scored = (
-        texts.select("block", record, "held_out", "ids", "classes")
-        .groupBy("block")
-        .cogroup(counts.groupBy("block"))
+        texts.selectExpr("block as holder", quoted(record), "held_out", "ids", "classes")
+        .groupBy("holder")
+        .cogroup(counts.groupBy("home"))
         .applyInArrow(score, schema)
     )
     return scored.selectExpr(
