@@ -14,6 +14,7 @@ from sitegrade.llm import (
     packing,
     pii,
     simhash,
+    toxicity,
     url_filter,
     warc,
 )
@@ -92,3 +93,11 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return markov.score_texts(docs, "crc32(cast(doc_id as string)) % 7 = 2", carry=["doc_id"])
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = "crc32(cast(doc_id as string)) % 4 = 2"
+    return toxicity.score_toxicity(docs, labels, held_out, carry=["doc_id"])
