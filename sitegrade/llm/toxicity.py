@@ -37,6 +37,9 @@ class Settings:
     landmarks: int = 64
     # Toxic sample texts that a landmark occurs in, at least.
     support: int = 3
+    # Least evidence for a landmark: toxic texts with it times the logarithm of its odds. Among
+    # thousands of rare words some stand in toxic texts only by chance; 20 rules those out.
+    evidence: float = 20.0
     # Labelled texts learned from, per label: those with the smallest hash of their id.
     sample: int = 8000
     # Kernel values below count as none.
@@ -324,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, text: str, label: str,
     sizes = {y: max(min(totals.get(y, 0), s.sample), 1) for y in (0, 1)}
     odds = f"(pos / {sizes[1]}) / ((neg + 0.5) / {sizes[0]})"
     best = (
-        counted.filter(f"pos >= {s.support} and {odds} > 2")
+        counted.filter(f"pos >= {s.support} and pos * ln({odds}) >= {s.evidence}")
         .orderBy(F.expr(f"pos * ln({odds})").desc(), "word")
         .limit(s.landmarks)
     )
