@@ -254,3 +254,11 @@ def _merge_sql(spans: str) -> str:
 def items_digest(items: str = "items") -> str:
     """SQL: SHA-256 of the sorted ids, comma-joined."""
     return f"sha2(array_join({items}, ','), 256)"
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Documents that are not contaminated, with the columns of ``docs``."""
+    name = free_name(docs, "_document")
+    whole = docs.withColumn(name, F.struct(*[F.col(quoted(c)) for c in docs.columns]))
+    found = find_contamination(whole, benchmark, carry=[name], **options)
+    return found.filter("not contaminated").select(f"{name}.*")

@@ -24,15 +24,16 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Chunking:
-    """A chunk ends after two characters whose code points are ``first`` and ``second`` modulo
-    ``modulus``, once it has ``smallest`` characters, and at ``largest`` characters at the latest.
+    """A chunk ends after characters whose code points modulo ``modulus`` are ``ending``, once it
+    has ``smallest`` characters, and at ``largest`` characters at the latest.
+
+    Endings are rarer than ``smallest`` is long, so two texts that differ soon share ends again.
     """
 
-    smallest: int = 512
+    smallest: int = 128
     largest: int = 8192
-    modulus: int = 16
-    first: int = 5
-    second: int = 4
+    modulus: int = 8
+    ending: tuple[int, ...] = (5, 4, 1)
 
     def _characters(self, remainder: int) -> str:
         codes = range(0x21, 0x250)
@@ -40,8 +41,8 @@ class Chunking:
 
     @property
     def pattern(self) -> str:
-        end = f"(?<=[{self._characters(self.first)}][{self._characters(self.second)}])"
-        return f"(?s).{{{self.smallest},{self.largest}}}?{end}|.{{1,{self.largest}}}"
+        end = "".join(f"[{self._characters(r)}]" for r in self.ending)
+        return f"(?s).{{{self.smallest},{self.largest}}}?(?<={end})|.{{1,{self.largest}}}"
 
 
 def normalised(text: str) -> str:

@@ -1,0 +1,79 @@
+import hashlib
+import random
+import re
+
+from llm_rows import by_row
+
+from sitegrade.llm import decontaminate as D
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return WORD.findall(lower)
+
+
+def brute(docs, items, size):
+    patterns = []
+    for item, text in items:
+        w = words(text)
+        n = min(size, len(w))
+        if item is not None and n:
+            patterns += [(str(item), w[i : i + n]) for i in range(len(w) - n + 1)]
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, p in patterns:
+            for i in range(len(w) - len(p) + 1):
+                if w[i : i + len(p)] == p:
+                    hit.update(range(i, i + len(p)))
+                    found.add(item)
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def made(seed):
+    rng = random.Random(seed)
+    pick = lambda n: " ".join(rng.choices(["a", "B", "c3", "dé", "e-f", "ß"], k=n))
+    items = [(i, pick(rng.choice([1, 2, 3, 5, 9, 20]))) for i in range(25)]
+    items += [(3, pick(6)), (None, pick(4)), (90, None), (91, ""), (92, "..."), (100, items[0][1])]
+    docs = [(i, pick(rng.randint(0, 60))) for i in range(120)] + [(None, pick(30)), (500, None)]
+    docs += [(501, items[5][1].upper() + "; " + pick(10)), (502, "zz " * 40 + items[6][1])]
+    return docs, items
+
+
+def test_against_brute_force(spark, edge):
+    for seed, size, block in ((1, 5, 1 << 20), (2, 3, 60), (3, 13, 1 << 20)):
+        docs, items = made(seed)
+        d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+        b = spark.createDataFrame(items, "item_id bigint, text string")
+        got = D.find_contamination(d, b, window=size, block_bytes=block, carry=["doc_id"])
+        got = got.selectExpr("doc_id", "n_words", "n_hit", "n_items", D.items_digest(), "contaminated")
+        assert by_row(got.collect()) == by_row(brute(docs, items, size))
+
+
+def test_spans_and_stage(spark, edge, nothing):
+    bench = spark.createDataFrame([(7, "brown fox JUMPS over")], "item_id bigint, text string")
+    got = D.find_contamination(edge, bench).filter("doc_id = 1").first()
+    assert [(s.start, s.end) for s in got.spans] == [(2, 6)] and got["items"] == ["7"]
+    clean = D.keep_clean(edge, bench)
+    assert clean.columns == edge.columns and clean.count() == edge.count() - 4
+    assert D.keep_clean(edge, bench.filter("false")).count() == edge.count()
+    assert D.find_contamination(nothing, bench).count() == 0
+    assert D.keep_clean(nothing, bench, block_bytes=1).count() == 0
+
+
+def test_search_skips():
+    tables = D.build_tables([("i", b"a b c d e f g h i j k l m")])[0]
+    seen = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            seen.append(key)
+            return super().get(key, default)
+
+    tables.shift = Counted(tables.shift)
+    assert list(tables.search([b"x"] * 1300)) == []
+    assert len(seen) <= 1300 / 12 + 2
