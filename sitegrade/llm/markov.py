@@ -207,7 +207,7 @@ def _blocks(docs: DataFrame, text: str, record: str, held_out: str, block_tokens
     ``class``, ``id``, ``uses`` in training documents), told apart by ``word`` being null."""
     schema = T.StructType(
         [
-            T.StructField("block", T.StringType()),
+            T.StructField("block", T.LongType()),
             T.StructField(record, docs.schema[record].dataType),
             T.StructField("held_out", T.BooleanType()),
             T.StructField("ids", T.BinaryType()),
@@ -225,7 +225,7 @@ def _blocks(docs: DataFrame, text: str, record: str, held_out: str, block_tokens
         size = 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            name = uuid.uuid4().hex
+            name = uuid.uuid4().int >> 65
             classes = np.fromiter((word_class(w) for w in known), np.uint8, len(known))
             uses = np.zeros(len(known), np.int64)
             for records, held, texts in rows:
@@ -234,7 +234,7 @@ def _blocks(docs: DataFrame, text: str, record: str, held_out: str, block_tokens
                     if not out:
                         np.add.at(uses, ids, 1)
                 arrays = [
-                    pa.array([name] * n, pa.string()),
+                    pa.array([name] * n, pa.int64()),
                     records,
                     pa.array(held, pa.bool_()),
                     pa.array([ids.tobytes() for ids in texts], pa.binary()),
@@ -245,7 +245,7 @@ def _blocks(docs: DataFrame, text: str, record: str, held_out: str, block_tokens
             n = len(known)
             kind = rows[0][0].type
             arrays = [
-                pa.array([name] * n, pa.string()),
+                pa.array([name] * n, pa.int64()),
                 pa.nulls(n, kind),
                 *(pa.nulls(n, t) for t in (pa.bool_(), pa.binary(), pa.binary())),
                 pa.array(list(known), pa.binary()),
