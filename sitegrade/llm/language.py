@@ -60,7 +60,8 @@ def trigram_cells(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     Letters are lower-cased and all else is one space; a text has a space at both ends. Trigrams
     without a letter do not count.
     """
-    codes = np.frombuffer(" ".join(["", *(t.lower().replace("\x00", " ") + "\x00" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    marked = " ".join(["", *(t.lower().replace("\x00", " ") + "\x00" for t in texts), ""])
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = codes == 0
     letter = _letters()[np.minimum(codes, 1 << 16)] & ~ends
     plain = np.where(letter, codes, 0).astype(np.uint64)
@@ -68,6 +69,7 @@ def trigram_cells(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     kept = letter.copy()
     kept[1:] |= letter[:-1]
     kept |= ends
+    kept[0] = True
     plain, marks = plain[kept], np.cumsum(ends)[kept]
     h = (plain[:-2] * np.uint64(0x9E3779B1) + plain[1:-1]) * np.uint64(0x85EBCA77) + plain[2:]
     h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
