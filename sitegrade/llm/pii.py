@@ -236,18 +236,30 @@ def _term_uses(docs: DataFrame, text: str, field: np.ndarray, bits: int) -> Data
 
 
 def disclosing_terms(uses: DataFrame, docs: DataFrame, text: str, total: int, settings: Disclosure) -> DataFrame:
-    """(entity, term, ratio) of the pairs that reach the first threshold."""
-    near = uses.select("entity", "term", "use").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    near = cut(near.filter(f"n_te >= {settings.support}"), "pairs")
-    entities = uses.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    """(entity, term, ratio) of the pairs that reach the first threshold.
+
+    The uses of a term near entities alone bound its uses in the corpus from below, and so the
+    ratio from above. Common words fail that bound, and the corpus is searched for the rest only.
+    """
+
+    def ratio(n_t: str) -> str:
+        return f"1 + ln(n_te / greatest({n_t}, n_te)) / ln(greatest({total} / n_e, 2.0))"
+
+    def counted(columns: list[str], distinct: str, name: str) -> DataFrame:
+        pairs = uses.select(*columns, distinct).distinct()
+        return pairs.groupBy(*columns).agg(F.count("*").alias(name))
+
+    near = counted(["entity", "term"], "use", "n_te").filter(f"n_te >= {settings.support}")
+    near = attach(near, counted(["entity"], "context", "n_e"), ["entity"])
+    near = attach(near, counted(["term"], "use", "n_near"), ["term"])
+    near = cut(near.filter(f"{ratio('n_near')} >= {settings.generalise}"), "pairs")
     field = _bloom(near.select("term").distinct(), settings.bloom_bits)
     if not field.any():
         return near.selectExpr("entity", "term", "cast(null as double) as ratio").filter("false")
     everywhere = _term_uses(docs, text, field, settings.bloom_bits).distinct()
     counts = everywhere.groupBy("term").agg(F.count("*").alias("n_t"))
-    joined = attach(attach(near, counts, ["term"]), entities, ["entity"])
-    ratio = f"1 + ln(n_te / greatest(coalesce(n_t, n_te), n_te)) / ln(greatest({total} / n_e, 2.0))"
-    return joined.selectExpr("entity", "term", f"{ratio} as ratio").filter(
+    joined = attach(near, counts, ["term"])
+    return joined.selectExpr("entity", "term", f"{ratio('coalesce(n_t, n_te)')} as ratio").filter(
         f"ratio >= {settings.generalise}"
     )
 
