@@ -26,13 +26,14 @@ def percent(part: str, whole: str) -> str:
 
 
 def order_free_mean(score: str) -> str:
-    """Aggregate: mean of two-decimal scores that is the same for every partitioning.
+    """Aggregate: mean of scores up to 100 that is the same for every order and partitioning.
 
-    Adding one or two doubles gives the same sum in any order. From three on, the sum of
-    hundredths (exact in a bigint) replaces the sum of doubles.
+    The scores are added as whole multiples of 2 ** -50, which a double from 4 upwards is exactly.
+    The exact sum is divided as a decimal, so repeating every row does not change the mean.
     """
-    exact = f"cast(sum({hundredths(score)}) as double) / 100"
-    return f"try_divide(if(count({score}) <= 2, sum({score}), {exact}), count({score}))"
+    units = f"cast(cast(rint(({score}) * {2**50}D) as bigint) as decimal(20, 0))"
+    exact = f"try_divide(sum({units}), cast(count({score}) as decimal(18, 0)))"
+    return f"(cast({exact} as double) / {2**50}D)"
 
 
 def round2_by_value(x: str) -> str:

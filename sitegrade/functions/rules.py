@@ -8,16 +8,17 @@ from __future__ import annotations
 ONE_YEAR = "31536000"
 
 # The characters that count as white space around a number (Unicode white space and
-# the four information separators), and the longest digit string accepted as a number.
+# the four information separators).
 SPACE = (
     r" \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
     r"\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-MAX_DIGITS = 4300
 
 
 def quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A literal within a rule; braces are doubled, as rules are format strings."""
+    text = text.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + text.replace("{", "{{").replace("}", "}}") + "'"
 
 
 def contains_all(*needles: str) -> str:
@@ -50,10 +51,15 @@ MAX_AGE = {"age": f"if(contains({{v}}, 'max-age='), {max_age('{v}')}, null)"}
 
 
 def max_age_unreadable() -> str:
-    """A ``max-age=`` that is not followed by a whole number."""
+    """A ``max-age=`` that is not followed by a whole number.
+
+    A number is digits with single underscores between them, after at most one sign. The tests
+    look at one character at a time, so no value is too long for them.
+    """
+    unsigned = "if({age} like '+%' or {age} like '-%', substr({age}, 2), {age})"
     return (
-        "{age} is not null and not (regexp({age}, '^[+-]?[0-9](_?[0-9])*$')"
-        f" and length({_digits('{age}')}) <= {MAX_DIGITS})"
+        f"{{age}} is not null and ({unsigned} = '' or regexp({unsigned}, '[^0-9_]')"
+        f" or contains({unsigned}, '__') or startswith({unsigned}, '_') or endswith({unsigned}, '_'))"
     )
 
 

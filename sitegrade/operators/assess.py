@@ -73,8 +73,8 @@ def split_errors(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, errors). An institution's first failing platform is its error row.
 
-    Platforms are scanned in policy order: those before the first failure are results, those
-    after it were never scanned. Rows without a key stand for themselves.
+    Platforms are scanned in policy order, others after them by name: those before the first
+    failure are results, those after it were never scanned. Rows without a key stand for themselves.
     """
     marked = mark_outcome(df, error, policy, keys)
     results = marked.filter("outcome = 'result'").drop("outcome", "error")
@@ -86,12 +86,10 @@ def mark_outcome(
 ) -> DataFrame:
     """Add ``error`` and ``outcome``: ``result``, ``error``, or null for rows never scanned."""
     platforms = ", ".join(f"'{p}'" for p in policy.platforms)
-    ranked = df.withColumns(
-        {
-            "error": F.expr(error),
-            "_order": F.expr(f"array_position(array({platforms}), platform)"),
-        }
-    )
+    known_place = f"nullif(array_position(array({platforms}), platform), 0L)"
+    # Platforms of the policy in its order, then others by name, rows without one last.
+    order = f"struct({known_place} is null as other, {known_place} as place, platform is null as none, platform)"
+    ranked = df.withColumns({"error": F.expr(error), "_order": F.expr(order)})
     known = " and ".join(f"`{key}` is not null" for key in keys)
     first = (
         ranked.filter(f"error is not null and {known}")

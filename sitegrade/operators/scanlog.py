@@ -66,7 +66,7 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
         "page.status as final_status",
         "redirect_count",
         "coalesce(page.headers, cast(map() as map<string, string>)) as headers",
-        f"coalesce(nullif(page.protocol, ''), '{UNKNOWN_PROTOCOL}') as protocol",
+        f"coalesce(page.protocol, '{UNKNOWN_PROTOCOL}') as protocol",
         "final_url",
         "unreadable_events",
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrade.functions.numeric import literal, order_free_mean, round2
@@ -106,33 +106,49 @@ def seen_mask(headers: tuple[str, ...]) -> str:
 
     ``bit_or`` over an institution then tells which values occurred. Two bigints replace a
     minimum and maximum of every presence and label column in the shuffle. Labels outside
-    Missing/Weak/Strong share one bit.
+    Missing/Weak/Strong have no bit (see ``other_label``).
     """
     labels = ", ".join(f"'{label}'" for label in SEEN_LABELS)
     parts = []
     for i, header in enumerate(headers):
         low = _BITS * i
-        # Bit 0 of the labels: any other label (position 0 in the list).
-        position = f"cast(array_position(array({labels}), `{config_col(header)}`) as int)"
+        position = f"nullif(cast(array_position(array({labels}), `{config_col(header)}`) as int), 0)"
         parts.append(f"coalesce(if(`{presence_col(header)}`, {1 << low}L, {2 << low}L), 0L)")
         parts.append(f"coalesce(shiftleft({4 << low}L, {position}), 0L)")
     return " | ".join(parts)
 
 
+def other_label(header: str) -> str:
+    """Hash of a label outside Missing/Weak/Strong, null for these: their bits tell them apart.
+
+    Smallest and largest hash of an institution then tell whether it has none, one or more other
+    labels. They are null in normal data; as numbers they keep the aggregation a hash aggregation.
+    """
+    column = f"`{config_col(header)}`"
+    labels = ", ".join(f"'{label}'" for label in SEEN_LABELS)
+    return f"if({column} is null or {column} in ({labels}), null, xxhash64({column}))"
+
+
 def _varied(policy: Policy, names: tuple[str, ...]) -> str:
     """Some presence or label column of ``names`` has more than one value."""
     presence = (1 << _PRESENCE_BITS) - 1
     labels = ((1 << _BITS) - 1) ^ presence
-    tests = [
-        f"bit_count(_seen_{m} & {group << _BITS * i}L) > 1"
-        for m, headers in enumerate(_masks(policy))
-        for i, header in enumerate(headers)
-        if header in names
-        for group in (presence, labels)
-    ]
+    tests = []
+    for m, headers in enumerate(_masks(policy)):
+        for i, header in enumerate(headers):
+            if header in names:
+                low = f"_seen_low_{header_number(policy, header)}"
+                high = f"_seen_high_{header_number(policy, header)}"
+                others = f"case when {low} is null then 0 when {low} = {high} then 1 else 2 end"
+                tests.append(f"bit_count(_seen_{m} & {presence << _BITS * i}L) > 1")
+                tests.append(f"bit_count(_seen_{m} & {labels << _BITS * i}L) + {others} > 1")
     return " or ".join(tests) if tests else "false"
 
 
+def header_number(policy: Policy, header: str) -> int:
+    return policy.headers.index(header)
+
+
 def _differs(value: str) -> str:
     return f"coalesce(min({value}) <> max({value}), false)"
 
@@ -181,6 +197,11 @@ HEADERS = Component(
     values=lambda policy: {
         "header_avg_score_btw_platforms": _mean("header_score_by_platform"),
         **{f"_seen_{m}": f"bit_or({seen_mask(names)})" for m, names in enumerate(_masks(policy))},
+        **{
+            f"_seen_{side}_{i}": f"{function}({other_label(header)})"
+            for i, header in enumerate(policy.headers)
+            for side, function in (("low", "min"), ("high", "max"))
+        },
     },
     derived=lambda policy: {
         CRITICAL_FLAG: _varied(policy, policy.critical),
@@ -232,23 +253,42 @@ def _institutions(
     rows: DataFrame,
     components: tuple[Component, ...],
     policy: Policy,
+    n_platforms: int | None,
     more: dict[str, str] | None = None,
 ) -> DataFrame:
-    """One row per institution: means, flags, and the ``more`` aggregates asked for."""
+    """One row per institution: means, flags, the ``more`` aggregates asked for, and ``_n``.
+
+    ``_n``, the number of platforms in the whole table, comes from the same aggregation as the rest:
+    every institution lists its platforms, and what they list together is counted. That count reads
+    all values of the aggregation so that both uses of it are the same and share its shuffle; rows
+    without an institution number take part in it and are dropped afterwards.
+    """
     values = {name: sql for part in components for name, sql in part.values(policy).items()}
     derived = {name: sql for part in components for name, sql in part.derived(policy).items()}
     values |= more or {}
-    grouped = (
-        rows.filter(f"{ID} is not null")
-        .groupBy(ID)
-        .agg(*[F.expr(sql).alias(name) for name, sql in values.items()])
+    if n_platforms is None:
+        values |= {"_known": f"bool_or({ID} is not null)", "_platforms": "collect_set(platform)"}
+    else:
+        rows = rows.filter(f"{ID} is not null")
+    grouped = rows.groupBy(ID).agg(*[F.expr(sql).alias(name) for name, sql in values.items()])
+    if n_platforms is None:
+        content = f"xxhash64({_record([c for c in grouped.columns])})"
+        listed = grouped.selectExpr("explode_outer(_platforms) as platform", f"{content} as content")
+        counted = listed.agg(
+            F.struct(F.count_distinct("platform").alias("n"), F.max("content")).alias("counted")
+        )
+        grouped = grouped.withColumn("_n", counted.scalar().getField("n"))
+        # Both columns are read here too, else they would be left out of this use's shuffle.
+        grouped = grouped.filter("_known and size(_platforms) >= 0")
+    else:
+        grouped = grouped.withColumn("_n", F.lit(n_platforms))
+    hidden = ("_seen_", "_known", "_platforms")
+    public = [name for name in values if not name.startswith(hidden)]
+    # As an expression of the aggregation the key is not filtered below it when it is joined.
+    key = ID if n_platforms is not None else f"if(_known, {ID}, null) as {ID}"
+    return grouped.selectExpr(
+        key, *public, "_n", *[f"{sql} as {name}" for name, sql in derived.items()]
     )
-    public = [name for name in values if not name.startswith("_seen_")]
-    return grouped.selectExpr(ID, *public, *[f"{sql} as {name}" for name, sql in derived.items()])
-
-
-def _platforms(df: DataFrame, n_platforms: int | None) -> Column:
-    return F.lit(n_platforms) if n_platforms is not None else platform_count(df).scalar()
 
 
 def _score(
@@ -258,8 +298,7 @@ def _score(
     n_platforms: int | None,
 ) -> DataFrame:
     rows = _row_scores(df, components, policy)
-    joined = attach(rows, _institutions(rows, components, policy), [ID])
-    joined = joined.withColumn("_n", _platforms(df, n_platforms))
+    joined = attach(rows, _institutions(rows, components, policy, n_platforms), [ID])
     for part in components:
         joined = part.add_result(joined, protocol_factor())
     return joined.drop("_n")
@@ -366,8 +405,7 @@ def worst_scores(
         f"_row_{i}": f"min_by(_record, _order) filter (where _factor = {literal(factor)})"
         for i, factor in enumerate(FACTORS)
     }
-    values = _institutions(rows, FINAL_PARTS, policy, firsts)
-    values = values.withColumn("_n", _platforms(df, n_platforms))
+    values = _institutions(rows, FINAL_PARTS, policy, n_platforms, firsts)
     values = REDIRECT.add_result(values, "1D")
     candidates = []
     for i, factor in enumerate(FACTORS):

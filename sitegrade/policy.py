@@ -22,12 +22,18 @@ DEFAULT_RULES = {
     "strict-transport-security": R.strict_transport(),
     "content-security-policy": " and ".join(
         [
-            R.contains_all("default-src 'self'", "form-action 'self'", "object-src 'none'"),
-            R.contains_all("upgrade-insecure-requests", "block-all-mixed-content"),
-            R.contains_none("unsafe-eval", "https://*"),
+            R.contains_all(
+                "default-src 'self'",
+                "form-action 'self'",
+                "object-src 'none'",
+                "upgrade-insecure-requests",
+                "block-all-mixed-content",
+            ),
+            R.contains_none("unsafe-eval"),
             f"({R.contains_none('unsafe-inline')}"
             f" or {R.contains_all('nonce-')} or {R.contains_all('hash-')})",
             R.one_of("frame-ancestors 'self'", "frame-ancestors 'none'"),
+            R.contains_none("https://*"),
         ]
     ),
     "cross-origin-resource-policy": R.one_of("same-origin", "same-site"),
@@ -53,6 +59,7 @@ class Policy:
     unreadable: Mapping[str, str] = field(
         default_factory=lambda: {"strict-transport-security": R.max_age_unreadable()}
     )
+    # Fixed values, down to ``max_passes``: roles, weights, platforms, languages and passes.
     deprecated: tuple[str, ...] = ("x-xss-protection", "x-frame-options")
     critical: tuple[str, ...] = ("strict-transport-security", "content-security-policy")
     multipliers: Mapping[str, float] = field(
@@ -74,6 +81,14 @@ class Policy:
     )
     max_passes: int = 10
 
+    def __post_init__(self) -> None:
+        """Header names count in any letter case."""
+        for name in ("rules", "helpers", "unreadable", "multipliers"):
+            lowered = {header.lower(): value for header, value in getattr(self, name).items()}
+            object.__setattr__(self, name, lowered)
+        for name in ("deprecated", "critical"):
+            object.__setattr__(self, name, tuple(header.lower() for header in getattr(self, name)))
+
     @property
     def headers(self) -> tuple[str, ...]:
         return tuple(self.rules)

@@ -209,9 +209,7 @@ def worst_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _worst(spark: SparkSession, sf_dir: str, headers: bool = False) -> DataFrame:
     rows = views.observations(spark, sf_dir)
-    return scoring.worst_scores(
-        rows, summary_columns(headers=headers), n_platforms=len(POLICY.platforms)
-    )
+    return scoring.worst_scores(rows, summary_columns(headers=headers))
 
 
 @query

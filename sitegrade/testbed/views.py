@@ -61,15 +61,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores although the input is one small file; a table with enough splits stays as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, ETER_ID, NUTS2_Label_2016, country, Category. Joins carry no hint: Spark checks sizes."""
-    orders = spread(table(spark, sf_dir, "orders").drop("o_totalprice"))
+    orders = table(spark, sf_dir, "orders").drop("o_totalprice")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -127,7 +121,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser log messages: one per event, of one page load per user, platform and attempt."""
-    loads = spread(table(spark, sf_dir, "events")).selectExpr(
+    loads = table(spark, sf_dir, "events").selectExpr(
         "*",
         "cast(event_id % 2 + 1 as int) as attempt",
         "if(floor(event_id / 2) % 2 = 0, 'desktop', 'mobile') as platform",

@@ -1,11 +1,12 @@
 from decimal import Decimal
-from urllib.parse import urlparse
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitegrade.functions import labels, numeric, urls
 from sitegrade.operators.assess import assess_headers, assess_values
-from sitegrade.policy import DEFAULT_POLICY
+from sitegrade.policy import DEFAULT_POLICY, Policy
 
 
 def one_column(spark, values, sql):
@@ -21,19 +22,19 @@ URLS = [
 
 
 def test_host(spark):
-    def host(url):
-        return url.replace("http://", "").replace("https://", "").split("/")[0].split(":")[0]
-
-    assert one_column(spark, URLS, urls.host_of("x")) == [host(u) for u in URLS]
+    hosts = [
+        "www.a.de", "www.x.de?q=1", "a.b", "u@www.a.de", "WWW.a.de", "", "www.a.de#top", "a.de", "A.de",
+        "www.c.de", "", "ftp", "x.y", "b.de?next=c.de",
+    ]
+    assert one_column(spark, URLS, urls.host_of("x")) == hosts
 
 
 def test_domain(spark):
-    def domain(url):
-        parts = urlparse(url)
-        name = parts.netloc or parts.path
-        return name.removeprefix("www.").split(":")[0]
-
-    assert one_column(spark, URLS, urls.domain_of("x")) == [domain(u) for u in URLS]
+    domains = [
+        "a.de", "x.de", "http", "u@www.a.de", "WWW.a.de", "b.de", "a.de", "80", "A.de", "c.de/a", "",
+        "f.org", "https", "b.de",
+    ]
+    assert one_column(spark, URLS, urls.domain_of("x")) == domains
 
 
 def test_probe_urls_and_flags(spark):
@@ -90,34 +91,69 @@ def test_rules(spark, header):
     assert got == expected + [(False, "Missing", None)] * 2
 
 
+AGES = {
+    "Strong": [
+        "31536000", "\u009331536000\u0093", "0031536000", "9" * 60, "63072000, ", " 31536000 ", "31,536,000",
+        "+31536000", "3153_6000", "9" * 10_000, "9" * 1_000_000, "1_" * 5_000 + "1",
+    ],
+    "Weak": [
+        "31535999", " 1 ,", "1_000", "+5", "-99999999999", "000", "-1", "-" + "9" * 10_000, "0" * 1_000_000,
+    ],
+    None: [
+        "_1", "3.5", '"31536000"', "", "31536000 includesubdomains", "1__0", "1e9", "1_", "+", "-", "+-1", "_",
+        "9" * 1_000_000 + "x", "1" * 10_000 + "__1", ",", "soon",
+    ],
+}
+
+
 def test_max_age(spark):
-    tail = "; includeSubDomains"
-    numbers = [
-        "31536000", "31535999", " 1 ,", "1_000", "_1", "3.5", '"31536000"', "", "+5", "-99999999999",
-        "\u009331536000\u0093", "31536000 includesubdomains", "0031536000", "9" * 60, "1__0", "63072000, ",
-        " 31536000 ", "31,536,000", "1e9", "000", "-1", "+31536000",
-    ]
-    values = [f"max-age={n}{tail}" for n in numbers]
-    values += ["max-age=31536000, max-age=0" + tail, "includeSubDomains", "max-age=31536000; preload"]
-
-    def expected(value):
-        value = value.lower()
-        if "max-age=" not in value:
-            return (True, "Weak", None)
-        text = value.split("max-age=")[1].split(";")[0].strip().replace("\x93", "").replace(",", "")
-        try:
-            age = int(text)
-        except ValueError:
-            return (True, None, "unreadable value of strict-transport-security")
-        strong = age >= 31536000 and "includesubdomains" in value
-        return (True, "Strong" if strong else "Weak", None)
-
-    got = assess_one(spark, "strict-transport-security", values)
-    for value, mine in zip(values, got):
-        wanted = expected(value)
-        assert mine[2] == wanted[2], value
-        if wanted[1]:
-            assert mine[:2] == wanted[:2], value
+    numbers = [(label, n) for label, listed in AGES.items() for n in listed]
+    values = [f"max-age={n}; includeSubDomains" for _, n in numbers]
+    error = "unreadable value of strict-transport-security"
+    for (label, number), got in zip(numbers, assess_one(spark, "strict-transport-security", values)):
+        if label is None:
+            assert got[2] == error, number[:40]
+        else:
+            assert got == (True, label, None), number[:40]
+    others = ["max-age=31536000, max-age=0; includeSubDomains", "includeSubDomains", "max-age=31536000; preload"]
+    labels = [(True, "Strong", None), (True, "Weak", None), (True, "Weak", None)]
+    assert assess_one(spark, "strict-transport-security", others) == labels
+
+
+def test_mixed_case_policy(spark):
+    from sitegrade.functions import rules
+
+    policy = Policy(
+        rules={"Permissions-Policy": rules.contains_all("camera={()}", "x")},
+        helpers={},
+        unreadable={},
+        deprecated=(),
+        critical=("Permissions-POLICY",),
+        multipliers={"PERMISSIONS-policy": 0.5},
+    )
+    df = spark.sql("select map('PERMISSIONS-Policy', 'X Camera={()}') as headers union all select map('a', 'b')")
+    rows = assess_headers(df, policy=policy).collect()
+    got = sorted((r["permissions-policy_presence"], r["permissions-policy_config"]) for r in rows)
+    assert got == [(False, "Missing"), (True, "Strong")]
+    assert policy.role("permissions-policy") == "critical"
+    assert policy.header_points("permissions-policy", "strong") == 70.0
+
+
+def test_mean_does_not_depend_on_size_or_order(spark):
+    rows = [(i, i % 4000, ((i * 7919) % 10_000) / 100) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "i int, k int, x double")
+    mean = F.expr(numeric.order_free_mean("x")).alias("m")
+    once = {r.k: r.m for r in df.groupBy("k").agg(mean).collect()}
+    for times in (2, 1000):
+        part = df.filter("k < 100") if times == 1000 else df
+        repeated = part.selectExpr("*", f"explode(sequence(1, {times}))").repartition(5)
+        assert all(once[r.k] == r.m for r in repeated.groupBy("k").agg(mean).collect())
+    exact = {}
+    for _, k, x in rows:
+        exact.setdefault(k, []).append(Fraction(x))
+    assert all(abs(once[k] - float(sum(v) / len(v))) < 1e-12 for k, v in exact.items())
+    two = spark.createDataFrame([(k, x) for k in range(2000) for x in (k / 100, 91.07)], "k int, x double")
+    assert all(r.m == (r.k / 100 + 91.07) / 2 for r in two.groupBy("k").agg(mean).collect() if r.k >= 400)
 
 
 def test_header_map_case_and_duplicates(spark):

@@ -73,3 +73,18 @@ def test_hot_key_is_split(spark):
         for name in settings:
             spark.conf.unset(name)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_platform_count_shares_the_aggregation(spark, tmp_path):
+    """worst_scores reads the rows once, the joined scores twice; the count adds no read."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (
+            scoring.worst_scores(stored(spark, tmp_path), summary_columns()),
+            scoring.header_scores(spark.read.parquet(str(tmp_path / "obs"))),
+            scoring.final_scores(spark.read.parquet(str(tmp_path / "obs"))),
+        ):
+            df.collect()
+            assert "ReusedExchange" in physical(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -48,7 +48,7 @@ def test_fold(spark):
     got = {(r.ETER_ID, r.platform, r.attempt): r for r in fold_scan_log(logs(spark, loads)).collect()}
     first = got[("A", "desktop", 1)]
     assert (first.initial_status, first.final_status, first.redirect_count) == (301, 503, 2)
-    assert (first.headers, first.protocol) == ({"server": "two"}, "Unknown")
+    assert (first.headers, first.protocol) == ({"server": "two"}, "")
     second = got[("A", "desktop", 2)]
     assert (second.initial_status, second.protocol, second.headers) == (204, "Unknown", {})
     third = got[("A", "mobile", 1)]

@@ -155,3 +155,33 @@ def test_error_split(spark):
         (None, "mobile", None), ("A", "desktop", None), ("D", "desktop", None)]
     assert sorted(map(tuple, errors.select("ETER_ID", "platform", "error").collect()), key=key) == [
         (None, "mobile", "z"), ("A", "mobile", "x"), ("B", "desktop", "x"), ("C", "desktop", "x")]
+
+
+def test_flags_for_any_label(spark):
+    """Labels in another case or of another policy are values of their own."""
+    pairs = {
+        "case": ("strong", "weak", True), "same case": ("strong", "strong", False), "mixed": ("Strong", "strong", True),
+        "foreign": ("odd", "odder", True), "same foreign": ("odd", "odd", False), "with known": ("odd", "Weak", True),
+    }
+    rows = [
+        {"ETER_ID": key, "platform": platform, "labels": {CSP: label}}
+        for key, (one, two, _) in pairs.items()
+        for platform, label in (("desktop", one), ("mobile", two))
+    ]
+    df = observations(spark, rows)
+    for scored in (scoring.final_scores(df), scoring.worst_scores(df, ["country"])):
+        got = {r.ETER_ID: (r[scoring.CRITICAL_FLAG], r[scoring.HEADER_FLAG]) for r in scored.collect()}
+        assert got == {key: (varied, varied) for key, (_, _, varied) in pairs.items()}
+
+
+def test_platforms_are_counted_in_the_data(spark):
+    """One platform only, one of a row without an institution, and the count given by the caller."""
+    changes = [{"labels": {CSP: "Weak"}}, {"labels": {}}]
+    one = observations(spark, changes)
+    assert [r[0] for r in scoring.platform_count(one).collect()] == [1]
+    three = observations(spark, [*changes, {"ETER_ID": None, "platform": "tablet"}, {"ETER_ID": "B", "platform": "mobile"}])
+    for df, n in ((one, 1), (three, 3)):
+        for function in (scoring.final_scores, lambda d, **k: scoring.worst_scores(d, ["country"], **k)):
+            counted = function(df).filter("ETER_ID = 'A'").collect()
+            given = function(df, n_platforms=n).filter("ETER_ID = 'A'").collect()
+            assert counted == given
