@@ -57,7 +57,7 @@ def _escaped(pattern: str) -> str:
 def recipes(docs: DataFrame, text: str = "text", chunking: Chunking = Chunking()) -> DataFrame:
     """Add ``chars`` (code points of the text), ``text_sha256``, ``recipe`` and ``recipe_key``.
 
-    ``recipe`` is array<struct<digest, size, probe>> in text order, ``recipe_key`` its SHA-256.
+    ``recipe`` is array<struct<digest, size, probe>> in text order, ``recipe_key`` its SHA-256 (binary).
     """
     plain = docs.selectExpr("*", f"{normalised(quoted(text))} as _plain")
     chunks = f"regexp_extract_all(_plain, '{_escaped(chunking.pattern)}', 0)"
@@ -69,7 +69,7 @@ def recipes(docs: DataFrame, text: str = "text", chunking: Chunking = Chunking()
         f"transform({chunks}, c -> {facts}) as recipe",
     ).drop("_plain")
     parts = "transform(recipe, c -> concat(hex(c.digest), ':', c.size, ':', c.probe))"
-    return listed.selectExpr("*", f"sha2(array_join({parts}, ','), 256) as recipe_key")
+    return listed.selectExpr("*", f"unhex(sha2(array_join({parts}, ','), 256)) as recipe_key")
 
 
 def chunk_dictionary(listed: DataFrame) -> DataFrame:
@@ -109,16 +109,17 @@ def exact_duplicates(
         F.count("*").alias("n"),
         F.expr("any_value(recipe)").alias("recipe"),
     )
-    stats = cut(stats, "distinct")
-    listed = stats.selectExpr("recipe_key", "posexplode(recipe) as (pos, chunk)")
-    listed = listed.select("recipe_key", "pos", "chunk.*")
+    # Chunks carry the number of their recipe, a quarter of its key.
+    stats = cut(numbered(stats, "recipe_no"), "distinct")
+    listed = stats.selectExpr("recipe_no", "posexplode(recipe) as (pos, chunk)")
+    listed = listed.select("recipe_no", "pos", "chunk.*")
     identified = attach(
         listed, chunk_dictionary(listed).drop("uses"), ["digest", "size", "probe"]
     )
-    lists = identified.groupBy("recipe_key").agg(
+    lists = identified.groupBy("recipe_no").agg(
         F.expr("transform(array_sort(collect_list(struct(pos, chunk_id))), c -> c.chunk_id)").alias("ids")
     )
-    named = stats.drop("recipe").join(lists, "recipe_key", "left")
+    named = stats.drop("recipe").join(lists, "recipe_no", "left")
     named = named.selectExpr("recipe_key", "best", "n", "coalesce(ids, array()) as ids")
     # Equal lists are equal texts. Recipes are distinct here, so a list has one key.
     groups = named.groupBy("ids").agg(
