@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrade.llm.shared import cut, free_name, numbered, quoted
+from sitegrade.llm.shared import cut, numbered, quoted
 from sitegrade.operators.keyed import attach
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -101,7 +101,17 @@ def exact_duplicates(
         F.col(quoted(text)).alias("_text"),
     )
     rows = cut(numbered(recipes(source, "_text", chunking).drop("_text"), "_no"), "recipes")
+    out = attach(rows.drop("recipe", "chars", "_id"), _decided(rows), ["recipe_key"])
+    return out.selectExpr(
+        "_row.*", "keep_id", "n as group_size", "_no = _keep as kept", "text_sha256"
+    )
 
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """Per ``recipe_key``: ``keep_id``, ``most`` (its code points), ``_keep`` (its number) and ``n``.
+
+    ``rows``: what :func:`recipes` gives, with ``_id`` and ``_no``, stored.
+    """
     # One row per distinct recipe; a group of copies shrinks to a row per task before the shuffle.
     best = "min(struct(-chars as less, _id is null as nameless, _id as id, _no as no))"
     stats = rows.groupBy("recipe_key").agg(
@@ -125,10 +135,8 @@ def exact_duplicates(
     groups = named.groupBy("ids").agg(
         F.min("best").alias("best"), F.sum("n").alias("n"), F.collect_set("recipe_key").alias("keys")
     )
-    decided = groups.selectExpr("explode(keys) as recipe_key", "best.id as keep_id", "best.no as _keep", "n")
-    out = attach(rows.drop("recipe", "chars", "_id"), decided, ["recipe_key"])
-    return out.selectExpr(
-        "_row.*", "keep_id", "n as group_size", "_no = _keep as kept", "text_sha256"
+    return groups.selectExpr(
+        "explode(keys) as recipe_key", "best.id as keep_id", "-best.less as most", "best.no as _keep", "n"
     )
 
 
@@ -142,9 +150,35 @@ def chunk_store(docs: DataFrame, text: str = "text", chunking: Chunking = Chunki
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    name = free_name(docs, "_document")
-    whole = docs.withColumn(name, F.struct(*[F.col(quoted(c)) for c in docs.columns]))
-    marked = exact_duplicates(whole, doc_id, text, carry=[name])
-    return marked.filter("kept").select(f"{name}.*")
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunking: Chunking = Chunking()
+) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``.
+
+    Decisions are made on narrow facts; documents are read again, not stored, and move once. A row
+    is found by the SHA-256 of its normalised text, its code points and its id. Of rows that agree
+    in all three, any one stays; these ties shrink to a row per task before their shuffle.
+    """
+    id_, body = quoted(doc_id), quoted(text)
+    narrow = docs.selectExpr(f"{id_} as _id", f"{body} as _text")
+    rows = cut(numbered(recipes(narrow, "_text", chunking).drop("_text"), "_no"), "recipes")
+    facts = attach(rows.drop("recipe"), _decided(rows), ["recipe_key"])
+    best = facts.filter("_id <=> keep_id and chars = most").selectExpr(
+        "text_sha256 as _sha", "chars as _chars", "_id is null as _nameless",
+        "coalesce(cast(_id as string), '') as _name",
+    )
+    keys = best.columns
+    best = cut(best.groupBy(*keys).agg(F.count("*").alias("_copies")), "best")
+    ties = cut(best.filter("_copies > 1"), "ties")
+
+    found = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"),
+        F.expr(f"sha2({normalised(body)}, 256)").alias("_sha"),
+        F.expr(f"length(coalesce({body}, ''))").alias("_chars"),
+        F.expr(f"{id_} is null").alias("_nameless"),
+        F.expr(f"coalesce(cast({id_} as string), '')").alias("_name"),
+    )
+    single = attach(found, best.filter("_copies = 1"), keys).filter("_copies is not null")
+    tied = attach(found, ties, keys).filter("_copies is not null")
+    one = tied.groupBy(*keys).agg(F.any_value("_row").alias("_row"))
+    return single.select("_row.*").unionAll(one.select("_row.*"))

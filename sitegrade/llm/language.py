@@ -187,6 +187,7 @@ def identify(
     suffixes: bool = True,
     evidence: Evidence = Evidence(),
     carry: list[str] | None = None,
+    score_again: bool = False,
 ) -> DataFrame:
     """Every row with ``language``, ``posterior`` and ``accepted``.
 
@@ -196,7 +197,8 @@ def identify(
     else it declares; ties go to the first language in order. ``accepted``: one of the languages,
     with at least ``least_posterior``. Repeated rows count as often as they occur. ``carry`` names
     the columns of ``docs`` to keep (all by default), columns named like a result column are
-    replaced. An empty table gives an empty result.
+    replaced. An empty table gives an empty result. ``score_again``: store only what the priors are
+    counted from and score the texts a second time for the result; for rows that carry long columns.
     """
     e, n = evidence, len(evidence.classes)
     added = ["language", "posterior", "accepted"]
@@ -214,21 +216,22 @@ def identify(
     scored = _with_text_scores(source, body, keep, model, e)
     guess = "cast(array_position(likely, array_max(likely)) - 1 as int)"
     known = ", ".join(f"'{name}'" for name in e.languages)
-    scored = cut(
-        scored.selectExpr(
-            "*",
-            f"{guess} as guess",
-            f"if(declared is null, null, cast(array_position(array({known}), declared) as int)) as said",
-        ),
-        "likelihoods",
+    scored = scored.selectExpr(
+        "*",
+        f"{guess} as guess",
+        f"if(declared is null, null, cast(array_position(array({known}), declared) as int)) as said",
     )
+    if score_again:
+        counted = cut(scored.select("host", "guess", "said"), "guesses")
+    else:
+        scored = counted = cut(scored, "likelihoods")
 
     # Shares of the whole corpus, and what is declared per class: a table of fixed size.
     said = np.ones((n, n))
-    for r in scored.filter("guess is not null").groupBy("guess", "said").agg(F.count("*").alias("n")).collect():
+    for r in counted.filter("guess is not null").groupBy("guess", "said").agg(F.count("*").alias("n")).collect():
         said[r.guess, r.said if r.said is not None else 0] += r.n if r.said is not None else 0
     totals = np.ones(n)
-    for r in scored.filter("guess is not null").groupBy("guess").agg(F.count("*").alias("n")).collect():
+    for r in counted.filter("guess is not null").groupBy("guess").agg(F.count("*").alias("n")).collect():
         totals[r.guess] += r.n
     totals[-1] = max(totals[-1], 1.0)
     prior = totals / totals.sum()
@@ -242,7 +245,7 @@ def identify(
 
     if host:
         labels = "split(host, '[.]')"
-        named = scored.filter("guess is not null and host is not null").select("host", "guess")
+        named = counted.filter("guess is not null and host is not null").select("host", "guess")
         hosts = cut(_counts(named, "host", e), "hosts").selectExpr(
             "*",
             f"array_join(slice({labels}, greatest(size({labels}) - 1, 1), 2), '.') as domain",
@@ -301,9 +304,13 @@ def identify(
     )
 
 
-def identify_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def identify_documents(
+    docs: DataFrame, carry: list[str] | None = None, score_again: bool = False
+) -> DataFrame:
     """Table ``documents``: its language column is what is declared, its source the host."""
-    return identify(docs, "text", "lang", host_of("source"), carry=carry)
+    return identify(
+        docs, "text", "lang", host_of("source"), carry=carry, score_again=score_again
+    )
 
 
 def identify_pages(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -317,7 +324,8 @@ def identify_pages(pages: DataFrame, carry: list[str] | None = None) -> DataFram
 
 
 def keep_accepted(docs: DataFrame) -> DataFrame:
-    """Documents whose language is determined, with the columns of ``docs``."""
+    """Documents whose language is determined, with the columns of ``docs``. Texts are not stored."""
     name = free_name(docs, "_document")
     whole = docs.withColumn(name, F.struct(*[F.col(quoted(c)) for c in docs.columns]))
-    return identify_documents(whole, carry=[name]).filter("accepted").select(f"{name}.*")
+    marked = identify_documents(whole, carry=[name], score_again=True)
+    return marked.filter("accepted").select(f"{name}.*")

@@ -33,7 +33,20 @@ def test_edge_rows(edge):
 def test_keep_one_keeps_all_columns(edge):
     kept = X.keep_one(edge)
     assert kept.columns == edge.columns
-    assert {r.doc_id for r in kept.collect() if r.doc_id} >= {2, 7, 8, 9, 10, 11}
+    rows = kept.collect()
+    assert {r.doc_id for r in rows if r.doc_id} >= {2, 7, 8, 9, 10, 11}
+    # One row per distinct text, and each is a row that the marks allow to stay.
+    plain = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in rows]
+    marks = brute([(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()])
+    assert len(plain) == len(set(plain)) == len({(keep, size) for _, keep, size, stays in marks if stays})
+    assert {(r.doc_id) for r in rows} <= {doc_id for doc_id, _, _, stays in marks if stays}
+
+
+def test_keep_one_of_rows_that_agree_in_everything(spark):
+    rows = [(7, "same words"), (7, "same words"), (None, "x y"), (None, "x y"), (3, "samewords"), (8, "alone"), (8, "other")]
+    docs = spark.createDataFrame(rows * 3, "doc_id bigint, text string").repartition(4)
+    got = sorted((r.doc_id or 0, r.text) for r in X.keep_one(docs).collect())
+    assert got == [(0, "x y"), (7, "same words"), (8, "alone"), (8, "other")]
 
 
 def test_empty_table(nothing):
