@@ -68,7 +68,7 @@ def strict_transport() -> str:
 
     The age is compared as text (length first), so that no value is too long to compare.
     """
-    digits = f"ltrim('0', {_digits('{age}')})"
+    digits = f"trim(leading '0' from {_digits('{age}')})"
     return (
         f"{{age}} is not null and {contains_all('includesubdomains')}"
         f" and not startswith({{age}}, '-') and (length({digits}) > {len(ONE_YEAR)}"

@@ -34,7 +34,10 @@ def assess_values(
             helper = f"{names[header]['v']}_{name}"
             helpers.append(f"{sql.format(v=names[header]['v'])} as {helper}")
             names[header][name] = helper
-    prepared = prepared.selectExpr("*", *helpers)
+    if helpers:
+        # The generator is a barrier: filters on later columns (``header_error``) are not pushed
+        # below it, so a helper's text stands once in the plan and is evaluated once per row.
+        prepared = prepared.selectExpr("*", f"inline(array(struct({', '.join(helpers)})))")
     columns = []
     for header in policy.headers:
         value = names[header]["v"]
