@@ -29,5 +29,66 @@ select page_id, payload_bytes, payload_digest,
        case when page_id <> keeper then 'revisit' else 'response' end as record_type,
        case when page_id <> keeper then keeper end as refers_to
 from typed
+""",
+    "op12_phrase_collocations": r"""
+with recursive pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), worded as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+), occurrences as (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+          from worded, (select unnest(range(1, 6)) as k) where len(w) >= k)
+), counts as (
+    select lang, k, phrase, count(*) as f from occurrences group by all
+), totals as (
+    select lang, sum(f)::bigint as n from counts where k = 1 group by lang
+), candidates as (
+    select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts where k > 1 and f >= 100
+), splits as (
+    select lang, k, phrase, a, j,
+           array_to_string(w[1:j], ' ') as first_part, array_to_string(w[j + 1:k], ' ') as rest
+    from (select *, unnest(range(1, k)) as j from candidates)
+), scored as (
+    select s.lang, s.k, s.phrase, s.a, s.j, x.f as l, y.f as r, t.n,
+           ((1000::hugeint * s.a * t.n) // (x.f::hugeint * y.f))::bigint as score
+    from splits s join counts x on x.lang = s.lang and x.phrase = s.first_part
+    join counts y on y.lang = s.lang and y.phrase = s.rest
+    join totals t on t.lang = s.lang
+), lowest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), parts as (
+    select distinct lang, a, array_to_string(w[i:i + m - 1], ' ') as phrase
+    from (select *, unnest(range(1, k - m + 2)) as i
+          from (select *, unnest(range(2, k)) as m from candidates where k > 2))
+), free as (
+    select * from lowest c where not exists (
+        select 1 from parts p where p.lang = c.lang and p.phrase = c.phrase and p.a >= c.a)
+), ranked as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
+           phrase, a, l, r, n, score
+    from free qualify rank <= 2000
+), edges as (
+    select lang, phrase, a, array_to_string(w[1:4], ' ') as source, array_to_string(w[2:5], ' ') as target
+    from candidates where k = 5
+), joints as (
+    select x.lang, x.phrase as before, y.phrase as after
+    from counts c join edges x on x.lang = c.lang and x.target = c.phrase and x.a = c.f
+    join edges y on y.lang = c.lang and y.source = c.phrase and y.a = c.f
+    where c.k = 4 and x.phrase <> y.phrase
+), walks as (
+    select e.lang, e.phrase as start, e.phrase as edge, 0 as steps from edges e
+    where not exists (select 1 from joints j where j.lang = e.lang and j.after = e.phrase)
+    union all
+    select w.lang, w.start, j.after, w.steps + 1 from walks w
+    join joints j on j.lang = w.lang and j.before = w.edge
+), paths as (
+    select lang, edge, (max(steps) over (partition by lang, start) + 5)::bigint as passage_words from walks
+)
+select r.*, p.passage_words from ranked r left join paths p on p.lang = r.lang and p.edge = r.phrase
 """,
 }

@@ -12,6 +12,7 @@ from sitegrade.llm import (
     language,
     markov,
     packing,
+    phrases,
     pii,
     simhash,
     toxicity,
@@ -101,3 +102,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = "crc32(cast(doc_id as string)) % 4 = 2"
     return toxicity.score_toxicity(docs, labels, held_out, carry=["doc_id"])
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs, longest=5, min_count=100, top=2000)
