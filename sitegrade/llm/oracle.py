@@ -90,5 +90,27 @@ with recursive pieces as (
     select lang, edge, (max(steps) over (partition by lang, start) + 5)::bigint as passage_words from walks
 )
 select r.*, p.passage_words from ranked r left join paths p on p.lang = r.lang and p.edge = r.phrase
+""",
+    "op13_embedding_near_dedup": r"""
+with recursive vectors as (
+    select row_number() over () as no, vec_id, label, embedding::double[] as v,
+           label is not null and coalesce(len(embedding) > 0 and len(list_filter(
+               embedding, lambda x: x is null or not isfinite(x))) = 0
+               and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as usable
+    from embeddings
+), links as (
+    select a.no as a, b.no as b from vectors a join vectors b
+    on a.label = b.label and len(a.v) = len(b.v) and a.no <> b.no
+    where a.usable and b.usable and list_cosine_similarity(a.v, b.v) >= 0.93
+), reach as (
+    select no as a, no as b from vectors
+    union
+    select r.a, l.b from reach r join links l on l.a = r.b
+), least as (
+    select r.a, min(v.vec_id) as component_id from reach r join vectors v on v.no = r.b group by r.a
+)
+select v.vec_id, (select count(*) from links l where l.a = v.no) as n_links, least.component_id,
+       coalesce(v.vec_id = least.component_id, false) as kept
+from vectors v join least on least.a = v.no
 """,
 }

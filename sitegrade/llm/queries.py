@@ -14,6 +14,7 @@ from sitegrade.llm import (
     packing,
     phrases,
     pii,
+    quantised,
     simhash,
     toxicity,
     url_filter,
@@ -108,3 +109,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     return phrases.collocations(docs, longest=5, min_count=100, top=2000)
+
+
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
