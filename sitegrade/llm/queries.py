@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegrade.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     language,
@@ -114,3 +115,8 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"))
