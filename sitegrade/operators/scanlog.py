@@ -17,6 +17,10 @@ ATTEMPT_KEYS = (*SCAN_KEYS, "attempt")
 REQUEST_EVENT = "Network.requestWillBeSent"
 RESPONSE_EVENT = "Network.responseReceived"
 UNKNOWN_PROTOCOL = "Unknown"
+NO_HTTP_LOAD, NO_HTTPS_LOAD = "no page load over http", "no page load over https"
+
+# When an event was logged, if the logs tell: ``assessment_datetime`` comes from it.
+EVENT_TIME = "logged_at"
 
 MESSAGE_SCHEMA = (
     "message struct<method: string, params: struct<"
@@ -28,12 +32,18 @@ MESSAGE_SCHEMA = (
 def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> DataFrame:
     """One record per page load from its log events.
 
-    ``logs``: keys, ``seq`` (log order), ``final_url`` (of the page load), ``message`` (JSON).
+    ``logs``: keys, ``seq`` (log order), ``final_url`` (of the page load), ``message`` (JSON), and
+    ``logged_at`` if the log tells the time.
     One shuffle; each task first combines its own events, so a page load that holds a large part
     of all events still moves one row per task.
     """
+    time = EVENT_TIME if EVENT_TIME in logs.columns else "null"
     parsed = logs.selectExpr(
-        *keys, "seq", "final_url", f"from_json(message, '{MESSAGE_SCHEMA}').message as event"
+        *keys,
+        "seq",
+        "final_url",
+        f"cast({time} as timestamp_ntz) as {EVENT_TIME}",
+        f"from_json(message, '{MESSAGE_SCHEMA}').message as event",
     )
     redirected = (
         f"coalesce(contains(event.method, '{REQUEST_EVENT}')"
@@ -47,6 +57,7 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
         *keys,
         "seq",
         "final_url",
+        EVENT_TIME,
         "event.method is null as unreadable",
         f"{redirected} as redirected",
         f"case when {redirected} then event.params.redirectResponse.status"
@@ -58,6 +69,7 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
         F.expr("cast(count_if(redirected) as int)").alias("redirect_count"),
         F.expr("max_by(page, if(page is not null, seq, null))").alias("page"),
         F.expr("max(final_url)").alias("final_url"),
+        F.max(EVENT_TIME).alias(EVENT_TIME),
         F.expr("count_if(unreadable)").alias("unreadable_events"),
     )
     return folded.selectExpr(
@@ -69,6 +81,7 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
         f"coalesce(page.protocol, '{UNKNOWN_PROTOCOL}') as protocol",
         "final_url",
         "unreadable_events",
+        EVENT_TIME,
     )
 
 
@@ -76,7 +89,8 @@ def combine_attempts(folded: DataFrame) -> DataFrame:
     """Two page loads (1: http, 2: https) become one scan per institution and platform.
 
     The https load only counts when the http load did not end in https. ``error`` is null unless
-    a needed load is absent or its log unreadable.
+    a needed load is absent or its log unreadable. ``assessment_datetime`` is the time of the last
+    event of the load that counts.
     """
     record = f"struct({', '.join(c for c in folded.columns if c not in ATTEMPT_KEYS)})"
     pairs = folded.groupBy(*SCAN_KEYS).agg(
@@ -86,6 +100,7 @@ def combine_attempts(folded: DataFrame) -> DataFrame:
     to_https = is_https("http.final_url")
     return pairs.selectExpr("*", f"if({to_https}, http, https) as used").selectExpr(
         *SCAN_KEYS,
+        f"used.{EVENT_TIME} as assessment_datetime",
         "http.initial_status as http_status_code",
         "used.final_status as https_status_code",
         f"{to_https} as redirected_to_https",
@@ -94,8 +109,8 @@ def combine_attempts(folded: DataFrame) -> DataFrame:
         "used.protocol as protocol_http",
         "used.redirect_count as redirect_count",
         "used.headers as headers",
-        f"""case when http is null then 'no page load over http'
-                 when not {to_https} and https is null then 'no page load over https'
+        f"""case when http is null then '{NO_HTTP_LOAD}'
+                 when not {to_https} and https is null then '{NO_HTTPS_LOAD}'
                  when http.unreadable_events > 0 or used.unreadable_events > 0
                  then 'unreadable log event' end as error""",
     )

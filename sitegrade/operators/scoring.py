@@ -358,8 +358,9 @@ def _record(columns: list[str], prefix: str = "") -> str:
 
 
 def _hashable(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that order equal rows: no maps, and not the time of the run."""
     kinds = dict(df.dtypes)
-    return [name for name in columns if not kinds[name].startswith("map<")]
+    return [c for c in columns if c != "analysis_datetime" and not kinds[c].startswith("map<")]
 
 
 def worst_observation(scored: DataFrame, columns: list[str] | None = None) -> DataFrame:

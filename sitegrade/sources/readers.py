@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sitegrade.policy import DEFAULT_POLICY, Policy
 from sitegrade.schemas import error_schema, observation_schema, scored_schema, source_schema
+from sitegrade.sources.batches import has_batches, read_batches
 from sitegrade.sources.csv_files import FILE_NAME, list_files, read_text_columns, typed
 
 SOURCE_FILE = r"^[a-zA-Z]{2}-.*\.csv$"
@@ -65,9 +66,8 @@ def read_results(
 
 
 def read_observations(spark: SparkSession, path: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Observations written by ``writers.append_results``."""
-    schema = observation_schema(policy.headers).add("country", T.StringType())
-    return spark.read.schema(schema).parquet(path)
+    """Observations written by ``writers.append_results``, as plain appends or in batches."""
+    return _appended(spark, path, observation_schema(policy.headers).add("country", T.StringType()))
 
 
 def read_scores(spark: SparkSession, path: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -76,5 +76,11 @@ def read_scores(spark: SparkSession, path: str, policy: Policy = DEFAULT_POLICY)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
-    """Error rows written by ``writers.append_errors``."""
-    return spark.read.schema(error_schema().add("country", T.StringType())).parquet(path)
+    """Error rows written by ``writers.append_errors``, as plain appends or in batches."""
+    return _appended(spark, path, error_schema().add("country", T.StringType()))
+
+
+def _appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    if has_batches(spark, path):
+        return read_batches(spark, path, schema)
+    return spark.read.schema(schema).parquet(path)

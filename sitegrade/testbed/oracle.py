@@ -374,6 +374,7 @@ logs AS (SELECT *, CASE WHEN attempt = 2 OR user_id % 3 <> 0
 folded AS (SELECT user_id, platform, attempt, final_url,
     CAST(arg_min(status, event_id) FILTER (event_type IN ('click', 'view')) AS INT) AS initial_status,
     CAST(arg_max(status, event_id) FILTER (event_type = 'view') AS INT) AS final_status,
+    max(ts) AS logged_at,
     CAST(count(*) FILTER (event_type = 'click') AS INT) AS redirect_count,
     arg_max(frame_options, event_id) FILTER (event_type = 'view') AS frame_options,
     coalesce(arg_max(proto, event_id) FILTER (event_type = 'view'), 'Unknown') AS protocol,
@@ -389,7 +390,7 @@ pairs AS (SELECT keys.user_id, keys.platform, a.user_id IS NOT NULL AS has_a, b.
   FROM keys LEFT JOIN folded a ON a.user_id = keys.user_id AND a.platform = keys.platform AND a.attempt = 1
   LEFT JOIN folded b ON b.user_id = keys.user_id AND b.platform = keys.platform AND b.attempt = 2),
 used AS (SELECT *, CASE WHEN to_https THEN a ELSE b END AS u FROM pairs),
-scans AS (SELECT user_id, platform, http_status AS http_status_code, u.final_status AS https_status_code,
+scans AS (SELECT user_id, platform, u.logged_at AS assessment_datetime, http_status AS http_status_code, u.final_status AS https_status_code,
     to_https AS redirected_to_https, to_https AND user_id % 5 <> 1 AS redirected_https_to_same_domain,
     u.final_url AS final_url,
     CASE user_id % 4 WHEN 0 THEN 'de;en;q=0.6' WHEN 1 THEN 'fr;en;q=0.6' WHEN 2 THEN 'it;en;q=0.6'
@@ -432,7 +433,7 @@ FROM (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'de' WHEN 1 THEN '
     ELSE o_totalprice / 800 END AS share FROM orders)"""
     q["scan_fold"] = f"""WITH {LOGS} SELECT user_id AS "ETER_ID", platform, attempt, initial_status, final_status,
   redirect_count, frame_options, has_page AS has_server, protocol, final_url FROM folded"""
-    q["scan_combine"] = f"""WITH {SCANS} SELECT user_id AS "ETER_ID", platform, http_status_code, https_status_code,
+    q["scan_combine"] = f"""WITH {SCANS} SELECT user_id AS "ETER_ID", platform, assessment_datetime, http_status_code, https_status_code,
   redirected_to_https, redirected_https_to_same_domain, final_url, idioma, protocol_http, redirect_count, error
 FROM scans"""
     q["scan_assess"] = f"""WITH {SCANS},

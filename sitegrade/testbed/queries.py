@@ -123,9 +123,9 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scans(spark, sf_dir).select(
-        ID, "platform", "http_status_code", "https_status_code", "redirected_to_https",
-        "redirected_https_to_same_domain", "final_url", "idioma", "protocol_http",
-        "redirect_count", "error",
+        ID, "platform", "assessment_datetime", "http_status_code", "https_status_code",
+        "redirected_to_https", "redirected_https_to_same_domain", "final_url", "idioma",
+        "protocol_http", "redirect_count", "error",
     )
 
 

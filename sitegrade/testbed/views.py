@@ -51,7 +51,7 @@ TABLES = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",
     "lineitem": "l_orderkey bigint, l_returnflag string, l_linestatus string",
-    "events": "event_id bigint, user_id bigint, event_type string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string",
     "pages": "page_id bigint, url string",
     "documents": "doc_id bigint, lang string, source string",
 }
@@ -154,6 +154,7 @@ def scan_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "platform",
         "attempt",
         "event_id as seq",
+        "ts as logged_at",
         "final_url",
         f"to_json({message}) as message",
     )
