@@ -14,7 +14,7 @@ def repair_shifted_rows(df: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
 
     Works on string columns by position; the column names stay.
     """
-    names = [f"`{name}`" for name in df.columns]
+    names = ["`" + name.replace("`", "``") + "`" for name in df.columns]
     platforms = ", ".join(f"'{p}'" for p in policy.platforms)
     span = names[FIRST : LAST + 1]
     rotated = [*span[1:], span[0]]

@@ -11,6 +11,7 @@ from sitegrade.operators.scoring import final_scores, stamp_analysis
 from sitegrade.plans.full_run import run_reports
 from sitegrade.schemas import SCAN_COLUMNS, SOURCE_COLUMNS, observation_schema
 from sitegrade.sources import readers, writers
+from sitegrade.sources.csv_files import find_layouts
 
 
 def write_csv(path, header, rows):
@@ -38,8 +39,70 @@ def test_source_lists(spark, tmp_path):
 
 def test_source_list_without_url(spark, tmp_path):
     write_csv(tmp_path / "de-x.csv", ["ETER_ID", "Name"], [["A", "B"]])
-    with pytest.raises(ValueError):
+    write_csv(tmp_path / "it-x.csv", ["ETER_ID", "URL"], [["C", "c.it"]])
+    write_csv(tmp_path / "fr-x.csv", ["ETER_ID", "url", "Url "], [["D", "d.fr", "no"]])
+    with pytest.raises(ValueError, match="de-x.csv") as refused:
         readers.read_source_lists(spark, str(tmp_path))
+    assert "it-x.csv" not in str(refused.value)
+    got = readers.read_source_lists(spark, str(tmp_path), strict=False)
+    assert sorted((r.ETER_ID, r.Url, r.country) for r in got.collect()) == [("C", "c.it", "it"), ("D", "d.fr", "fr")]
+    report = {os.path.basename(r.file): r.reason for r in readers.source_report(spark, str(tmp_path)).collect()}
+    assert report == {"de-x.csv": readers.NO_URL, "it-x.csv": None, "fr-x.csv": None}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_damaged_files_are_left_out_whole(spark, tmp_path, multi_line):
+    names = ["ETER_ID", "platform", "final_url"]
+    write_csv(tmp_path / "de_desktop.csv", names, [["A", "x", "u,\"1\""], ["B", "x"], ["C", "x", ""]])
+    write_csv(tmp_path / "fr_desktop.csv", names, [["D", "x", "u"], ["E", "x", "", "more"], ["F", "x", "u"]])
+    write_csv(tmp_path / "it_desktop.csv", names, [["G", "x", "", "", "", "end"]])
+    (tmp_path / "es_desktop.csv").write_bytes(b"ETER_ID,final_url\nH,caf\xe9\nI,ok\n")
+    (tmp_path / "pt_desktop.csv").touch()
+    (tmp_path / "nl_desktop.csv").write_bytes(b"\xef\xbb\xbfETER_ID,final_url\r\nJ,ok\r\n")
+    (tmp_path / "be desktop_.csv").write_text("ETER_ID\nK\n")
+    (tmp_path / "gr_a b%20.csv").write_text("ETER_ID\nL\n")
+    got = {r.ETER_ID: r for r in readers.read_results(spark, str(tmp_path), multi_line=multi_line).collect()}
+    assert set(got) == {"A", "B", "C", "J", "L"}
+    assert got["A"].final_url == 'u,"1"' and got["B"].final_url is None
+    report = readers.result_report(spark, str(tmp_path), multi_line).collect()
+    assert {os.path.basename(r.file)[:2]: (r.rows, r.damaged_rows, r.reason) for r in report} == {
+        "de": (3, 0, None), "fr": (3, 1, "row with more fields than the header"),
+        "it": (1, 1, "row with more fields than the header"), "es": (2, 1, "text that is no UTF-8"),
+        "pt": (0, 0, "no header line"), "nl": (1, 0, None), "gr": (1, 0, None),
+    }
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    for i in range(1000):
+        body = "ETER_ID,final_url\n" if i % 2 else "final_url,ETER_ID\n"
+        (tmp_path / f"de_p{i}.csv").write_text(body + f"v{i},w{i}\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        layouts = find_layouts(spark, str(tmp_path), readers.RESULT_FILE)
+        # One query: the listing, the first lines, their join and order.
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {k: len(v) for k, v in layouts.items()} == {("ETER_ID", "final_url"): 500, ("final_url", "ETER_ID"): 500}
+    assert len(jobs) < 10
+    rows = readers.read_results(spark, str(tmp_path)).select("ETER_ID", "final_url", "platform").collect()
+    assert sorted(map(tuple, rows)) == sorted(
+        ((f"v{i}", f"w{i}") if i % 2 else (f"w{i}", f"v{i}")) + (f"p{i}",) for i in range(1000)
+    )
+
+
+def test_repair_on_reading(spark, tmp_path):
+    """Rows shifted by position are mended before the columns are matched by name."""
+    names = [f.name for f in observation_schema(H)]
+    good = list(result_row("A", "mobile").values())
+    bad = list(result_row("B", "mobile").values())
+    bad[12:20] = ["mobile", *bad[12:19]]
+    write_csv(tmp_path / "de_mobile.csv", names, [good, bad])
+    a, b = readers.read_results(spark, str(tmp_path), repair=True).orderBy("ETER_ID").collect()
+    assert a.asDict() | {"ETER_ID": "B"} == b.asDict()
+    assert b.http_status_code == 301 and b.assessment_datetime is not None
+    broken = readers.read_results(spark, str(tmp_path)).filter("ETER_ID = 'B'").first()
+    assert broken.assessment_datetime is None
 
 
 def result_row(key, platform, **changes):
