@@ -5,9 +5,11 @@ cumulative sums of token lengths less the start of the segment, an Acero hash jo
 finds the links, and ``Table.group_by`` counts id pairs. Spark adds these partial counts up. Each text
 is encoded once; its links are written as distinct pairs with their number.
 
-Long texts are cut into segments before a space between two printable ASCII characters. There both
-vocabularies always end a token (checked when they are loaded), so a group never crosses the cut, and
-memory holds one segment and the pairs of one text.
+Before a space between two characters that are no white space both vocabularies always end a token
+(checked when they are loaded), so neither tokens nor groups cross such a place. Texts are cut there:
+into parts of bounded size, so that memory holds a part and the pairs of one text, and those into words,
+of which each different one is encoded and joined once per part. Where a script or a vocabulary has
+no such places, a text is one word.
 
 The table of pair counts reaches every task. Its size is bounded by the vocabularies and not by the
 corpus: of two tokens that end together the shorter one is a suffix of the longer, so an id has no
@@ -33,9 +35,11 @@ from pyspark.sql import types as T
 
 from sitegrade.llm.shared import cut, quoted
 
-_SEGMENT_CHARS = 1 << 16
-_FLUSH_CHARS = 1 << 20
-_PLACE = re.compile(r"(?<=[!-~]) (?=[A-Za-z0-9])")
+_SEGMENT_CHARS = 1 << 20
+_FLUSH_CHARS = 1 << 22
+# Latin letters and ASCII are no white space to anyone; other characters stay uncut.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLACE = re.compile(f"(?<=[!-~{_LETTERS}])(?= [0-9{_LETTERS}])")
 
 
 @dataclass(frozen=True)
@@ -103,7 +107,7 @@ def segments(text: str, cuttable: bool, size: int = _SEGMENT_CHARS) -> list[str]
     return [*parts, text[start:]]
 
 
-# ---- one batch of segments --------------------------------------------------------------------
+# ---- words ------------------------------------------------------------------------------------
 
 
 def _tokens(lists: list[list[int]], table: pa.BinaryArray) -> tuple[pa.Table, pa.Array]:
@@ -128,23 +132,25 @@ def _listed(ids: np.ndarray, group: np.ndarray, groups: int) -> pa.Array:
 
 @dataclass
 class _Aligned:
-    """Per segment: whether it is whole, numbers of tokens, groups and links, groups as text; pairs."""
+    """Per word or segment: whether it is whole, numbers of tokens, groups and links, groups as text;
+    and its id pairs, by number of the word or segment.
+    """
 
     whole: np.ndarray
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
-    texts: list[str]
+    texts: pa.StringArray
     pairs: pa.Table  # seg, code, times
 
 
-def align(parts: list[str], paths: Vocabularies) -> _Aligned:
+def _align_words(words: list[str], paths: Vocabularies) -> _Aligned:
     encode_a, encode_b, table_a, table_b, _ = _load(paths)
-    n = len(parts)
-    data = pa.array([p.encode() for p in parts], pa.binary())
-    a, bytes_a = _tokens(encode_a(parts), table_a)
-    b, bytes_b = _tokens(encode_b(parts), table_b)
+    n = len(words)
+    data = pa.array([w.encode() for w in words], pa.binary())
+    a, bytes_a = _tokens(encode_a(words), table_a)
+    b, bytes_b = _tokens(encode_b(words), table_b)
     whole = pc.and_(pc.equal(bytes_a, data), pc.equal(bytes_b, data))
     a, b = (t.filter(whole.take(t["seg"])) for t in (a, b))
     links = a.rename_columns(["seg", "end", "a"]).join(
@@ -177,11 +183,46 @@ def align(parts: list[str], paths: Vocabularies) -> _Aligned:
         per_segment(b["seg"].to_numpy()),
         np.diff(bounds),
         per_segment(links["seg"].to_numpy()),
-        texts.to_pylist(),
+        texts,
         pairs.aggregate([([], "count_all")]).rename_columns(["seg", "code", "times"]),
     )
 
 
+def align(parts: list[str], paths: Vocabularies) -> _Aligned:
+    """Segments, by way of their different words."""
+    cuttable = _load(paths)[4]
+    lists = pa.array([_PLACE.split(p) if cuttable else [p] for p in parts], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    found = _align_words(coded.dictionary.to_pylist(), paths)
+    word, offsets = coded.indices.to_numpy(), lists.offsets
+    starts = offsets.to_numpy()[:-1]
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[word], starts)
+
+    # The pairs of every word of every segment, one after the other.
+    pairs = found.pairs.sort_by("seg")
+    sizes = np.bincount(pairs["seg"].to_numpy(), minlength=len(found.whole))
+    first = np.cumsum(sizes) - sizes
+    each = sizes[word]
+    place = np.repeat(first[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    expanded = pa.table(
+        {
+            "seg": np.repeat(pc.list_parent_indices(lists).to_numpy(), each),
+            "code": pairs["code"].to_numpy()[place],
+            "times": pairs["times"].to_numpy()[place],
+        }
+    )
+    return _Aligned(
+        np.logical_and.reduceat(found.whole[word], starts),
+        *(total(v) for v in (found.n_a, found.n_b, found.n_groups, found.n_links)),
+        pc.binary_join(pa.ListArray.from_arrays(offsets, found.texts.take(coded.indices)), ";"),
+        expanded.group_by(["seg", "code"], use_threads=False)
+        .aggregate([("times", "sum")])
+        .rename_columns(["seg", "code", "times"]),
+    )
+
+
 # ---- texts ------------------------------------------------------------------------------------
 
 
@@ -199,7 +240,7 @@ class _Text:
         self.whole = self.whole and bool(found.whole[i])
         if self.whole:
             self.numbers += [found.n_a[i], found.n_b[i], found.n_groups[i], found.n_links[i]]
-            self.digest.update(((";" if self.begun else "") + found.texts[i]).encode())
+            self.digest.update(((";" if self.begun else "") + found.texts[i].as_py()).encode())
             self.begun = True
 
     def row(self) -> tuple:
@@ -275,8 +316,8 @@ def encoded(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, len(whole), 2048):
+                batch = whole.slice(start, 2048)
                 found = list(zip(*_aligned_rows(batch.column("_body").to_pylist(), paths, segment)))
                 arrays = [pa.array(list(values), kind) for values, kind in zip(found, _ARROW)]
                 yield pa.RecordBatch.from_arrays(
