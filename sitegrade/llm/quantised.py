@@ -10,9 +10,9 @@ code up in its table, and takes the exact cosine where the distance may be small
   of the least cosine plus ``e``.
 * Only probing can lose a link, and only between nodes of different lists. ``reach`` is the distance
   from a query to the border (bisector) of a neighbouring list, in units of the largest distance of a
-  link. 1 loses nothing; with the default 0.4 a link is missed only if more than 0.4 of the largest
+  link. 1 loses nothing; with the default 0.3 a link is missed only if more than 0.3 of the largest
   difference points straight across the border, from both sides. For d dimensions that is
-  0.4 * sqrt(d) standard deviations of a difference without preferred direction.
+  0.3 * sqrt(d) standard deviations of a difference without preferred direction.
 
 A list is dealt in blocks of at most about ``block_rows`` members; visitors stream past a block. Tasks
 report sums per node and a spanning forest of the links, never the pairs, so a hot label or a
@@ -42,7 +42,7 @@ class Settings:
     """``max_lists`` and the sample bounds fix the size of all models, whatever the input."""
 
     least: float = 0.93
-    reach: float = 0.4
+    reach: float = 0.3
     list_rows: int = 256  # nodes a list should hold, while there are fewer than max_lists lists
     block_rows: int = 2048
     max_lists: int = 4096
@@ -61,44 +61,70 @@ _PAIRS = 1 << 14  # exact cosines at once, where candidates are sparse
 # ---- vectors and nodes ------------------------------------------------------------------------
 
 
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    vectors = vectors / np.abs(vectors).max(1)[:, None]  # no overflow or underflow in the norm
+    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+
+
 def _unit(values: pa.ListScalar) -> np.ndarray | None:
-    """The unit vector in double precision, None where there is none."""
+    """The unit vector, None where there is none."""
     items = values.values
     if items is None or len(items) == 0 or items.null_count:
         return None
     vector = np.asarray(items.to_numpy(zero_copy_only=False), np.float64)
-    if not np.isfinite(vector).all():
-        return None
-    largest = np.abs(vector).max()
-    if largest == 0:
+    if not np.isfinite(vector).all() or not vector.any():
         return None
-    vector = vector / largest  # no overflow or underflow in the norm
-    return vector / np.sqrt(vector @ vector)
+    return _units(vector[None])[0]
 
 
 def _read_vectors(source: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with ``unit`` (doubles as bytes, null where a row links with nothing) and ``print``."""
+    """``keep`` with ``vector`` (its numbers as bytes, null where a row links with nothing), ``size``
+    and ``print``, which is equal for equal directions.
+    """
     fields = [source.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("unit", T.BinaryType()), T.StructField("print", T.BinaryType())])
+    schema = T.StructType(
+        [
+            *fields,
+            T.StructField("vector", T.BinaryType()),
+            T.StructField("size", T.IntegerType()),
+            T.StructField("print", T.BinaryType()),
+        ]
+    )
+    element = source.schema["_vector"].dataType.elementType
+    width = np.float32 if isinstance(element, T.FloatType) else np.float64
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column("label").is_valid().to_pylist()
             units = [_unit(v) if known else None for v, known in zip(batch.column("_vector"), labels)]
             # Adding zero turns -0.0 into 0.0.
-            whole = [None if u is None else (u + 0.0).astype("<f8").tobytes() for u in units]
-            prints = [None if w is None else hashlib.blake2b(w, digest_size=16).digest() for w in whole]
+            prints = [
+                None if u is None else hashlib.blake2b((u + 0.0).tobytes(), digest_size=16).digest() for u in units
+            ]
+            vectors = [
+                None if u is None else v.values.to_numpy(zero_copy_only=False).astype(width).tobytes()
+                for v, u in zip(batch.column("_vector"), units)
+            ]
+            sizes = [None if u is None else len(u) for u in units]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(whole, pa.binary()), pa.array(prints, pa.binary())],
-                names=[*keep, "unit", "print"],
+                [
+                    *(batch.column(c) for c in keep),
+                    pa.array(vectors, pa.binary()),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(prints, pa.binary()),
+                ],
+                names=[*keep, "vector", "size", "print"],
             )
 
     return source.mapInArrow(read, schema)
 
 
-def _matrix(units) -> np.ndarray:
-    """Rows of doubles from a sequence of bytes of equal length."""
-    return np.frombuffer(b"".join(units), "<f8").reshape(len(units), -1)
+def _matrix(vectors, size: int) -> np.ndarray:
+    """Unit vectors of length ``size`` from their bytes, which are floats or doubles."""
+    data = b"".join(vectors)
+    width = np.float32 if len(data) == 4 * size * len(vectors) else np.float64
+    return _units(np.frombuffer(data, width).reshape(len(vectors), size).astype(np.float64))
 
 
 # ---- models -----------------------------------------------------------------------------------
@@ -192,7 +218,8 @@ def _train(nodes: DataFrame, settings: Settings) -> tuple[dict, dict]:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        centers = fit_centroids(_matrix(list(pdf["unit"])), int(first["lists"]), settings.rounds, settings.seed)
+        points = _matrix(list(pdf["vector"]), int(first["size"]))
+        centers = fit_centroids(points, int(first["lists"]), settings.rounds, settings.seed)
         return pd.DataFrame(
             {
                 "label": [first["label"]],
@@ -211,8 +238,8 @@ def _train(nodes: DataFrame, settings: Settings) -> tuple[dict, dict]:
         for r in fitted.collect()
     }
     residuals: dict[int, list[np.ndarray]] = {}
-    for r in nodes.filter(share(settings.code_sample, total)).select(*_GROUP, "unit").toLocalIterator():
-        point = np.frombuffer(bytes(r["unit"]), "<f8")
+    for r in nodes.filter(share(settings.code_sample, total)).select(*_GROUP, "vector").toLocalIterator():
+        point = _matrix([bytes(r["vector"])], r["size"])[0]
         centers = lists.get((r["label"], r["size"]))
         if centers is not None:
             point = point - centers[_nearest(point[None], centers)[0]]
@@ -223,7 +250,7 @@ def _train(nodes: DataFrame, settings: Settings) -> tuple[dict, dict]:
 def _indexed(nodes: DataFrame, lists: dict, books: dict, settings: Settings) -> DataFrame:
     """Every node with its list, the other lists it probes, its code and the code's distance."""
     limit = settings.reach * np.sqrt(2 - 2 * settings.least)
-    keep = ["id", "label", "size", "weight", "unit"]
+    keep = ["id", "label", "size", "weight", "vector"]
     schema = T.StructType(
         [
             *(nodes.schema[c] for c in keep),
@@ -241,10 +268,10 @@ def _indexed(nodes: DataFrame, lists: dict, books: dict, settings: Settings) ->
                 groups: dict[tuple, list[int]] = {}
                 for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("size").to_pylist())):
                     groups.setdefault(key, []).append(i)
-                units = batch.column("unit").to_pylist()
-                home, others, code, off = ([None] * len(units) for _ in range(4))
+                vectors = batch.column("vector").to_pylist()
+                home, others, code, off = ([None] * len(vectors) for _ in range(4))
                 for key, places in groups.items():
-                    points = _matrix([units[i] for i in places])
+                    points = _matrix([vectors[i] for i in places], key[1])
                     centers = lists.get(key)
                     own, near = np.zeros(len(places), np.int64), [np.empty(0, np.int64)] * len(places)
                     if centers is not None:
@@ -281,7 +308,8 @@ class _Block:
         centers = lists.get(key[:2])
         self.center = np.zeros(key[1]) if centers is None else centers[key[2]]
         self.ids, self.weights = rows["id"].to_numpy(), rows["weight"].to_numpy()
-        self.units = _matrix(list(rows["unit"]))
+        self.size = key[1]
+        self.units = _matrix(list(rows["vector"]), key[1])
         self.probed = [set(o) for o in rows["others"]]
         self.book = books.get(key[1])
         if self.book is not None:
@@ -315,7 +343,7 @@ class _Block:
     def visit(self, rows: pd.DataFrame) -> tuple[list, list, list]:
         """(ids, link sums) of the visitors, and links (a, b) that tie them to the block."""
         ids, homes, weights = rows["id"].to_numpy(), rows["home"].to_numpy(), rows["weight"].to_numpy()
-        i, j = self._pairs(_matrix(list(rows["unit"])))
+        i, j = self._pairs(_matrix(list(rows["vector"]), self.size))
         other = ids[i] != self.ids[j]
         i, j = i[other], j[other]
         found, sums, edges = [], [], []
@@ -348,16 +376,21 @@ class _Block:
 def _search(indexed: DataFrame, lists: dict, books: dict, settings: Settings) -> DataFrame:
     """(a, b, n): a link between nodes ``a`` and ``b``, or, with ``b`` null, ``n`` links of ``a``."""
     members = indexed.groupBy("label", "size", "home").agg(F.count("*").alias("n"))
-    blocks = members.selectExpr("label", "size", "home as list", f"cast(ceil(n / {settings.block_rows}) as int) as blocks")
+    # Only lists of more than one block are named.
+    long = members.filter(f"n > {settings.block_rows}").selectExpr(
+        "label", "size", "home as list", f"cast(ceil(n / {settings.block_rows}) as int) as blocks"
+    )
     at = ["label", "size", "list"]
-    own = attach(indexed.withColumn("list", F.col("home")), blocks, at)
-    own = own.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("member", F.lit(True))
-    all_lists = indexed.selectExpr("*", "explode(concat(array(home), others)) as list")
-    visits = attach(all_lists, blocks, at).filter("blocks is not null")
-    visits = visits.selectExpr("*", "explode(sequence(0, blocks - 1)) as block", "false as member")
-    visits = visits.withColumns({"others": F.lit(None), "code": F.lit(None), "off": F.lit(None)})
-    columns = [*at, "block", "member", "id", "home", "weight", "unit", "others", "code", "off"]
-    dealt = own.select(*columns).unionByName(visits.select(*columns)).repartition(*at, "block")
+    placed = attach(indexed.selectExpr("*", "explode(concat(array(home), others)) as list"), long, at)
+    block = "cast(pmod(xxhash64(id), coalesce(blocks, 1)) as int)"
+    # A node is a member of one block of its list, where members also meet each other. It visits the
+    # other blocks of its list and all blocks of the other lists it probes.
+    there = f"""transform(sequence(0, coalesce(blocks, 1) - 1),
+        b -> struct(b as block, list = home and b = {block} as member))"""
+    dealt = placed.selectExpr(*at, f"inline({there})", "id", "home", "weight", "vector", "others", "code", "off")
+    for name in ("others", "code", "off"):
+        dealt = dealt.withColumn(name, F.expr(f"if(member, {name}, null)"))
+    dealt = dealt.repartition(*at, "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids: list, sums: list, edges: list) -> pa.RecordBatch:
@@ -366,7 +399,15 @@ def _search(indexed: DataFrame, lists: dict, books: dict, settings: Settings) ->
             n = [*sums, *([None] * len(edges))]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "n"])
 
-        key, block, waiting = None, None, []
+        def open_block(key: tuple, waiting: list) -> tuple[_Block | None, list]:
+            """The block of the members that have come, and what they find among themselves."""
+            if not waiting:
+                return None, []
+            own = pd.concat(waiting)
+            block = _Block(key, own, lists, books, settings)
+            return block, [block.visit(own.iloc[s : s + _BATCH]) for s in range(0, len(own), _BATCH)]
+
+        key, block, waiting, opened = None, None, [], False
         for batch in batches:
             frame = batch.to_pandas()
             keys = list(zip(*(frame[c].tolist() for c in (*at, "block"))))
@@ -376,18 +417,27 @@ def _search(indexed: DataFrame, lists: dict, books: dict, settings: Settings) ->
                     continue
                 part = frame.iloc[start:end]
                 if keys[start] != key:
+                    if not opened:
+                        block, found = open_block(key, waiting)
+                        yield from (out(*f) for f in found)
                     if block is not None:
                         yield out(*block.rest())
-                    key, block, waiting = keys[start], None, []
+                    key, block, waiting, opened = keys[start], None, [], False
                 inside = part[part["member"]]
                 if len(inside):
                     waiting.append(inside)
                 visitors = part[~part["member"]]
                 if len(visitors):
-                    if block is None:
-                        block = _Block(key, pd.concat(waiting), lists, books, settings)
-                    for s in range(0, len(visitors), _BATCH):
+                    if not opened:
+                        block, found = open_block(key, waiting)
+                        yield from (out(*f) for f in found)
+                        waiting, opened = [], True
+                    # A list that nothing belongs to may still be probed.
+                    for s in range(0, len(visitors) if block is not None else 0, _BATCH):
                         yield out(*block.visit(visitors.iloc[s : s + _BATCH]))
+        if not opened:
+            block, found = open_block(key, waiting)
+            yield from (out(*f) for f in found)
         if block is not None:
             yield out(*block.rest())
 
@@ -425,12 +475,10 @@ def near_duplicates(
         F.col(quoted(vector)).alias("_vector"),
     )
     read = cut(_read_vectors(source, ["_row", "_id", "label"]), "vectors")
-    size = "cast(octet_length(unit) / 8 as int) as size"
     grouped = (
-        read.filter("unit is not null")
-        .selectExpr("_id", "label", size, "unit", "print")
+        read.filter("print is not null")
         .groupBy("label", "size", "print")
-        .agg(F.any_value("unit").alias("unit"), F.count("*").alias("weight"), F.min("_id").alias("first"))
+        .agg(F.any_value("vector").alias("vector"), F.count("*").alias("weight"), F.min("_id").alias("first"))
     )
     nodes = cut(numbered(grouped, "id"), "nodes")
     lists, books = _train(nodes, settings)
