@@ -34,8 +34,8 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
 
     ``logs``: keys, ``seq`` (log order), ``final_url`` (of the page load), ``message`` (JSON), and
     ``logged_at`` if the log tells the time.
-    One shuffle; each task first combines its own events, so a page load that holds a large part
-    of all events still moves one row per task.
+    Each task first combines its own events, so a page load that holds a large part of all events
+    moves one row per task and landed page.
     """
     time = EVENT_TIME if EVENT_TIME in logs.columns else "null"
     parsed = logs.selectExpr(
@@ -62,29 +62,57 @@ def fold_scan_log(logs: DataFrame, keys: tuple[str, ...] = ATTEMPT_KEYS) -> Data
         f"{redirected} as redirected",
         f"case when {redirected} then event.params.redirectResponse.status"
         f" when {landed} then event.params.response.status end as status",
-        f"if({landed}, event.params.response, null) as page",
+        f"{landed} as landed",
+        "event.params.response as response",
     )
-    folded = facts.groupBy(*keys).agg(
-        F.expr("min_by(status, if(status is not null, seq, null))").alias("initial_status"),
-        F.expr("cast(count_if(redirected) as int)").alias("redirect_count"),
-        F.expr("max_by(page, if(page is not null, seq, null))").alias("page"),
-        F.expr("max(final_url)").alias("final_url"),
+    # Order and status in one number, so that the first status is a plain minimum.
+    first = f"cast(seq as decimal(20, 0)) * {_STATUSES}BD + (status + {_STATUSES // 2}L)"
+    page = "struct(map_entries(response.headers) as headers, response.protocol, response.status)"
+    marked = facts.selectExpr(
+        *keys,
+        "final_url",
+        EVENT_TIME,
+        f"if(status is null, null, {first}) as first",
+        "if(redirected, 1L, 0L) as redirects",
+        "if(unreadable, 1L, 0L) as unreadables",
+        "if(landed, seq, null) as page_seq",
+        f"if(landed, {page}, null) as page",
+    )
+    # All events: numbers only, in a hash aggregation. Each landed page is a group of its own, all
+    # other events of a load are one, so headers move only with landed pages.
+    numbers = [
+        F.min("first").alias("first"),
+        F.sum("redirects").alias("redirects"),
+        F.sum("unreadables").alias("unreadables"),
         F.max(EVENT_TIME).alias(EVENT_TIME),
-        F.expr("count_if(unreadable)").alias("unreadable_events"),
+    ]
+    counted = marked.groupBy(*keys, "final_url", "page_seq", "page").agg(*numbers)
+    folded = counted.groupBy(*keys).agg(
+        *numbers, F.expr("max_by(page, page_seq)").alias("page"), F.max("final_url").alias("final_url")
     )
     return folded.selectExpr(
         *keys,
-        "initial_status",
+        f"cast(pmod(first, {_STATUSES}BD) - {_STATUSES // 2}L as int) as initial_status",
         "page.status as final_status",
-        "redirect_count",
-        "coalesce(page.headers, cast(map() as map<string, string>)) as headers",
+        "cast(redirects as int) as redirect_count",
+        f"coalesce({_last_entries('page.headers')}, cast(map() as map<string, string>)) as headers",
         f"coalesce(page.protocol, '{UNKNOWN_PROTOCOL}') as protocol",
         "final_url",
-        "unreadable_events",
+        "unreadables as unreadable_events",
         EVENT_TIME,
     )
 
 
+# More than there are values of an int.
+_STATUSES = 10**10
+
+
+def _last_entries(entries: str) -> str:
+    """SQL: a map of entries in their order; of equal names the last one counts."""
+    later = f"exists(slice({entries}, i + 2, size({entries})), x -> x.key = e.key)"
+    return f"map_from_entries(filter({entries}, (e, i) -> not {later}))"
+
+
 def combine_attempts(folded: DataFrame) -> DataFrame:
     """Two page loads (1: http, 2: https) become one scan per institution and platform.
 

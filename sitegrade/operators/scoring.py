@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrade.functions.numeric import literal, order_free_mean, round2
@@ -253,44 +253,29 @@ def _institutions(
     rows: DataFrame,
     components: tuple[Component, ...],
     policy: Policy,
-    n_platforms: int | None,
+    platforms: Column,
     more: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per institution: means, flags, the ``more`` aggregates asked for, and ``_n``.
 
-    ``_n``, the number of platforms in the whole table, comes from the same aggregation as the rest:
-    every institution lists its platforms, and what they list together is counted. That count reads
-    all values of the aggregation so that both uses of it are the same and share its shuffle; rows
-    without an institution number take part in it and are dropped afterwards.
+    The state of means and flags is numbers, so without ``more`` this is a hash aggregation.
     """
     values = {name: sql for part in components for name, sql in part.values(policy).items()}
     derived = {name: sql for part in components for name, sql in part.derived(policy).items()}
     values |= more or {}
-    if n_platforms is None:
-        values |= {"_known": f"bool_or({ID} is not null)", "_platforms": "collect_set(platform)"}
-    else:
-        rows = rows.filter(f"{ID} is not null")
-    grouped = rows.groupBy(ID).agg(*[F.expr(sql).alias(name) for name, sql in values.items()])
-    if n_platforms is None:
-        content = f"xxhash64({_record([c for c in grouped.columns])})"
-        listed = grouped.selectExpr("explode_outer(_platforms) as platform", f"{content} as content")
-        counted = listed.agg(
-            F.struct(F.count_distinct("platform").alias("n"), F.max("content")).alias("counted")
-        )
-        grouped = grouped.withColumn("_n", counted.scalar().getField("n"))
-        # Both columns are read here too, else they would be left out of this use's shuffle.
-        grouped = grouped.filter("_known and size(_platforms) >= 0")
-    else:
-        grouped = grouped.withColumn("_n", F.lit(n_platforms))
-    hidden = ("_seen_", "_known", "_platforms")
-    public = [name for name in values if not name.startswith(hidden)]
-    # As an expression of the aggregation the key is not filtered below it when it is joined.
-    key = ID if n_platforms is not None else f"if(_known, {ID}, null) as {ID}"
-    return grouped.selectExpr(
-        key, *public, "_n", *[f"{sql} as {name}" for name, sql in derived.items()]
+    known = rows.filter(f"{ID} is not null")
+    grouped = known.groupBy(ID).agg(*[F.expr(sql).alias(name) for name, sql in values.items()])
+    public = [name for name in values if not name.startswith("_seen_")]
+    return grouped.withColumn("_n", platforms).selectExpr(
+        ID, *public, "_n", *[f"{sql} as {name}" for name, sql in derived.items()]
     )
 
 
+def _platforms(df: DataFrame, n_platforms: int | None) -> Column:
+    """``n_platforms``, or where it is None the count in ``df``: a read of its own, of one column."""
+    return platform_count(df).scalar() if n_platforms is None else F.lit(n_platforms)
+
+
 def _score(
     df: DataFrame,
     components: tuple[Component, ...],
@@ -298,7 +283,8 @@ def _score(
     n_platforms: int | None,
 ) -> DataFrame:
     rows = _row_scores(df, components, policy)
-    joined = attach(rows, _institutions(rows, components, policy, n_platforms), [ID])
+    values = _institutions(rows, components, policy, _platforms(df, n_platforms))
+    joined = attach(rows, values, [ID])
     for part in components:
         joined = part.add_result(joined, protocol_factor())
     return joined.drop("_n")
@@ -406,7 +392,7 @@ def worst_scores(
         f"_row_{i}": f"min_by(_record, _order) filter (where _factor = {literal(factor)})"
         for i, factor in enumerate(FACTORS)
     }
-    values = _institutions(rows, FINAL_PARTS, policy, n_platforms, firsts)
+    values = _institutions(rows, FINAL_PARTS, policy, _platforms(df, n_platforms), firsts)
     values = REDIRECT.add_result(values, "1D")
     candidates = []
     for i, factor in enumerate(FACTORS):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from sitegrade.functions.labels import HTTP_VERSIONS
 from sitegrade.functions.numeric import percent, ratio_percent, round2
 from sitegrade.operators.summary import LEVELS, roll_up
 from sitegrade.policy import DEFAULT_POLICY, Policy
-from sitegrade.schemas import INCONSISTENCY_COLUMNS
+from sitegrade.schemas import ID, INCONSISTENCY_COLUMNS, NUTS
 
 
 def adoption_stats(summary: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -99,10 +101,22 @@ def region_scores(summary: DataFrame) -> DataFrame:
 
 
 def country_overview(rows: DataFrame) -> DataFrame:
-    """Rows, institutions, regions and platforms per country."""
-    return rows.groupBy("country").agg(
-        F.count("*").alias("observations"),
-        F.count_distinct("ETER_ID").alias("institutions"),
-        F.count_distinct("NUTS2_Label_2016").alias("regions"),
-        F.count_distinct("platform").alias("platforms"),
-    )
+    """Rows, institutions, regions and platforms per country.
+
+    Each count comes from its own distinct pairs: institutions from one aggregation by institution,
+    regions and platforms from the few combinations of them. Distinct counts side by side in one
+    aggregation would copy every row once per count.
+    """
+    institutions = rows.groupBy("country", ID).agg(F.count("*").alias("n"))
+    places = rows.groupBy("country", NUTS, "platform").agg(F.count("*").alias("n"))
+    counted = {
+        "institutions": institutions.select("country", ID),
+        "regions": places.select("country", NUTS).distinct(),
+        "platforms": places.select("country", "platform").distinct(),
+    }
+    zero = {name: F.lit(0) for name in ("observations", *counted)}
+    parts = [institutions.select("country", *[c.alias(n) for n, c in (zero | {"observations": F.col("n")}).items()])]
+    for name, pairs in counted.items():
+        one = F.when(F.col(pairs.columns[1]).isNotNull(), 1).otherwise(0)
+        parts.append(pairs.select("country", *[c.alias(n) for n, c in (zero | {name: one}).items()]))
+    return reduce(DataFrame.unionByName, parts).groupBy("country").agg(*[F.sum(n).alias(n) for n in zero])

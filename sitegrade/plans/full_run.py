@@ -44,12 +44,15 @@ def run_reports(
 ) -> dict[str, str]:
     """Score, then write every report below ``out``. Returns report name -> path.
 
-    The score tables and the two summaries are written and read back, so the work up to them runs
-    once and a lost executor never repeats more than one step.
+    The observations, the score tables and the two summaries are written and read back. So the work up
+    to them runs once, however the observations come about (scoring reads them three times), and
+    a lost executor never repeats more than one step.
     """
-    scores, worst = f"{out}/scores", f"{out}/worst_scores"
-    n_platforms = platform_count(observations).first().n_platforms
-    scored = final_scores(observations, policy, n_platforms)
+    scores, worst, cut = f"{out}/scores", f"{out}/worst_scores", f"{out}/observations"
+    observations.write.mode("overwrite").parquet(cut)
+    stored = spark.read.schema(observations.schema).parquet(cut)
+    n_platforms = platform_count(stored).first().n_platforms
+    scored = final_scores(stored, policy, n_platforms)
     write_scores(stamp_analysis(scored), scores, policy)
     write_worst(read_scores(spark, scores, policy), worst, policy)
 

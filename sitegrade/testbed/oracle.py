@@ -17,7 +17,14 @@ HEADERS = [
      "NOT contains(v, '*') AND NOT contains(v, 'null')", 15.56, 9.44),
     ("hsts", "strict-transport-security",
      "age >= 31536000 AND contains(v, 'includesubdomains')", 28.0, 17.0),
-    ("csp", "content-security-policy", "FALSE", 23.33, 14.17),
+    ("csp", "content-security-policy",
+     " AND ".join([
+         *[f"contains(v, '{x}')" for x in ("default-src ''self''", "form-action ''self''", "object-src ''none''",
+                                           "upgrade-insecure-requests", "block-all-mixed-content")],
+         "NOT contains(v, 'unsafe-eval')", "NOT contains(v, 'https://*')",
+         "(NOT contains(v, 'unsafe-inline') OR contains(v, 'nonce-') AND contains(v, 'hash-'))",
+         "v IN ('frame-ancestors ''self''', 'frame-ancestors ''none''')",
+     ]), 23.33, 14.17),
     ("corp", "cross-origin-resource-policy", "v IN ('same-origin', 'same-site')", 20.22, 12.28),
     ("coep", "cross-origin-embedder-policy", "v IN ('require-corp', 'credentialless')", 20.22, 12.28),
     ("coop", "cross-origin-opener-policy",
@@ -62,17 +69,19 @@ inst AS (
     CASE WHEN c.c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN 'private' ELSE 'public' END AS category
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
-plat AS (SELECT 0 AS p, 'desktop' AS platform UNION ALL SELECT 1, 'mobile'),
+plat AS (SELECT 0 AS p, 'desktop' AS platform UNION ALL SELECT 1, 'mobile' UNION ALL SELECT 2, 'tablet'),
 obs AS (
   SELECT inst.*, plat.p, plat.platform, CASE WHEN k % 50 = 0 THEN p ELSE 0 END AS d,
     CASE WHEN k % 61 = 0 THEN p ELSE 0 END AS e, CASE WHEN k % 37 = 0 THEN p ELSE 0 END AS g
-  FROM inst CROSS JOIN plat WHERE NOT (k % 101 = 0 AND p = 1)),
+  FROM inst CROSS JOIN plat WHERE NOT (k % 101 = 0 AND p = 1) AND (p < 2 OR k % 43 = 0)),
 raw AS (
-  SELECT k, nuts, country, category, platform,
+  SELECT CASE WHEN k % 71 <> 0 THEN k END AS k, CASE WHEN k % 83 <> 0 THEN nuts END AS nuts, country,
+    CASE WHEN k % 73 <> 0 THEN category END AS category, platform,
     (k + e) % 10 < 7 AS to_https, (k + e) % 10 < 7 AND (k + e) % 4 <> 0 AS same_domain,
-    CASE (k + g) % 7 WHEN 0 THEN 'h3' WHEN 1 THEN 'h2' WHEN 2 THEN 'H2' WHEN 3 THEN 'http/1.1'
-      WHEN 4 THEN 'h2' WHEN 5 THEN 'http/1.0' ELSE 'spdy/3' END AS protocol_http,
-    CASE WHEN (k + e) % 11 = 0 THEN 'http://site' ELSE 'https://site' END AS final_url,
+    CASE WHEN k % 67 = 0 THEN NULL ELSE CASE (k + g) % 7 WHEN 0 THEN 'h3' WHEN 1 THEN 'h2' WHEN 2 THEN 'H2'
+      WHEN 3 THEN 'http/1.1' WHEN 4 THEN 'h2' WHEN 5 THEN 'http/1.0' ELSE 'spdy/3' END END AS protocol_http,
+    CASE WHEN (k + e) % 11 = 0 THEN 'http://site' WHEN k % 53 = 0 THEN 'ftp://site'
+      WHEN k % 59 = 0 THEN NULL ELSE 'https://site' END AS final_url,
     CASE (k * 3 + d) % 5 WHEN 0 THEN '1; mode=block' WHEN 1 THEN '0' WHEN 2 THEN '1; MODE=block' END AS xxp,
     CASE (k * 5 + d) % 6 WHEN 0 THEN 'DENY' WHEN 1 THEN 'SAMEORIGIN' WHEN 2 THEN 'ALLOWALL'
       WHEN 3 THEN 'sameorigin' END AS xfo,
@@ -84,16 +93,25 @@ raw AS (
       WHEN 0 THEN 'max-age=31536000; includeSubDomains' WHEN 1 THEN 'max-age=31536000'
       WHEN 2 THEN 'max-age=600; includeSubDomains'
       WHEN 3 THEN 'max-age=63072000, ; includeSubDomains; preload' WHEN 4 THEN 'includeSubDomains'
-      WHEN 5 THEN CASE WHEN k % 31 = 0 THEN 'max-age="31536000"' END END AS hsts,
-    CASE (k * 19) % 5 WHEN 0 THEN 'default-src ''self''' WHEN 1 THEN 'frame-ancestors ''none''' END AS csp,
+      WHEN 5 THEN CASE WHEN k % 31 = 0 THEN 'max-age="31536000"' WHEN k % 29 = 0 THEN 'max-age='
+        WHEN k % 23 = 0 THEN 'max-age=1__0' WHEN k % 19 = 0 THEN 'max-age=+31_536_000; includeSubDomains'
+        WHEN k % 17 = 0 THEN 'max-age=-31536000; includeSubDomains'
+        WHEN k % 13 = 0 THEN 'Max-Age=00031536000 ; IncludeSubDomains; x' END END AS hsts,
+    CASE (k * 19) % 8 WHEN 0 THEN 'default-src ''self''' WHEN 1 THEN 'frame-ancestors ''none'''
+      WHEN 2 THEN 'default-src ''self''; form-action ''self''; object-src ''none''; upgrade-insecure-requests;'
+        || ' block-all-mixed-content; frame-ancestors ''self'''
+      WHEN 3 THEN 'default-src ''self''; form-action ''self''; object-src ''none''; upgrade-insecure-requests;'
+        || ' block-all-mixed-content; frame-ancestors ''self''; ''unsafe-eval''' END AS csp,
     CASE (k * 23) % 10 WHEN 0 THEN 'same-origin' WHEN 1 THEN 'cross-origin' END AS corp,
     CASE (k * 29) % 11 WHEN 0 THEN 'require-corp' WHEN 1 THEN 'unsafe-none' END AS coep,
     CASE (k * 31) % 12 WHEN 0 THEN 'same-origin' WHEN 1 THEN 'unsafe-none' END AS coop,
     CASE WHEN k % 13 = 0 THEN 'a=1; Secure; HttpOnly; SameSite=Lax' WHEN k % 13 = 1 THEN 'a=1; Secure' END AS sc
   FROM obs),
+texts AS (
+  SELECT *, replace(trim(split_part(split_part(lower(hsts), 'max-age=', 2), ';', 1)), ',', '') AS age_text FROM raw),
 aged AS (
-  SELECT *, TRY_CAST(replace(trim(split_part(split_part(lower(hsts), 'max-age=', 2), ';', 1)), ',', '')
-    AS BIGINT) AS age FROM raw)"""
+  SELECT *, CASE WHEN regexp_full_match(age_text, '[+-]?[0-9]+(_[0-9]+)*')
+    THEN CAST(replace(replace(age_text, '_', ''), '+', '') AS HUGEINT) END AS age FROM texts)"""
 
 
 def _assessed() -> str:
@@ -125,22 +143,26 @@ def _scored() -> str:
         tests = [f"min({c}_config) OVER w <> max({c}_config) OVER w" for c in columns]
         return " OR ".join(tests)
 
+    def named(value: str) -> str:
+        # Rows without an institution number get no institution values.
+        return f"CASE WHEN k IS NOT NULL THEN {value} END"
+
     every = [c for c, *_ in HEADERS]
     return f"""{GOOD},
 n AS (SELECT count(DISTINCT platform) AS n FROM good),
 s1 AS (SELECT *, {r2(points)} AS header_row,
     CASE WHEN NOT to_https THEN 0::DOUBLE WHEN same_domain THEN 100 ELSE 70 END AS redirect_row,
-    CASE WHEN NOT starts_with(lower(final_url), 'https://') THEN 1::DOUBLE
+    CASE WHEN NOT coalesce(starts_with(lower(final_url), 'https://'), FALSE) THEN 1::DOUBLE
       ELSE CASE lower(protocol_http) WHEN 'h2' THEN 84.62 WHEN 'h3' THEN 100 ELSE 76.92 END END AS http_row
   FROM good),
-s2 AS (SELECT *, {r2("avg(header_row) OVER w")} AS header_mean,
-    {r2("avg(redirect_row) OVER w")} AS redirect_mean, {r2("avg(http_row) OVER w")} AS http_mean,
-    ({varied(["hsts", "csp"])}) AS critical_flag, ({varied(every)}) AS header_flag,
-    (min(to_https) OVER w <> max(to_https) OVER w
-      OR min(same_domain) OVER w <> max(same_domain) OVER w) AS redirect_flag,
-    (min(starts_with(final_url, 'https://')) OVER w
-      <> max(starts_with(final_url, 'https://')) OVER w) AS http_flag
-  FROM s1 WINDOW w AS (PARTITION BY k)),
+s2 AS (SELECT *, {named(r2("avg(header_row) OVER w"))} AS header_mean,
+    {named(r2("avg(redirect_row) OVER w"))} AS redirect_mean, {named(r2("avg(http_row) OVER w"))} AS http_mean,
+    {named(varied(["hsts", "csp"]))} AS critical_flag, {named(varied(every))} AS header_flag,
+    {named("(min(to_https) OVER w <> max(to_https) OVER w"
+           " OR min(same_domain) OVER w <> max(same_domain) OVER w)")} AS redirect_flag,
+    {named("(min(secure) OVER w <> max(secure) OVER w)")} AS http_flag
+  FROM (SELECT *, coalesce(starts_with(final_url, 'https://'), FALSE) AS secure FROM s1)
+  WINDOW w AS (PARTITION BY k)),
 s3 AS (SELECT s2.*,
     critical_flag::INT::DOUBLE * 0.85::DOUBLE * (1 - n / 100::DOUBLE)
       + header_flag::INT::DOUBLE * 0.9::DOUBLE * (1 - n / 100::DOUBLE) AS header_penalty,
@@ -149,16 +171,16 @@ s3 AS (SELECT s2.*,
     CASE lower(protocol_http) WHEN 'h3' THEN 1.3::DOUBLE WHEN 'h2' THEN 1.1::DOUBLE ELSE 1 END AS factor
   FROM s2, n),
 s4 AS (SELECT *,
-    {r2("least(100, header_mean * factor * CASE WHEN header_penalty > 0 THEN header_penalty ELSE 1 END)")}
+    {named(r2("least(100, header_mean * factor * CASE WHEN header_penalty > 0 THEN header_penalty ELSE 1 END)"))}
       AS header_component,
-    {r2("least(100, redirect_mean * CASE WHEN redirect_penalty > 0 THEN redirect_penalty ELSE 1 END)")}
+    {named(r2("least(100, redirect_mean * CASE WHEN redirect_penalty > 0 THEN redirect_penalty ELSE 1 END)"))}
       AS redirect_component,
-    {r2("least(100, http_mean * CASE WHEN http_penalty > 0 THEN http_penalty ELSE 1 END)")}
+    {named(r2("least(100, http_mean * CASE WHEN http_penalty > 0 THEN http_penalty ELSE 1 END)"))}
       AS http_component
   FROM s3),
 scored AS (SELECT *, {r2("header_component * 0.6::DOUBLE + redirect_component * 0.4::DOUBLE")} AS final_score
   FROM s4),
-worst AS (SELECT * FROM scored
+worst AS (SELECT * FROM scored WHERE k IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY k ORDER BY final_score, platform) = 1)"""
 
 
@@ -448,9 +470,9 @@ FROM ranked WHERE NOT failed AND (first_failure IS NULL OR o < first_failure)"""
     q["header_classify"] = f"WITH {ASSESSED} SELECT {key}, {_header_names()}, header_error FROM assessed"
     q["result_error_split"] = f"""WITH {ASSESSED},
 ranked AS (SELECT *, min(o) FILTER (header_error IS NOT NULL) OVER (PARTITION BY k) AS first_failure
-  FROM (SELECT *, CASE platform WHEN 'desktop' THEN 1 ELSE 2 END AS o FROM assessed))
+  FROM (SELECT *, CASE platform WHEN 'desktop' THEN 1 WHEN 'mobile' THEN 2 ELSE 3 END AS o FROM assessed))
 SELECT {key}, CASE WHEN header_error IS NULL THEN 'result' ELSE 'error' END AS outcome, header_error AS error
-FROM ranked WHERE first_failure IS NULL OR o < first_failure OR o = first_failure"""
+FROM ranked WHERE k IS NULL OR first_failure IS NULL OR o <= first_failure"""
     q["platform_count"] = f"WITH {GOOD} SELECT count(DISTINCT platform) AS n_platforms FROM good"
     q["header_score"] = f"""{s}SELECT {key}, header_row AS header_score_by_platform,
   header_mean AS header_avg_score_btw_platforms, header_component AS header_component_score FROM scored"""
@@ -460,8 +482,9 @@ FROM ranked WHERE first_failure IS NULL OR o < first_failure OR o = first_failur
   redirect_component AS redirect_component_score FROM scored"""
     q["http_score"] = f"""{s}SELECT {key}, http_row AS http_score_by_platform,
   http_mean AS http_avg_score_btw_platforms, http_flag AS http_inconsistency_between_platforms,
-  http_component AS http_component_score, FALSE AS unknown_scheme,
-  protocol_http = 'spdy/3' AS unknown_protocol FROM scored"""
+  http_component AS http_component_score,
+  coalesce(NOT starts_with(final_url, 'https://') AND NOT starts_with(final_url, 'http://'), TRUE) AS unknown_scheme,
+  coalesce(protocol_http = 'spdy/3', TRUE) AS unknown_protocol FROM scored"""
     q["final_score_grade"] = f"""{s}SELECT {key}, header_component AS header_component_score,
   redirect_component AS redirect_component_score, final_score, {GRADE} FROM scored"""
     place = 'country, nuts AS "NUTS2_Label_2016", category AS "Category"'
@@ -551,12 +574,26 @@ ranked AS (SELECT *, {entity}, total::DOUBLE / 100 AS entity_total,
     )
     q["radar_data"] = f"""WITH {GOOD}{_adoption("good")},
 rings AS (SELECT * FROM adoption WHERE level IN ('country_category_platform', 'country_platform')
+    AND platform IN ('desktop', 'mobile')
   QUALIFY count(*) OVER (PARTITION BY level, country, category) = 2)
 {spokes}"""
-    q["row_repair"] = f"""WITH {OBS} SELECT CAST(k AS VARCHAR) AS "ETER_ID",
-  '2025-01-05 10:00:00' AS assessment_datetime, '301' AS http_status_code, '200' AS https_status_code,
-  CAST(to_https AS VARCHAR) AS redirected_to_https, CAST(same_domain AS VARCHAR) AS redirected_https_to_same_domain,
-  final_url, country AS idioma, platform, protocol_http, '1' AS redirect_count FROM raw"""
+    # Rows with a platform that no policy names are not known to be shifted, so they stay as they are.
+    moved = {
+        "assessment_datetime": ("platform", "'2025-01-05 10:00:00'"),
+        "http_status_code": ("'2025-01-05 10:00:00'", "'301'"),
+        "https_status_code": ("'301'", "'200'"),
+        "redirected_to_https": ("'200'", "CAST(to_https AS VARCHAR)"),
+        "redirected_https_to_same_domain": ("CAST(to_https AS VARCHAR)", "CAST(same_domain AS VARCHAR)"),
+        "final_url": ("CAST(same_domain AS VARCHAR)", "final_url"),
+        "idioma": ("final_url", "country"),
+        "platform": ("country", "platform"),
+    }
+    columns = ", ".join(
+        f"CASE WHEN k % 7 = 0 AND platform = 'tablet' THEN {shifted} ELSE {right} END AS {name}"
+        for name, (shifted, right) in moved.items()
+    )
+    q["row_repair"] = f"""WITH {OBS} SELECT CAST(k AS VARCHAR) AS "ETER_ID", {columns}, protocol_http,
+  '1' AS redirect_count FROM raw"""
     q["retry_worklist"] = f"""WITH {OBS},
 outcome AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'R') AS failures,
     count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS done FROM lineitem GROUP BY ALL)

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sitegrade.operators.assess import assess_values
 from sitegrade.schemas import ID, NUTS
 
+FULL_CSP = (
+    "default-src 'self'; form-action 'self'; object-src 'none'; upgrade-insecure-requests;"
+    " block-all-mixed-content; frame-ancestors 'self'"
+)
+
 # The value of every header, from the institution number k and the platform number p; d and s are
 # the platform number for some institutions and 0 for the others.
 HEADER_VALUES = {
@@ -30,9 +35,13 @@ HEADER_VALUES = {
     " when 2 then 'max-age=600; includeSubDomains'"
     " when 3 then 'max-age=63072000, ; includeSubDomains; preload'"
     " when 4 then 'includeSubDomains'"
-    " when 5 then if(k % 31 = 0, 'max-age=\"31536000\"', null) end",
-    "content-security-policy": "case (k * 19) % 5 when 0 then \"default-src 'self'\""
-    " when 1 then \"frame-ancestors 'none'\" end",
+    " when 5 then case when k % 31 = 0 then 'max-age=\"31536000\"' when k % 29 = 0 then 'max-age='"
+    " when k % 23 = 0 then 'max-age=1__0' when k % 19 = 0 then 'max-age=+31_536_000; includeSubDomains'"
+    " when k % 17 = 0 then 'max-age=-31536000; includeSubDomains'"
+    " when k % 13 = 0 then 'Max-Age=00031536000 ; IncludeSubDomains; x' end end",
+    "content-security-policy": "case (k * 19) % 8 when 0 then \"default-src 'self'\""
+    f" when 1 then \"frame-ancestors 'none'\" when 2 then \"{FULL_CSP}\""
+    f" when 3 then \"{FULL_CSP}; 'unsafe-eval'\" end",
     "cross-origin-resource-policy": "case (k * 23) % 10 when 0 then 'same-origin'"
     " when 1 then 'cross-origin' end",
     "cross-origin-embedder-policy": "case (k * 29) % 11 when 0 then 'require-corp'"
@@ -44,6 +53,8 @@ HEADER_VALUES = {
 }
 
 
+PLATFORMS = ("desktop", "mobile", "tablet")
+
 # The columns read of each table. A given schema saves reading file footers to infer one.
 TABLES = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double",
@@ -82,11 +93,14 @@ def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per institution and platform with one value column per header (``h_0`` ...)."""
-    rows = institutions(spark, sf_dir).selectExpr(
-        "*", "inline(array(struct(0 as p, 'desktop' as platform), struct(1 as p, 'mobile' as platform)))"
-    )
-    rows = rows.filter("not (k % 101 = 0 and p = 1)").selectExpr(
+    """One row per institution and platform with one value column per header (``h_0`` ...).
+
+    Some institutions have a third platform that no policy names; some rows have no institution
+    number, region, category, protocol or known scheme.
+    """
+    platforms = ", ".join(f"struct({p} as p, '{name}' as platform)" for p, name in enumerate(PLATFORMS))
+    rows = institutions(spark, sf_dir).selectExpr("*", f"inline(array({platforms}))")
+    rows = rows.filter("not (k % 101 = 0 and p = 1) and (p < 2 or k % 43 = 0)").selectExpr(
         "*",
         "if(k % 50 = 0, p, 0) as d",
         "if(k % 61 = 0, p, 0) as e",
@@ -94,16 +108,17 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(k % 300 = 0, p, 0) as s",
     )
     return rows.selectExpr(
-        ID,
-        NUTS,
+        f"if(k % 71 = 0, null, {ID}) as {ID}",
+        f"if(k % 83 = 0, null, {NUTS}) as {NUTS}",
         "country",
-        "Category",
+        "if(k % 73 = 0, null, Category) as Category",
         "platform",
         "(k + e) % 10 < 7 as redirected_to_https",
         "(k + e) % 10 < 7 and (k + e) % 4 <> 0 as redirected_https_to_same_domain",
-        "elt(cast((k + g) % 7 as int) + 1, 'h3', 'h2', 'H2', 'http/1.1', 'h2', 'http/1.0', 'spdy/3')"
-        " as protocol_http",
-        "if((k + e) % 11 = 0, 'http://site', 'https://site') as final_url",
+        "if(k % 67 = 0, null, elt(cast((k + g) % 7 as int) + 1, 'h3', 'h2', 'H2', 'http/1.1', 'h2', 'http/1.0',"
+        " 'spdy/3')) as protocol_http",
+        "case when (k + e) % 11 = 0 then 'http://site' when k % 53 = 0 then 'ftp://site'"
+        " when k % 59 = 0 then null else 'https://site' end as final_url",
         *[f"{value} as h_{i}" for i, value in enumerate(HEADER_VALUES.values())],
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sitegrade.operators import scoring
 from sitegrade.operators.keyed import attach
+from sitegrade.operators.scanlog import fold_scan_log
+from sitegrade.operators.statistics import country_overview
 from sitegrade.operators.summary import summary_columns
 from sitegrade.testbed.queries import QUERIES
 
@@ -75,16 +77,42 @@ def test_hot_key_is_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_platform_count_shares_the_aggregation(spark, tmp_path):
-    """worst_scores reads the rows once, the joined scores twice; the count adds no read."""
+def test_platform_count_is_a_read_of_one_column(spark, tmp_path):
+    """The platforms are counted by a read of their own; institutions aggregate by hash."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for df in (
-            scoring.worst_scores(stored(spark, tmp_path), summary_columns()),
-            scoring.header_scores(spark.read.parquet(str(tmp_path / "obs"))),
-            scoring.final_scores(spark.read.parquet(str(tmp_path / "obs"))),
-        ):
-            df.collect()
-            assert "ReusedExchange" in physical(df)
+        df = scoring.header_scores(stored(spark, tmp_path))
+        plan = physical(df)
+        worst = physical(scoring.worst_scores(spark.read.parquet(str(tmp_path / "obs")), summary_columns()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    for text, scans in ((plan, 3), (worst, 2)):
+        assert text.count("FileScan") == scans
+        assert "ReadSchema: struct<platform:string>" in text
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
+@pytest.mark.parametrize("name", ["header_classify", "result_error_split", "redirect_score", "header_score", "worst_scores"])
+def test_max_age_is_evaluated_once_per_stage(spark, name):
+    """Filters on ``header_error`` are not pushed below the helper, so its text isn't copied."""
+    text = "max-age="
+    stages = re.split(r"Exchange|Subquery", physical(QUERIES[name](spark, SF_DIR)))
+    # One test for the text and one split at it, beside the header value itself.
+    used = [len(re.findall(r"split_part\([^()]*, max-age=", stage)) for stage in stages]
+    assert text in "".join(stages) and max(used) <= 1, used
+
+
+def test_overview_copies_no_rows(spark, tmp_path):
+    plan = physical(country_overview(stored(spark, tmp_path)))
+    assert "Expand" not in plan
+
+
+def test_fold_hashes_all_events(spark, tmp_path):
+    """What runs over all events is a hash aggregation; sorting is left to its result."""
+    path = str(tmp_path / "logs")
+    columns = "ETER_ID string, platform string, attempt int, seq long, final_url string, message string"
+    spark.createDataFrame([("A", "desktop", 1, 1, "http://a/", "{}")], columns).write.parquet(path)
+    plan = physical(fold_scan_log(spark.read.parquet(path)))
+    over_events = re.split("Exchange", plan)[-1]
+    assert "HashAggregate" in over_events and "SortAggregate" not in over_events and "FileScan" in over_events
