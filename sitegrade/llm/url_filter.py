@@ -2,10 +2,11 @@
 
 Given rules label the pages they fit. Every path becomes a template: segments that vary (numbers,
 or positions of a host with too many different values) are wildcards. Templates and their prefixes
-are the nodes of a tree below the host. Sibling branches whose labels do not differ significantly
-from their parent's are merged. A node's purity is its share of blocked labels, smoothed towards
-its parent's, from the global share downwards; a page that no rule fits is blocked when its
-template has labels of its own (or merged ones) and its purity reaches the threshold.
+are the nodes of a tree below the host. A branch is merged with its siblings unless its share of
+blocked labels differs significantly from that of all the others together; a branch without labels
+has nothing that tells it apart and takes part in the merged ones. A node's purity is its share of
+blocked labels, smoothed towards its parent's, from the global share downwards. A page that no rule
+fits is blocked when the purity of its template reaches the threshold.
 """
 
 from __future__ import annotations
@@ -29,18 +30,14 @@ RULES = (
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """``depth`` segments are told apart; deeper ones share the node above them."""
-
-    depth: int = 4
     # A position of a host is variable with more different values than this, if they have fewer
     # pages each than ``repeats`` on average.
     variety: int = 20
     repeats: int = 5
-    smoothing: float = 4.0
-    # Standard errors within which a branch counts as similar to its parent.
+    smoothing: float = 2.0
+    # Standard errors within which a branch counts as similar to its siblings.
     similar: float = 2.0
-    labelled: int = 5
-    purity: float = 0.9
+    purity: float = 0.85
 
 
 def _text(value: str) -> str:
@@ -108,7 +105,7 @@ def judge(
     parsed = pages.selectExpr(
         f"{quoted(page_id)} as page_id", f"{host_of(quoted(url))} as host", f"{path_of(quoted(url))} as path"
     ).selectExpr("*", f"{rule} as rule", f"{verdict} as by_rule")
-    segments = f"slice(filter(split(path, '/'), s -> s <> ''), 1, {settings.depth})"
+    segments = "filter(split(path, '/'), s -> s <> '')"
     listed = parsed.selectExpr("*", f"transform({segments}, s -> {generalised('s')}) as segments")
     rows = cut(listed, "pages")
 
@@ -126,43 +123,52 @@ def judge(
     )
     templated = cut(templated.selectExpr("*", "array_join(segments, '/') as template"), "templates")
 
-    # All nodes: the templates and their prefixes.
+    # All nodes: the templates and their prefixes, each named by the digest of its segments, so that
+    # a node takes the same room at any depth.
     leaves = templated.groupBy("host", "template").agg(
         F.expr("any_value(segments)").alias("segments"),
         F.count("by_rule").alias("labelled"),
         F.expr("count_if(by_rule = 'block')").alias("blocked"),
     )
     leaves = cut(leaves, "leaves")
+    name = "md5(array_join(slice(segments, 1, {0}), '/'))"
     prefixes = leaves.selectExpr(
-        "host", "labelled", "blocked", "segments", "explode(sequence(0, size(segments))) as depth"
-    )
-    nodes = (
-        prefixes.selectExpr("host", "depth", "slice(segments, 1, depth) as node", "labelled", "blocked")
-        .groupBy("host", "depth", "node")
-        .agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+        "host", "template", "segments", "labelled", "blocked", "explode(sequence(0, size(segments))) as depth"
+    ).selectExpr(
+        "host", "template", "depth", f"{name.format('depth')} as node",
+        f"if(depth = 0, null, {name.format('greatest(depth - 1, 0)')}) as parent", "labelled", "blocked",
+    )
+    nodes = prefixes.groupBy("host", "depth", "node", "parent").agg(
+        F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
     )
-    nodes = cut(nodes.selectExpr("*", "slice(node, 1, greatest(depth - 1, 0)) as parent"), "nodes")
-    above = nodes.selectExpr(
-        "host", "node as parent", "depth + 1 as depth", "blocked / nullif(labelled, 0) as parent_share"
+    nodes = cut(nodes, "nodes")
+    # Each branch against all its siblings together: two shares of one, within their standard error.
+    family = nodes.filter("depth > 0").groupBy("host", "depth", "parent").agg(
+        F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
     )
-    shares = attach(nodes, above, ["host", "parent", "depth"])
-    bound = f"{settings.similar} * sqrt(parent_share * (1 - parent_share) / labelled)"
-    merging = shares.selectExpr(
-        "*", f"coalesce(abs(blocked / nullif(labelled, 0) - parent_share) <= {bound}, false) as similar"
+    compared = attach(nodes, family, ["host", "depth", "parent"]).selectExpr(
+        "*", "all_labelled - labelled as rest", "try_divide(all_blocked, all_labelled) as p"
     )
-    pools = merging.filter("similar").groupBy("host", "parent", "depth").agg(
+    apart = "abs(try_divide(blocked, labelled) - try_divide(all_blocked - blocked, rest))"
+    bound = f"{settings.similar} * sqrt(p * (1 - p) * (try_divide(1, labelled) + try_divide(1, rest)))"
+    merging = compared.selectExpr(
+        "host", "depth", "node", "parent", "labelled", "blocked",
+        f"""case when all_labelled is null then false when labelled = 0 or rest = 0 then true
+            else {apart} <= {bound} end as similar""",
+    )
+    pools = merging.filter("similar").groupBy("host", "depth", "parent").agg(
         F.sum("labelled").alias("pool_labelled"), F.sum("blocked").alias("pool_blocked")
     )
-    merged = attach(merging, pools, ["host", "parent", "depth"]).selectExpr(
-        "host", "node",
+    merged = attach(merging, pools, ["host", "depth", "parent"]).selectExpr(
+        "host", "depth", "node",
         "if(similar, pool_labelled, labelled) as labelled",
         "if(similar, pool_blocked, blocked) as blocked",
     )
 
     # Purity of a template: from the global share down the path, each node shrunk to its parent.
     total = leaves.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("share"))
-    paths = prefixes.selectExpr("host", "array_join(segments, '/') as template", "depth", "slice(segments, 1, depth) as node")
-    chains = attach(paths, merged, ["host", "node"]).groupBy("host", "template").agg(
+    paths = prefixes.select("host", "template", "depth", "node")
+    chains = attach(paths, merged, ["host", "depth", "node"]).groupBy("host", "template").agg(
         F.expr("array_sort(collect_list(struct(depth, labelled, blocked)))").alias("chain")
     )
     step = f"(c.blocked + {settings.smoothing} * p) / (c.labelled + {settings.smoothing})"
@@ -172,12 +178,10 @@ def judge(
             "host",
             "template",
             f"aggregate(chain, cast(share as double), (p, c) -> cast({step} as double)) as purity",
-            "element_at(chain, -1).labelled as own",
         )
     )
     return attach(templated, judged, ["host", "template"]).selectExpr(
         "page_id", "host", "path", "rule",
-        f"""coalesce(by_rule, if(own >= {settings.labelled} and purity >= {settings.purity},
-            'block', 'allow')) as verdict""",
+        f"coalesce(by_rule, if(purity >= {settings.purity}, 'block', 'allow')) as verdict",
         "template", "purity",
     )

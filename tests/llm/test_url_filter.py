@@ -1,5 +1,9 @@
+import os
+import random
+import re
 from collections import defaultdict
 
+import pytest
 from llm_rows import by_row
 
 from sitegrade.llm import url_filter as U
@@ -48,53 +52,121 @@ def test_templates(spark, edge):
     rows += [f"http://h.example.com/user{chr(97 + i % 26)}{chr(97 + i // 26)}/page" for i in range(60)]
     rows += [f"http://h.example.com/en/{i}.html" for i in range(300)]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
-    strict = U.TreeSettings(variety=40, repeats=8, purity=0.6)
-    got = {rows[r.page_id]: r for r in U.judge(pages, settings=strict).collect()}
-    assert got["http://h.example.com/en/3.html"].verdict == "allow"
+    wide = U.TreeSettings(variety=40, repeats=8)
+    got = {rows[r.page_id]: r for r in U.judge(pages, settings=wide).collect()}
     assert {got[u].template for u in rows if "user" in u} == {"*/page"}
     lenient = {rows[r.page_id]: r for r in U.judge(pages).collect()}
     assert lenient["http://h.example.com/de/7"].template == "de/*"
     # No rule fits the path without a slash; its branch holds blocked pages only.
     assert lenient["http://h.example.com/de"].rule is None and lenient["http://h.example.com/de"].purity > 0.8
     assert lenient["http://h.example.com/en/3.html"].template == "en/*.html"
+    # All labels of the host say block; its other branches have nothing against that.
+    assert lenient["http://h.example.com/en/3.html"].verdict == "block"
 
 
-def test_purity_against_a_plain_tree(spark, edge):
-    rows = [f"http://{h}/{s}/{i}" for h in ("a.net", "b.org", "c.example.com") for s in ("en", "fr", "de") for i in range(9)]
-    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
-    s = U.TreeSettings()
-    counts = defaultdict(lambda: [0, 0])
+def generalise(path):
+    out = []
+    for s in path.split("/"):
+        if re.fullmatch("[0-9]+", s) or re.fullmatch("(?=.*[0-9])[0-9a-fA-F-]{8,}", s):
+            out.append("*")
+        elif re.fullmatch("[0-9]+[.][a-zA-Z]+", s):
+            out.append("*" + s[s.index(".") :])
+        elif s:
+            out.append(s)
+    return out
+
+
+def brute(rows, s):
+    """page number -> (template, purity, verdict), by plain loops over one tree."""
+    pages = []
     for url in rows:
         host, path = parse(url)
         r = rule(host, path)
-        template = [path.split("/")[1], "*"]
-        for depth in range(3):
-            if r:
-                counts[host, tuple(template[:depth])][0] += 1
-                counts[host, tuple(template[:depth])][1] += r[0] == "block"
-            counts[host, tuple(template[:depth])]
-    total = [sum(c[i] for (h, t), c in counts.items() if len(t) == 2) for i in (0, 1)]
+        pages.append((host, generalise(path), r and r[0]))
+    seen = defaultdict(lambda: defaultdict(int))
+    for host, segments, _ in pages:
+        for i, x in enumerate(segments):
+            seen[host, i][x] += 1
+    wild = {k for k, v in seen.items() if len(v) > s.variety and sum(v.values()) < s.repeats * len(v)}
+    counts = defaultdict(lambda: [0, 0])
+    templates = []
+    for host, segments, label in pages:
+        t = tuple("*" if (host, i) in wild and not x.startswith("*") else x for i, x in enumerate(segments))
+        templates.append((host, t, label))
+        for depth in range(len(t) + 1):
+            node = counts[host, t[:depth]]
+            node[0] += label is not None
+            node[1] += label == "block"
+
+    def family(host, node):
+        return [t for h, t in list(counts) if h == host and len(t) == len(node) and t[:-1] == node[:-1]]
 
     def similar(host, node):
         n, blocked = counts[host, node]
-        above_n, above = counts[host, node[:-1]] if node else (0, 0)
-        if not n or not node:
-            return False
-        share = above / above_n
-        return abs(blocked / n - share) <= s.similar * (share * (1 - share) / n) ** 0.5
+        all_n, all_blocked = (sum(counts[host, t][i] for t in family(host, node)) for i in (0, 1))
+        if n == 0 or n == all_n:
+            return True
+        p = all_blocked / all_n
+        apart = abs(blocked / n - (all_blocked - blocked) / (all_n - n))
+        return apart <= s.similar * (p * (1 - p) * (1 / n + 1 / (all_n - n))) ** 0.5
 
     def merged(host, node):
-        if not similar(host, node):
+        if not node or not similar(host, node):
             return counts[host, node]
-        alike = [t for h, t in counts if h == host and len(t) == len(node) and t[:-1] == node[:-1] and similar(h, t)]
+        alike = [t for t in family(host, node) if similar(host, t)]
         return [sum(counts[host, t][i] for t in alike) for i in (0, 1)]
 
-    for row in U.judge(pages, settings=s).collect():
-        p, template = total[1] / total[0], tuple(row.template.split("/"))
-        for depth in range(3):
-            n, blocked = merged(row.host, template[:depth])
+    labelled = [x for _, _, x in templates if x]
+    share = sum(x == "block" for x in labelled) / max(len(labelled), 1)
+    out = []
+    for host, t, label in templates:
+        p = share
+        for depth in range(len(t) + 1):
+            n, blocked = merged(host, t[:depth])
             p = (blocked + s.smoothing * p) / (n + s.smoothing)
-        assert abs(p - row.purity) < 1e-9
+        out.append(("/".join(t), p, label or ("block" if p >= s.purity else "allow")))
+    return out
+
+
+def web(rng):
+    """Hosts of all kinds of labels, deep paths, variable positions, branches without labels."""
+    rows = []
+    for host in ("a.net", "b.org", "c.example.com", "d.example.net", "e.example.com", "f.test"):
+        for i in range(rng.randint(5, 60)):
+            lang = rng.choice(["en", "fr", "de", "es"])
+            rest = rng.choice(["", f"/{i}", f"/{i}.html", "/a/b/c/d/e/f" + f"/{i % 3}", f"/u{i}/x", "//y/"])
+            rows.append(f"http://{host}/{lang}{rest}")
+    return rows
+
+
+def test_verdicts_against_a_plain_tree(spark, edge):
+    rng = random.Random(6)
+    verdicts = set()
+    for settings in (U.TreeSettings(), U.TreeSettings(variety=3, repeats=9, similar=1.0, smoothing=5.0, purity=0.7)):
+        rows = web(rng)
+        pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string").repartition(3)
+        got = {r.page_id: r for r in U.judge(pages, settings=settings).collect()}
+        for i, (template, purity, verdict) in enumerate(brute(rows, settings)):
+            assert (got[i].template, got[i].verdict) == (template, verdict), rows[i]
+            assert abs(got[i].purity - purity) < 1e-9
+            if got[i].rule is None:
+                verdicts.add(verdict)
+    assert verdicts == {"allow", "block"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_the_method_decides_both_ways_on_pages(spark, edge):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    counts = U.judge(pages).filter("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in counts} == {"allow", "block"}
+
+
+def test_very_deep_paths(spark, edge):
+    deep = "http://a.net/" + "/".join(f"s{i % 7}" for i in range(800))
+    pages = spark.createDataFrame([(1, deep), (2, deep + "/x"), (3, deep)], "page_id bigint, url string")
+    got = {r.page_id: r for r in U.judge(pages).collect()}
+    assert got[1].template.count("/") == 799 and got[2].template.endswith("/x")
+    assert {r.verdict for r in got.values()} == {"block"}
 
 
 def test_no_python_in_the_plan(spark, edge):
