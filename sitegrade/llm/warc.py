@@ -18,6 +18,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,8 +37,12 @@ FOOTER_BYTES = 9
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+# Frames of a bundle that a reading task takes in a row, and how much it reads in all, about.
+RUN_FRAMES = 64
+TASK_BYTES = 1 << 24
 SMALLEST_SHARED = 100
 LEVEL = 3
+NAMELESS = "urn:nameless"
 
 
 # ---- records ----------------------------------------------------------------------------------
@@ -147,6 +152,9 @@ def read_frame(file, frame: Frame) -> bytes:
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    for name in ("s3a://", "s3n://"):  # Hadoop's names of the scheme
+        if path.startswith(name):
+            path = "s3://" + path.removeprefix(name)
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -154,26 +162,35 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def with_record_types(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """(page_id, url, payload, payload_digest, payload_bytes, keeper) per page.
+    """(page_id, url, payload, payload_digest, payload_bytes, keeper, repeated) per page.
 
     ``keeper`` is the page that stands for an equal payload of at least 100 bytes, else null.
+    ``repeated`` is true where some page id comes more than once with this payload.
     """
     rows = pages.select(
-        F.col(quoted(page_id)).cast("bigint").alias("page_id"),
+        F.col(quoted(page_id)).alias("page_id"),
         F.col(quoted(url)).cast("string").alias("url"),
         F.expr(f"cast(coalesce({quoted(html)}, '') as binary)").alias("payload"),
     ).selectExpr(
         "*", "sha2(payload, 256) as payload_digest", "cast(octet_length(payload) as bigint) as payload_bytes"
     )
-    shared = rows.filter(f"payload_bytes >= {SMALLEST_SHARED}").groupBy("payload_digest")
-    keepers = shared.agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+    pairs = rows.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("size"))
+    keepers = (
+        pairs.groupBy("payload_digest")
+        .agg(
+            F.expr(f"if(max(size) >= {SMALLEST_SHARED}, min(page_id), null)").alias("keeper"),
+            F.expr("max(if(page_id is null, 0, n)) > 1").alias("repeated"),
+            F.sum("n").alias("n"),
+        )
+        .filter("n > 1")
+    )
     return attach(rows, keepers.drop("n"), ["payload_digest"])
 
 
 _INDEX = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
-        T.StructField("page_id", T.LongType()),
+        T.StructField("page_id", T.StringType()),
         T.StructField("bundle", T.StringType()),
         T.StructField("frame", T.IntegerType()),
         T.StructField("frame_offset", T.LongType()),
@@ -184,9 +201,9 @@ _INDEX = T.StructType(
 )
 
 
-def record_id_of(page_id: int | None) -> str:
-    """The id of a page's response; revisits refer to it."""
-    return f"urn:page:{page_id}"
+def record_id_of(page_id: str | None, digest: str) -> str:
+    """The id of a page's record with this payload; revisits refer to that of the response."""
+    return NAMELESS if page_id is None else f"urn:page:{quote(page_id, safe='')}:{digest[:16]}"
 
 
 def write_archives(
@@ -203,13 +220,14 @@ def write_archives(
     Of pages with equal payloads of at least 100 bytes the one with the smallest id is a response,
     the others are revisits of it; smaller payloads are all responses. Rows that repeat the id of
     the response are responses too, as are pages without an id when no equal page has one. A null
-    html is an empty payload. The record id of a page without id, or of a repeated one, is unique
-    by a random part. An empty table writes no bundle.
+    html is an empty payload. Page ids may be of any type that casts to text and back. Record ids
+    are made of page id and payload; those of pages without id, and of payloads that come more than once
+    with one id, have a random part too. An empty table writes no bundle.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
-        writer, rows, seen = None, [], set()
+        writer, rows = None, []
 
         def close() -> pa.RecordBatch:
             writer.close()
@@ -223,24 +241,23 @@ def write_archives(
                 [f.size for f in number],
                 columns[4],
             ]
-            types = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4]
+            types = [pa.string(), pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(a), t) for a, t in zip(arrays, types)], names=_INDEX.names
             )
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page, target, payload, digest, size, keeper = (c[i].as_py() for c in batch.columns)
+                page, target, payload, digest, size, keeper, repeated = (c[i].as_py() for c in batch.columns)
                 if writer is None:
                     name = f"{root}/part-{uuid.uuid4().hex}.warc.zst"
                     writer, rows = BundleWriter(system.open_output_stream(name, compression=None), frame_bytes), []
-                revisit = keeper is not None and page != keeper
-                record = record_id_of(page)
-                if page is None or record in seen:
+                revisit = keeper is not None and page != keeper  # a page without id is no keeper
+                record = record_id_of(page, digest)
+                if page is None or repeated:
                     record = f"{record}:{uuid.uuid4().hex}"
-                seen.add(record)
                 kind = "revisit" if revisit else "response"
-                refers = record_id_of(keeper) if revisit else None
+                refers = record_id_of(keeper, digest) if revisit else None
                 data = record_bytes(record, kind, target, payload, digest, size, refers)
                 rows.append((record, page, name, *writer.add(data)))
                 if writer.written >= bundle_bytes:
@@ -249,9 +266,10 @@ def write_archives(
         if writer is not None:
             yield close()
 
-    typed = with_record_types(pages, page_id, url, html).select(
-        "page_id", "url", "payload", "payload_digest", "payload_bytes", "keeper"
-    )
+    typed = with_record_types(pages, page_id, url, html).selectExpr(
+        "cast(page_id as string) as page_id", "url", "payload", "payload_digest", "payload_bytes",
+        "cast(keeper as string) as keeper", "coalesce(repeated, false) as repeated",
+    )
     system, root = file_system(folder)
     system.create_dir(root, recursive=True)
     index = typed.mapInArrow(write, _INDEX)
@@ -261,11 +279,11 @@ def write_archives(
 
 _RECORD = T.StructType(
     [
-        T.StructField("page_id", T.LongType()),
+        T.StructField("page_id", T.StringType()),
         T.StructField("record_id", T.StringType()),
         T.StructField("url", T.StringType()),
         T.StructField("record_type", T.StringType()),
-        T.StructField("refers_to", T.LongType()),
+        T.StructField("refers_to", T.StringType()),
         T.StructField("payload_bytes", T.LongType()),
         T.StructField("payload_digest", T.StringType()),
         T.StructField("payload", T.BinaryType()),
@@ -273,27 +291,40 @@ _RECORD = T.StructType(
 )
 
 
-def _page_of(record_id: str | None) -> int | None:
-    text = (record_id or "").strip("<>").removeprefix("urn:page:").split(":")[0]
-    return int(text) if text and text != "None" else None
+def _page_of(record_id: str | None) -> str | None:
+    """The page id in ``urn:page:<id>:<digest>[:<random part>]``."""
+    name = (record_id or NAMELESS).strip("<>")
+    return None if name.startswith(NAMELESS) else unquote(name.split(":")[2])
 
 
-def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+def read_archives(index: DataFrame, folder: str, payloads: bool = True, id_type: str = "bigint") -> DataFrame:
     """Every indexed record, read back from its frame; digests of responses are checked.
 
-    ``payload`` is null for revisits, and for all if not asked for.
+    ``payload`` is null for revisits, and for all if not asked for; page ids are cast to ``id_type``.
+    Tasks are sized by the bytes they unpack. Each takes runs of neighbouring frames, opens a bundle
+    once per run and holds the index against the bundle's own seek table.
     """
-    frames = index.groupBy("bundle", "frame", "frame_offset", "frame_compressed", "frame_size").agg(
-        F.array_sort(F.collect_list("record_offset")).alias("offsets")
-    )
+    keys = ["bundle", "frame", "frame_offset", "frame_compressed", "frame_size"]
+    frames = index.groupBy(*keys).agg(F.array_sort(F.collect_list("record_offset")).alias("offsets"))
+    total = index.select(*keys).distinct().agg(F.sum("frame_size")).first()[0] or 0
+    runs = frames.withColumn("run", F.expr(f"frame div {RUN_FRAMES}"))
+    dealt = runs.repartition(max(1, -(-total // TASK_BYTES)), "bundle", "run").sortWithinPartitions("bundle", "frame")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(folder)
+        name, file, table = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
+                if row["bundle"] != name:
+                    if file is not None:
+                        file.close()
+                    name = row["bundle"]
+                    file = system.open_input_file(name)
+                    table = seek_table(file)
                 frame = Frame(row["frame_offset"], row["frame_compressed"], row["frame_size"])
-                with system.open_input_file(row["bundle"]) as file:
-                    data = read_frame(file, frame)
+                if row["frame"] >= len(table) or table[row["frame"]] != frame:
+                    raise ValueError(f"the seek table of {name} has another frame {row['frame']}")
+                data = read_frame(file, frame)
                 out = []
                 for offset in row["offsets"]:
                     headers, block, _ = parse_record(data, offset)
@@ -315,17 +346,20 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
                         }
                     )
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW_RECORD)
+        if file is not None:
+            file.close()
 
-    return frames.mapInArrow(read, _RECORD)
+    ids = {name: F.col(name).cast(id_type) for name in ("page_id", "refers_to")}
+    return dealt.drop("run").mapInArrow(read, _RECORD).withColumns(ids)
 
 
 _ARROW_RECORD = pa.schema(
     [
-        ("page_id", pa.int64()),
+        ("page_id", pa.string()),
         ("record_id", pa.string()),
         ("url", pa.string()),
         ("record_type", pa.string()),
-        ("refers_to", pa.int64()),
+        ("refers_to", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("payload", pa.binary()),
@@ -335,11 +369,14 @@ _ARROW_RECORD = pa.schema(
 
 def lookup(index: DataFrame, page_ids: DataFrame, folder: str) -> DataFrame:
     """The records of some pages (column ``page_id``): only their frames are fetched."""
-    wanted = index.join(page_ids.select("page_id").distinct(), "page_id", "left_semi")
-    return read_archives(wanted, folder)
+    kind = page_ids.schema["page_id"].dataType.simpleString()
+    wanted = page_ids.select(F.col("page_id").cast("string").alias("page_id")).distinct()
+    return read_archives(index.join(wanted, "page_id", "left_semi"), folder, id_type=kind)
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Write the archives into the shared folder and read every record back."""
     folder = f"{shared_folder(pages.sparkSession)}/warc"
-    return read_archives(write_archives(pages, folder), folder, payloads=False).drop("payload")
+    kind = pages.schema[page_id].dataType.simpleString()
+    index = write_archives(pages, folder, page_id)
+    return read_archives(index, folder, payloads=False, id_type=kind).drop("payload")

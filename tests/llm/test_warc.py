@@ -68,3 +68,31 @@ def test_bundles_are_plain_zstandard_with_a_seek_table(pages, tmp_path):
 
 def test_empty_table(pages):
     assert W.archive_round_trip(pages.filter("false")).collect() == []
+
+
+def test_text_ids(spark, edge, tmp_path):
+    ids = ["a:b", "<x>", "é 1", "00", None, "z\r\n"]
+    rows = [(i, HTML + str(i)) for i in ids] + [("copy", HTML + "00")]
+    pages = spark.createDataFrame(rows, "page_id string, html string").withColumn("url", F.lit("http://a/"))
+    got = {r.page_id: r for r in W.archive_round_trip(pages).collect()}
+    assert set(got) == {*ids, "copy"}
+    assert got["copy"].refers_to == "00" and got["<x>"].record_type == "response"
+
+
+def test_an_index_that_is_not_the_bundles_is_refused(pages, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    index = W.write_archives(pages.coalesce(1), folder, frame_bytes=1000)
+    wrong = index.withColumn("frame_size", F.col("frame_size") + 1)
+    with pytest.raises(Exception, match="seek table"):
+        W.read_archives(wrong, folder).collect()
+
+
+def test_tasks_follow_the_data(pages, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/warc"
+    index = W.write_archives(pages.coalesce(1), folder, frame_bytes=400)
+    monkeypatch.setattr(W, "TASK_BYTES", 100_000)
+    assert W.read_archives(index, folder).rdd.getNumPartitions() == 8
+
+
+def test_hadoop_names_of_a_store():
+    assert W.file_system("file:///tmp/x")[1] == "/tmp/x"
