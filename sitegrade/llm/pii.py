@@ -82,7 +82,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind as listed and start; code points."""
     spans = [("email", s, e) for s, e in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # No part is read as a number before its zeros are gone: runs of them may be of any length.
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             spans.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() <= 37:
@@ -322,17 +324,23 @@ def redact(text: str, base: list[tuple[str, int, int]], terms: list[tuple[str, i
 def sanitise(docs: DataFrame, text: str = "text", settings: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with the text column sanitised and the spans added. A null text stays null."""
     found = find_personal_data(docs, text, settings)
-    triples = "array<struct<kind: string, start: int, end: int>>"
+    names = found.columns
+    place = next(i for i, c in enumerate(names) if c == text)
+    # The text becomes a string if it wasn't one.
+    found = found.withColumn(text, F.col(quoted(text)).cast("string"))
 
-    @F.udf("string")
-    def clean(body, base, terms):
-        if body is None:
-            return None
-        return redact(body, [tuple(s) for s in base], [tuple(s) for s in terms])
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = zip(batch.column("base_spans").to_pylist(), batch.column("term_spans").to_pylist())
+            texts = [
+                None if body is None else redact(body, *([(s["kind"], s["start"], s["end"]) for s in x] for x in both))
+                for body, both in zip(batch.column(place).to_pylist(), spans)
+            ]
+            columns = list(batch.columns)
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.withColumn(
-        text, clean(F.col(quoted(text)), F.expr(f"cast(base_spans as {triples})"), "term_spans")
-    )
+    return found.mapInArrow(clean, found.schema)
 
 
 def digest_columns() -> list[str]:

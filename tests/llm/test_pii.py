@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -49,6 +50,14 @@ def test_long_runs_take_linear_time():
         P.base_spans(part * 300_000)
 
 
+def test_long_runs_of_zeros():
+    for n in (3, 10_000, 1_000_000):
+        text = "0" * n + "1.2.3.4 1." + "0" * n + ".3.255 1.2.3." + "0" * n + "256"
+        got = [(s, e) for k, s, e in P.base_spans(text) if k == "ip"]
+        first, second = n + 7, n + 8 + n + 8
+        assert got == [(0, first), (first + 1, second)], n
+
+
 def made(spark):
     """A nickname that stands near one address only, among many other texts."""
     rng = random.Random(12)
@@ -87,3 +96,79 @@ def test_edge_rows_and_digest(spark, edge, nothing):
     assert by_row(got) == by_row(want)
     assert P.find_personal_data(edge).count() == edge.count()
     assert P.find_personal_data(nothing).collect() == [] and P.sanitise(nothing).collect() == []
+
+
+WORD = re.compile(r"[^\W\d_]{3,}")
+
+
+def terms_by_hand(rows, s):
+    """Row number -> (kind, start, end) of the terms, by plain loops and dictionaries."""
+    near, contexts, corpus, total = {}, {}, {}, 0
+    places = []
+    for no, (_, text) in enumerate(rows):
+        text = text or ""
+        total += text.count(" ") + 1
+        spans = brute(text)
+        every = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+        for i, (_, _, w) in enumerate(every):
+            corpus.setdefault(w, set()).add((every[i - 1][2] if i else "", every[i + 1][2] if i + 1 < len(every) else ""))
+        free = [w for w in every if not any(a < w[1] and w[0] < b for _, a, b in spans)]
+        for kind, a, b in spans:
+            entity = (kind, text[a:b].lower())
+            middle = sum(w[0] < a for w in free)
+            low, high = max(0, middle - s.window), min(len(free), middle + s.window)
+            if low < high:  # a context without words tells nothing
+                contexts.setdefault(entity, set()).add(tuple(w[2] for w in free[low:high]))
+            for i in range(low, high):
+                use = (free[i - 1][2] if i else "", free[i + 1][2] if i + 1 < len(free) else "")
+                near.setdefault((entity, free[i][2]), set()).add(use)
+                places.append((no, entity, free[i]))
+    best = {}
+    for no, entity, (start, end, term) in places:
+        n_te = len(near[entity, term])
+        if n_te < s.support:
+            continue
+        n_t = max(len(corpus[term]), n_te)
+        ratio = 1 + math.log(n_te / n_t) / math.log(max(total / len(contexts[entity]), 2.0))
+        if ratio >= s.generalise:
+            best[no, start, end] = max(best.get((no, start, end), 0), ratio)
+    out = {}
+    for (no, start, end), ratio in best.items():
+        out.setdefault(no, set()).add(("removed" if ratio >= s.remove else "generalised", start, end))
+    return out
+
+
+def planted():
+    """Many addresses, shared words, copies, all kinds."""
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    people = [f"{w}@mail{i % 3}.example" for i, w in enumerate(words[:9])] + ["10.0.0.1", "+49 30 1234567"]
+    nicks = {p: f"nick{chr(97 + i)}" for i, p in enumerate(people)}
+    rows = []
+    for i in range(260):
+        p = rng.choice(people)
+        parts = rng.choices(words, k=rng.randint(0, 12))
+        if rng.random() < 0.6:
+            parts.insert(rng.randint(0, len(parts)), nicks[p] if rng.random() < 0.8 else nicks[rng.choice(people)])
+        if rng.random() < 0.7:
+            parts.insert(rng.randint(0, len(parts)), p)
+        rows.append((i, " ".join(parts)))
+    rows += [(1000 + i, rows[i][1]) for i in range(40)] + [(None, None), (5000, "")]
+    return rows
+
+
+def test_terms_against_plain_loops(spark, edge):
+    """Every ratio near its thresholds counts."""
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    seen = set()
+    for s in (P.Disclosure(), P.Disclosure(window=4, support=2, generalise=0.6, remove=0.8)):
+        want = terms_by_hand(rows, s)
+        assert want
+        for r in P.find_personal_data(docs, settings=s).collect():
+            for no, (i, text) in enumerate(rows):
+                if i == r.doc_id and text == r.text:
+                    found = {tuple(x) for x in r.term_spans}
+                    assert found == want.get(no, set()), (r.doc_id, r.text)
+                    seen |= {k for k, _, _ in found}
+    assert seen == {"generalised", "removed"}
