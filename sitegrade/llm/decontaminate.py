@@ -25,7 +25,7 @@ from sitegrade.llm.shared import cut, free_name, numbered, quoted
 WINDOW = 13
 # One block of windows holds at most so many bytes of benchmark text; it is what a task keeps in
 # memory (about fifty times that with all windows and tables).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 23
 
 # Words: A-Z in lower case; every other ASCII character but digits and letters separates.
 _FOLD = bytes(

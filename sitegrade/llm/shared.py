@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 
-    Where the session names no such folder, as in tests on one machine, one is set.
+    Where the session names no such folder one is set, but only if driver and tasks are one process:
+    on a cluster every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
         if known.isDefined():
             base = known.get()
         else:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="sitegrade-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"

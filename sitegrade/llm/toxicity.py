@@ -353,14 +353,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, text: str, label: str,
                     out[1].append(toxic[at + i])
                     out[2].append(best[i].tolist() if i in best else [0.0] * len(strings))
                 at += len(texts)
-            types = [pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            types = [pa.string(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(o, t) for o, t in zip(out, types)], names=["doc_id", "toxic", "x"]
             )
 
-    seen = rows.select("doc_id", F.col("toxic").cast("bigint").alias("toxic"), "body").mapInArrow(
-        witnesses, "doc_id bigint, toxic bigint, x array<double>"
-    )
+    # Ids of any type, as text.
+    named = rows.selectExpr("cast(doc_id as string) as doc_id", "cast(toxic as bigint) as toxic", "body")
+    seen = named.mapInArrow(witnesses, "doc_id string, toxic bigint, x array<double>")
     # One row per sampled id, so at most 2 * sample.
     fitted = seen.groupBy("doc_id").agg(F.min(F.struct("toxic", "x")).alias("r")).select("r.*").collect()
     x, y = np.array([r.x for r in fitted]), np.array([1.0 if r.toxic else -1.0 for r in fitted])

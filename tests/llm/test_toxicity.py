@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitegrade.llm import toxicity as X
 
@@ -116,3 +117,13 @@ def test_edge_rows(spark, edge, nothing):
     for few in (known.filter("false"), known.filter("toxic = 0"), known.filter("toxic = 1")):
         flat = X.score_toxicity(edge, few, HELD, carry=["doc_id"]).collect()
         assert len({r.score for r in flat}) == 1
+
+
+def test_text_ids(spark, edge):
+    """Ids that are no numbers give the scores that numbers give."""
+    docs, labels = made(200, 25)
+    table, known = tables(spark, docs, labels)
+    want = {r.doc_id: r.score for r in X.score_toxicity(table, known, "false", carry=["doc_id"]).collect()}
+    named = [t.withColumn("doc_id", F.expr("concat('d-', doc_id)")) for t in (table, known)]
+    got = {r.doc_id: r.score for r in X.score_toxicity(*named, "false", carry=["doc_id"]).collect()}
+    assert got == {f"d-{k}": pytest.approx(v) for k, v in want.items()}
