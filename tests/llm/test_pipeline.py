@@ -26,7 +26,7 @@ def table(spark, name):
 
 def test_registered():
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
-    assert {int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11))
+    assert {int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14))
 
 
 def test_stages(spark, edge):
@@ -73,7 +73,7 @@ def test_run_packs_every_kept_document_once(spark, edge):
 def test_query_against_sql(spark, edge, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cursor = con.execute(ORACLES[name])
